@@ -123,6 +123,12 @@ def with_views(*names: str) -> str:
     return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in wanted) + "\n"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly parsing of a table that has fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Bridge:
     """The views as DataFrames over one data folder. Every property is lazy."""
 
@@ -163,11 +169,11 @@ class Bridge:
 
     @property
     def raw(self) -> DataFrame:
-        return self._format(VIEWS["b2"].replace("from b1", "from {src}"), self.events)
+        return self._format(VIEWS["b2"].replace("from b1", "from {src}"), self._format(VIEWS["b1"].replace("from events", "from {src}"), spread(self.table("events"))))
 
     @property
     def line_rows(self) -> DataFrame:
-        return self._format(_LINE_ROWS.replace("from events", "from {src}"), self.table("events"))
+        return self._format(_LINE_ROWS.replace("from events", "from {src}"), spread(self.table("events")))
 
     @property
     def lines(self) -> DataFrame:
@@ -177,7 +183,7 @@ class Bridge:
     @property
     def texts(self) -> DataFrame:
         """Free text to be split into lines."""
-        docs = self.table("documents")
+        docs = spread(self.table("documents"))
         source = F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
         return docs.select(source.alias("source"), "text", "lang", "doc_id")
 

@@ -86,7 +86,8 @@ def csv_fields(body: Column, delimiter: str = ",", quote: str = '"') -> Column:
         inner = F.regexp_replace(f, opened, "$1$2")
         return F.when(f.startswith(quote), F.replace(inner, F.lit(quote * 2), F.lit(quote))).otherwise(f)
 
-    return F.transform(parts, unquote)
+    plain = F.split(body, rf"\x{ord(delimiter):02x}")
+    return F.when(body.contains(quote), F.transform(parts, unquote)).otherwise(plain)
 
 
 def _in_class(char: str) -> str:

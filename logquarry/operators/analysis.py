@@ -16,7 +16,7 @@ from logquarry.operators.aggregates import analysis_window_stats, anomaly_count
 from logquarry.operators.packing import estimate_tokens
 from logquarry.operators.ranking import recent_summaries, window_analyses
 from logquarry.operators.running import running_rank, running_sum
-from logquarry.operators.search import between, is_already_blocked
+from logquarry.operators.search import between, with_blocked
 
 BATCH_SOURCE_TYPES = ["palo_alto", "generic", "windows"]
 
@@ -54,7 +54,7 @@ def _ordered(condition: Column, value: Column) -> Column:
 
 def split_blocked(batches: DataFrame) -> DataFrame:
     """Per batch: ids the firewall already blocked, the auto-skip summary for them, and what is left to analyse."""
-    marked = batches.withColumn("_blocked", is_already_blocked(F.col("message")))
+    marked = with_blocked(batches, out="_blocked")
     grouped = marked.groupBy("batch").agg(
         _ordered(F.col("_blocked"), F.col("id")).alias("skipped_ids"),
         _ordered(~F.col("_blocked"), F.col("id")).alias("log_ids"),

@@ -22,6 +22,7 @@ from logquarry.session import shared_dir
 CAP_WINDOW_US = 60_000_000
 FIRED, COOLDOWN, RATE_LIMIT = "fired", "cooldown", "rate_limit"
 
+_MEMORY = "slice long, rule_id string, source string, t long"
 _VERDICT = "slice long, rule_id string, source string, event_id long, t long, status string"
 
 
@@ -96,7 +97,7 @@ def gate_verdicts(
 
     given = _carried_memory(slim, carried, width, memory_us)
     verdicts = _settle(judged(slim, given), "gate-round")
-    used = given.limit(0)
+    used = slim.sparkSession.createDataFrame([], _MEMORY)
     while True:
         handed = closing(verdicts)
         both = handed.withColumn("side", F.lit(1)).unionByName(used.withColumn("side", F.lit(-1)))
@@ -113,7 +114,7 @@ def gate_verdicts(
 def _carried_memory(slim: DataFrame, carried: DataFrame | None, width: int, memory_us: int) -> DataFrame:
     """Earlier fires as memory of the slice they fall in and of the one after."""
     if carried is None:
-        return slim.select("slice", "rule_id", "source", "t").limit(0)
+        return slim.sparkSession.createDataFrame([], _MEMORY)
     own = carried.select(F.expr(f"t div {width}L").alias("slice"), "rule_id", "source", "t")
     late = F.col("t") >= (F.col("slice") + 1) * F.lit(width) - F.lit(memory_us)
     return own.unionByName(own.filter(late).withColumn("slice", F.col("slice") + 1))

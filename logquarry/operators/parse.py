@@ -11,6 +11,7 @@ from logquarry.functions import fixed, syslog
 from logquarry.functions.syslog import FirewallMap
 from logquarry.functions.text import any_of, basename, blank_to_null, cut, strip
 from logquarry.functions.times import line_timestamp
+from logquarry.operators.running import computed_once
 
 
 @dataclass(frozen=True)
@@ -33,14 +34,15 @@ DEFAULT_REGISTRY = (
 )
 
 
-def parse_syslog_header(df: DataFrame, *, raw_limit: int = fixed.RAW_LIMIT) -> DataFrame:
+def parse_syslog_header(df: DataFrame, *, raw_limit: int = fixed.RAW_LIMIT, message: Column | None = None) -> DataFrame:
     """Add pri, facility, severity, message and the truncated raw text."""
     pri = syslog.header_pri(F.col("raw"))
+    message = syslog.structured_message(F.col("raw")) if message is None else message
     return (
         df.withColumn("pri", pri)
         .withColumn("facility", syslog.facility(F.col("pri")))
         .withColumn("severity", (F.col("pri") % 8).cast("int"))
-        .withColumn("message", syslog.structured_message(F.col("raw")))
+        .withColumn("message", message)
         .withColumn("raw", cut(F.col("raw"), raw_limit))
     )
 
@@ -48,7 +50,8 @@ def parse_syslog_header(df: DataFrame, *, raw_limit: int = fixed.RAW_LIMIT) -> D
 def _firewall_columns(df: DataFrame, columns: FirewallMap) -> DataFrame:
     """Firewall columns (prefixed ``fw_``) of ``message``; ``fw_type`` is null when the body is not usable."""
     fields = F.col("_fields")
-    df = df.withColumn("_fields", F.when(syslog.looks_like_firewall(F.col("message")), syslog.csv_fields(F.col("message"))))
+    body = F.when(syslog.looks_like_firewall(F.col("message")), syslog.csv_fields(F.col("message")))
+    df = computed_once(df, "_fields", body)
     usable = F.size(fields) >= columns.needed
     src, dst = syslog.field_at(fields, columns.src), syslog.field_at(fields, columns.dst)
     mapped = src.isNotNull() & dst.isNotNull() & src.rlike(fixed.IPV4_SHAPE)
@@ -69,7 +72,10 @@ def _firewall_columns(df: DataFrame, columns: FirewallMap) -> DataFrame:
 
 def parse_firewall_csv(df: DataFrame, columns: FirewallMap | None = None) -> DataFrame:
     """Firewall messages only, as event rows. A time that is no date falls back to the arrival time."""
-    parsed = _firewall_columns(parse_syslog_header(df), columns or FirewallMap()).filter(F.col("fw_type").isNotNull())
+    # a cheap test on the raw text first: most messages are not firewall logs and need no parsing at all
+    likely = df.filter(any_of([F.col("raw").contains(w) for w in fixed.FIREWALL_WORDS]))
+    header = parse_syslog_header(computed_once(likely, "_message", syslog.structured_message(F.col("raw"))), message=F.col("_message"))
+    parsed = _firewall_columns(header, columns or FirewallMap()).filter(F.col("fw_type").isNotNull())
     return parsed.select(
         "id",
         "received_at",
@@ -109,9 +115,8 @@ def parse_generic_syslog(df: DataFrame, *, hint: Column | None = None) -> DataFr
     versioned = syslog.is_versioned(F.col("raw"))
     windows = versioned if hint is None else versioned | F.coalesce(hint == "windows", F.lit(False))
     parsed = (
-        df.withColumn("message", generic_message(F.col("raw")))
+        computed_once(computed_once(df, "message", generic_message(F.col("raw"))), "_ips", address_tokens(F.col("message")))
         .withColumn("_pri", syslog.header_pri(F.col("raw")))
-        .withColumn("_ips", address_tokens(F.col("message")))
     )
     return parsed.select(
         "id",
@@ -159,12 +164,15 @@ def classify_events(
 ) -> DataFrame:
     """Route every raw message to the firewall or the generic parser, in one pass over the input."""
     raw = F.col("raw")
-    parsed = _firewall_columns(df.withColumn("message", syslog.structured_message(raw)), columns or FirewallMap())
+    bodied = computed_once(df, "message", syslog.structured_message(raw))
+    parsed = _firewall_columns(bodied, columns or FirewallMap())
     firewall = F.col("fw_type").isNotNull()
+    plain = ~firewall & ~syslog.is_versioned(raw)  # only these frame their text differently
+    parsed = computed_once(parsed, "_text", F.when(plain, syslog.bsd_message(raw)).otherwise(F.col("message")))
+    parsed = computed_once(parsed, "_ips", F.when(~firewall, address_tokens(F.col("_text"))))
     parsed = (
         parsed.withColumn("_pri", syslog.header_pri(raw))
-        .withColumn("message", F.when(firewall, F.col("message")).otherwise(generic_message(raw)))
-        .withColumn("_ips", F.when(~firewall, address_tokens(F.col("message"))))
+        .withColumn("message", F.col("_text"))
         .withColumn("_windows", syslog.is_versioned(raw) | F.coalesce(registry_type(raw, registry) == "windows", F.lit(False)))
     )
     source_type = F.when(firewall, "palo_alto").when(F.col("_windows"), "windows").otherwise("generic")

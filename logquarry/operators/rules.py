@@ -123,7 +123,8 @@ def saved_search_hits(lines: DataFrame, searches: list[Row]) -> DataFrame:
         if _value(search, "file_path"):
             predicate = (F.col("source") == search["file_path"]) & predicate
         compiled.append((search, predicate))
-    hits = _explode_hits(lines.filter(F.length("line") > 0), compiled)
+    shaped = lines.filter(F.length("line") > 0).withColumnRenamed("id", "event_id")
+    hits = _explode_hits(shaped, compiled)
     return hits.withColumnsRenamed({"rule_id": "search_id", "rule_name": "search_name"}).drop(
         "cooldown_sec", "webhook_url", "email_to"
     )

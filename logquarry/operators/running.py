@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 20  # about a million consecutive order values per group
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections use several times.
+
+    The optimizer inlines a projected expression into every filter and column above it; a generator of one row
+    is left alone, so the value is computed once per row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],

@@ -16,6 +16,7 @@ from logquarry.functions.text import (
     valid_regex,
 )
 from logquarry.operators.parse import normalize_origins
+from logquarry.operators.running import computed_once
 
 
 def newest(df: DataFrame, by: str, limit: int, *, tie: str | None = "id", ascending: bool = False) -> DataFrame:
@@ -188,24 +189,32 @@ def group_sources(files: DataFrame, root: str, *, column: str = "path") -> DataF
 # --- firewall traffic --------------------------------------------------------------------------------------
 
 
-def is_already_blocked(message: Column) -> Column:
-    """The firewall denied this session itself."""
-    fields = syslog.firewall_payload_fields(message)
+def with_blocked(df: DataFrame, *, column: str = "message", out: str = "blocked") -> DataFrame:
+    """Add whether the firewall denied the session itself."""
+    message = F.col(column)
+    fields = F.col("_fields")
     kind, action = syslog.payload_type(fields), syslog.action_after_protocol(fields)
     threat = F.coalesce(action.isin(fixed.THREAT_BLOCKED), F.lit(False)) | message.rlike(fixed.BLOCKED_KEY_VALUE)
     verdict = F.when(kind == "TRAFFIC", action.isin(fixed.TRAFFIC_BLOCKED)).when(kind == "THREAT", threat)
-    return F.coalesce(verdict, F.lit(False))
+    marked = computed_once(df, "_fields", _payload_fields(message)).withColumn(out, F.coalesce(verdict, F.lit(False)))
+    return marked.drop("_fields")
+
+
+def _payload_fields(message: Column) -> Column:
+    """Payload fields of messages that can be traffic or threat logs; others are not split."""
+    likely = F.upper(message).contains("TRAFFIC") | F.upper(message).contains("THREAT")
+    return F.when(likely, syslog.firewall_payload_fields(message))
 
 
 def already_blocked(df: DataFrame, *, column: str = "message") -> DataFrame:
-    return df.filter(is_already_blocked(F.col(column)))
+    return with_blocked(df, column=column, out="_blocked").filter("_blocked").drop("_blocked")
 
 
 def allowed_flows(df: DataFrame, *, column: str = "message") -> DataFrame:
     """Allowed firewall traffic with its first two addresses as flow_src and flow_dst."""
     fields = F.col("_fields")
     return (
-        df.withColumn("_fields", syslog.firewall_payload_fields(F.col(column)))
+        computed_once(df, "_fields", _payload_fields(F.col(column)))
         .filter((syslog.payload_type(fields) == "TRAFFIC") & (syslog.action_after_protocol(fields) == "allow"))
         .withColumn("_ips", syslog.address_fields(fields))
         .filter(F.size("_ips") >= 2)
