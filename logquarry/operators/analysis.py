@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from logquarry.functions import fixed
 from logquarry.functions.severity import is_low_level
@@ -110,7 +111,7 @@ def run_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], *, na
             status = ["failed" if e is not None else "ok" for e in errors]
             yield frame.assign(model=name, raw_response=replies, status=status, duration_ms=spent, error=errors)
 
-    schema = prompts.schema.add("model", "string").add("raw_response", "string")
+    schema = StructType(list(prompts.schema.fields)).add("model", "string").add("raw_response", "string")
     schema = schema.add("status", "string").add("duration_ms", "double").add("error", "string")
     return prompts.mapInPandas(call, schema)
 
@@ -335,7 +336,7 @@ def summary_due(
 
     joined = kinds.join(attempts, "granularity", "left")
     rested = F.col("last_any").isNull() | (age("last_any") >= retry_seconds * 1_000_000)
-    elapsed = F.col("last_ok").isNull() | (age("last_ok") >= F.col("interval") * 1_000_000)
+    elapsed = F.col("last_ok").isNull() | (age("last_ok") >= F.col("interval").cast("long") * 1_000_000)
     due = rested & elapsed & (F.col("n") >= F.col("minimum"))
     return joined.select("granularity", F.col("n").alias("analyses"), due.alias("due"))
 
@@ -442,7 +443,8 @@ def embed_chunks(
             found = [v for i in range(0, len(texts), batch) for v in vectors(texts[i : i + batch])]
             yield frame.assign(embedding=found)
 
-    return chunks.mapInPandas(call, chunks.schema.add("embedding", "array<float>"))
+    schema = StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))])
+    return chunks.mapInPandas(call, schema)
 
 
 def squared_distance(vector: Column, query: list[float]) -> Column:

@@ -6,7 +6,7 @@ cooldown), so a slice depends on the fires of the slice before it and on nothing
 evaluated with no memory; then slices whose predecessor's closing fires turn out different from what they were
 evaluated with are evaluated again, until nothing changes. The first slice is right at once and each round
 makes at least one more right, so the end result is the sequential one; in practice two or three rounds do.
-A task holds the slim hits of one slice (without a cap: of one slice of one rule and source).
+A task holds the slim hits of one slice (without a cap: of a hash part of one slice).
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 from logquarry.session import shared_dir
 
 CAP_WINDOW_US = 60_000_000
+ROWS_PER_SLICE = 200_000  # hits a slice holds on average; slices never get shorter than the gate's memory
+PARTS_WITHOUT_CAP = 32
 FIRED, COOLDOWN, RATE_LIMIT = "fired", "cooldown", "rate_limit"
 
 _MEMORY = "slice long, rule_id string, source string, t long"
 _VERDICT = "slice long, rule_id string, source string, event_id long, t long, status string"
+_VERDICT_COLUMNS = ["slice", "rule_id", "source", "event_id", "t", "status"]
+_OBJECTS = {"rule_id": object, "source": object, "status": object}
 
 
 def _judge(cap: int):
@@ -51,7 +55,8 @@ def _judge(cap: int):
                 recent.append(t)
             last[rule, source] = t
             verdicts.append(FIRED)
-        return hits.assign(status=verdicts)[["slice", "rule_id", "source", "event_id", "t", "status"]]
+        kept = {c: hits[c].tolist() for c in ("slice", "rule_id", "source", "event_id", "t")}
+        return pd.DataFrame({**kept, "status": verdicts}, columns=_VERDICT_COLUMNS).astype(_OBJECTS)
 
     return run
 
@@ -65,7 +70,7 @@ def _settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def gate_verdicts(
-    hits: DataFrame, *, cap: int = 30, carried: DataFrame | None = None, slice_seconds: int = 900
+    hits: DataFrame, *, cap: int = 30, carried: DataFrame | None = None, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """(event_id, rule_id, source, t, status) per hit. ``carried``: earlier fires (rule_id, source, t)."""
     slim = hits.select(
@@ -77,17 +82,19 @@ def gate_verdicts(
         (F.col("cooldown_sec").cast("long") * 1_000_000).alias("wait"),
     )
     slim = _settle(slim, "gate-hits")
-    longest = slim.agg(F.max("wait")).first()[0]
-    if longest is None:
+    size = slim.agg(F.max("wait"), F.count("t"), F.max("t") - F.min("t")).first()
+    if size[0] is None:
         return slim.select("event_id", "rule_id", "source", "t", F.lit(FIRED).alias("status"))
-    memory_us = max(longest, CAP_WINDOW_US)
-    width = max(memory_us, slice_seconds * 1_000_000)
-    keys = ["slice"] if cap > 0 else ["slice", "rule_id", "source"]
+    memory_us = max(size[0], CAP_WINDOW_US)
+    width = max(memory_us, size[2] * rows_per_slice // size[1] + 1)
     slim = slim.withColumn("slice", F.expr(f"t div {width}L"))
+    # with a cap all rules of a slice see each other; without one they can be told apart by hash
+    part_of = F.lit(0) if cap > 0 else F.pmod(F.xxhash64("rule_id", "source"), F.lit(PARTS_WITHOUT_CAP))
 
     def judged(part: DataFrame, memory: DataFrame) -> DataFrame:
-        grouped = memory.select("slice", "rule_id", "source", "t").groupBy(*keys)
-        return part.groupBy(*keys).cogroup(grouped).applyInPandas(_judge(cap), _VERDICT)
+        left = part.withColumn("part", part_of).groupBy("slice", "part")
+        right = memory.select("slice", "rule_id", "source", "t").withColumn("part", part_of).groupBy("slice", "part")
+        return left.cogroup(right).applyInPandas(_judge(cap), _VERDICT)
 
     def closing(verdicts: DataFrame) -> DataFrame:
         """What each slice hands to the next one."""
@@ -120,9 +127,9 @@ def _carried_memory(slim: DataFrame, carried: DataFrame | None, width: int, memo
     return own.unionByName(own.filter(late).withColumn("slice", F.col("slice") + 1))
 
 
-def alert_gate(hits: DataFrame, *, cap: int = 30, carried: DataFrame | None = None, slice_seconds: int = 900) -> DataFrame:
+def alert_gate(hits: DataFrame, *, cap: int = 30, carried: DataFrame | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Hits with their status: fired, or suppressed by cooldown or rate_limit."""
-    verdicts = gate_verdicts(hits, cap=cap, carried=carried, slice_seconds=slice_seconds)
+    verdicts = gate_verdicts(hits, cap=cap, carried=carried, rows_per_slice=rows_per_slice)
     return hits.join(verdicts.select("event_id", "rule_id", "source", "status"), ["event_id", "rule_id", "source"])
 
 

@@ -82,7 +82,7 @@ def _number(budget: int):
     def run(block: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("position")
         if entry.empty or block.empty:
-            return pd.DataFrame({"source": [], "position": [], "request": []})
+            return pd.DataFrame({"source": pd.Series([], dtype=object), "position": [], "request": []})
         tokens = block["tokens"].to_numpy(dtype=np.int64)
         following, sums = _next_start(tokens, budget)
         opened = np.array([int(entry["opened"].iloc[0])])
@@ -92,7 +92,7 @@ def _number(budget: int):
             starts[at] = 1
             at = following[at]
         request = int(entry["number"].iloc[0]) + np.cumsum(starts) - 1
-        return pd.DataFrame({"source": block["source"], "position": block["position"], "request": request})
+        return pd.DataFrame({"source": block["source"].to_numpy(dtype=object), "position": block["position"].to_numpy(), "request": request})
 
     return run
 

@@ -6,7 +6,7 @@ import importlib
 
 from logquarry.plans.base import PLANS, Plan
 
-_MODULES = ["parsing", "searching", "joining"]
+_MODULES = ["parsing", "searching", "joining", "files", "analysing", "streams"]
 
 
 def load() -> dict[str, Plan]:

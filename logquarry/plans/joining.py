@@ -632,14 +632,12 @@ def recent_alert_events(b: Bridge):
 
 
 # one row per (rule, source) and fire: the next fire is the first hit at least a cooldown later
-_COOLDOWN = (
-    _HITS.replace("with ", "with recursive ", 1)
-    + """, h as (select event_id, rule_id, concat(source_type, ':', remote_ip) as source, epoch_us(ts) as t, cooldown * 1000000 as wait from hits),
+_FIRES = """, h as (select event_id, rule_id, concat(source_type, ':', remote_ip) as source, epoch_us(ts) as t, cooldown * 1000000 as wait from hits),
  fires as (select rule_id, source, min(t) as t from h group by 1, 2
   union all select f.rule_id, f.source, (select min(h.t) from h where h.rule_id = f.rule_id and h.source = f.source and h.t >= f.t + h.wait)
   from fires f where exists (select 1 from h where h.rule_id = f.rule_id and h.source = f.source and h.t >= f.t + h.wait))
 """
-)
+_COOLDOWN = _HITS.replace("with ", "with recursive ", 1) + _FIRES
 
 
 @plan(

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from logquarry.functions import fixed
 from logquarry.functions.text import any_of, basename
@@ -22,6 +23,16 @@ def _listable(path: Column, read_compressed: bool, skip_names: list[str]) -> Col
     return ~name.isin(skip_names) & ~any_of(packed)
 
 
+def plain_path(uri: Column) -> Column:
+    """A listed path as people write it: local files without a scheme."""
+    return F.regexp_replace(uri, "^file:/+", "/")
+
+
+def scanned_path() -> Column:
+    """The path of the file a line came from (file metadata hold it percent-encoded)."""
+    return plain_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
 def _reader(spark: SparkSession, glob: str, recursive: bool):
     reader = spark.read.option("pathGlobFilter", glob)
     return reader.option("recursiveFileLookup", "true") if recursive else reader
@@ -40,7 +51,7 @@ def file_inventory(
     files = _reader(spark, glob, recursive).format("binaryFile").load(roots)
     names = fixed.SKIPPED_LOG_NAMES if skip_names is None else skip_names
     return files.filter(_listable(F.col("path"), read_compressed, names)).select(
-        "path",
+        plain_path(F.col("path")).alias("path"),
         basename(F.col("path")).alias("name"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("mtime"),
@@ -93,12 +104,13 @@ def mark_binary_files(inventory: DataFrame, *, lenient: bool = False) -> DataFra
                 if path.lower().endswith(".gz"):
                     verdicts.append(False)
                     continue
-                store, inner = FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                store, inner = FileSystem.from_uri(path)
                 with store.open_input_stream(inner) as stream:
                     verdicts.append(test(stream.read(SAMPLE_BYTES)))
             yield frame.assign(binary=verdicts)
 
-    return inventory.mapInPandas(judge, inventory.schema.add("binary", "boolean"))
+    schema = StructType([*inventory.schema.fields, StructField("binary", BooleanType())])
+    return inventory.mapInPandas(judge, schema)
 
 
 def drop_binary_files(lines: DataFrame, inventory: DataFrame, *, lenient: bool = False) -> DataFrame:
@@ -124,7 +136,7 @@ def scan_log_lines(
     names = fixed.SKIPPED_LOG_NAMES if skip_names is None else skip_names
     lines = _reader(spark, glob, recursive).text(roots)
     found = lines.select(
-        F.col("_metadata.file_path").alias("source"),
+        scanned_path().alias("source"),
         F.col("value").alias("line"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("block_order"),

@@ -39,10 +39,19 @@ def csv_keys(lines: DataFrame) -> list[str]:
 
 
 def csv_rows(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """timestamp, source, line and one column per field, blank where a line has none."""
+    """timestamp (epoch seconds), source, line and one column per field, blank where a line has none.
+
+    A field named like one of the first three takes its place.
+    """
     keys = csv_keys(lines) if keys is None else keys
-    values = [F.coalesce(F.try_element_at("columns", F.lit(k)), F.lit("")).alias(k) for k in keys]
-    return lines.select(F.col("ts").alias("timestamp"), "source", "line", *values)
+
+    def field(name: str) -> Column:
+        return F.try_element_at("columns", F.lit(name))
+
+    stamp = F.format_string("%.3f", F.unix_micros("ts") / 1_000_000)
+    base = {"timestamp": F.when(F.col("ts").isNotNull(), stamp), "source": F.col("source"), "line": F.col("line")}
+    first = [F.coalesce(field(n), v, F.lit("")).alias(n) for n, v in base.items()]
+    return lines.select(*first, *[F.coalesce(field(k), F.lit("")).alias(k) for k in keys if k not in base])
 
 
 def write_text(rows: DataFrame, path: str) -> None:

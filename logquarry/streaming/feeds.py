@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from logquarry.functions.severity import is_failure
 from logquarry.operators.parse import decode_payload
 from logquarry.operators.search import feed_rows, important_enough
+from logquarry.sources.files import scanned_path
 
 FEED_SCHEMA = "payload binary, remote_ip string, transport string, received_at timestamp"
 
@@ -53,7 +54,7 @@ def stream_log_files(spark: SparkSession, root: str, *, glob: str = "*", files_p
     reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     reader = reader.option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", str(newest_first).lower())
     lines = reader.text(root)
-    return lines.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line"))
+    return lines.select(scanned_path().alias("source"), F.col("value").alias("line"))
 
 
 def stream_journal(spark: SparkSession, path: str, *, unit: str | None = None, priority: int | None = None, **options) -> DataFrame:
