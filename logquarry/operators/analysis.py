@@ -16,7 +16,7 @@ from logquarry.functions.text import cut, ellipsize, strip
 from logquarry.operators.aggregates import analysis_window_stats, anomaly_count
 from logquarry.operators.packing import estimate_tokens
 from logquarry.operators.ranking import recent_summaries, window_analyses
-from logquarry.operators.running import running_rank, running_sum
+from logquarry.operators.running import computed_once, running_rank, running_sum
 from logquarry.operators.search import between, with_blocked
 
 BATCH_SOURCE_TYPES = ["palo_alto", "generic", "windows"]
@@ -132,7 +132,9 @@ def _object_pattern(depth: int) -> str:
 
 
 def _is_object(text: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    """A JSON object. Texts that do not even begin and end like one are not parsed: failed parses are slow."""
+    parsed = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+    return F.when(text.startswith("{") & text.endswith("}"), F.coalesce(parsed, F.lit(False))).otherwise(False)
 
 
 def reply_object(reply: Column) -> Column:
@@ -144,9 +146,10 @@ def reply_object(reply: Column) -> Column:
     text = strip(F.coalesce(reply, F.lit("")))
     fenced = F.regexp_extract_all(text, F.lit(_FENCE), F.lit(1))
     balanced = F.regexp_extract_all(text, F.lit(_object_pattern(5)), F.lit(0))
+    blocks = F.when(text.contains("```"), F.concat(fenced, balanced)).otherwise(balanced)
+    embedded = F.get(F.filter(F.reverse(blocks), _is_object), F.lit(0))
     widest = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    ordered = F.concat(F.reverse(F.concat(fenced, balanced)), F.array(text, widest))
-    return F.get(F.filter(ordered, _is_object), F.lit(0))
+    return F.coalesce(embedded, F.when(_is_object(text), text), F.when(_is_object(widest), widest))
 
 
 def _text(json: Column, key: str) -> Column:
@@ -197,7 +200,7 @@ def clean_replies(replies: DataFrame, *, column: str = "raw_response") -> DataFr
     severity = F.when(found, _choice(_text(json, "severity"), fixed.VERDICT_LEVELS, "info", "low")).otherwise("low")
     summary = F.when(found, _or(_short(_text(json, "summary"), 220), "(no summary)")).otherwise(fixed.NON_JSON_SUMMARY)
     return (
-        replies.withColumn("_json", reply_object(F.col(column)))
+        computed_once(replies, "_json", reply_object(F.col(column)))
         .withColumn("severity", severity)
         .withColumn("summary", summary)
         .withColumn("anomalies", F.transform(_items(json, "anomalies", 4), anomaly))
@@ -207,15 +210,15 @@ def clean_replies(replies: DataFrame, *, column: str = "raw_response") -> DataFr
 
 def clean_explanations(replies: DataFrame, *, column: str = "raw_response") -> DataFrame:
     """Add severity, summary (160), explanation (800) and up to four actions (120) of each reply."""
-    json = F.coalesce(F.col("_json"), F.to_json(F.struct(F.lit("low").alias("severity"), F.lit(fixed.NON_JSON_SUMMARY).alias("summary"))))
+    plain = F.to_json(F.struct(F.lit("low").alias("severity"), F.lit(fixed.NON_JSON_SUMMARY).alias("summary")))
     raw_summary = _text(F.col("_safe"), "summary")
     explanation = F.coalesce(F.nullif(_short(_text(F.col("_safe"), "explanation"), 800), F.lit("")), _short(raw_summary, 800))
     actions = F.from_json(_text(F.col("_safe"), "actions"), "array<string>")
     actions = F.slice(F.coalesce(actions, F.array().cast("array<string>")), F.lit(1), F.lit(4))
     actions = F.filter(F.transform(actions, lambda a: _short(a, 0)), lambda a: F.length(a) > 0)
     return (
-        replies.withColumn("_json", reply_object(F.col(column)))
-        .withColumn("_safe", json)
+        computed_once(replies, "_json", reply_object(F.col(column)))
+        .withColumn("_safe", F.coalesce(F.col("_json"), plain))
         .withColumn("severity", _choice(_text(F.col("_safe"), "severity"), fixed.VERDICT_LEVELS, "info", "info"))
         .withColumn("summary", _or(_short(raw_summary, 160), "Log entry explanation"))
         .withColumn("explanation", explanation)
@@ -239,7 +242,7 @@ def clean_summaries(replies: DataFrame, *, column: str = "raw_response") -> Data
     chosen = F.when(has_findings, findings).otherwise(anomalies)
     missing = F.when(json.isNull(), fixed.NON_JSON_SUMMARY).otherwise("(no summary)")
     return (
-        replies.withColumn("_json", reply_object(F.col(column)))
+        computed_once(replies, "_json", reply_object(F.col(column)))
         .withColumn("headline", _or(_short(_text(json, "headline"), 100), "(no headline)"))
         .withColumn("summary", F.coalesce(F.nullif(_short(_text(json, "summary"), 420), F.lit("")), missing))
         .withColumn("findings", F.transform(chosen, finding))

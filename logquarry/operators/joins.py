@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import fixed
 from logquarry.functions.net import ipv4_to_long, is_public
 from logquarry.functions.text import any_of
+from logquarry.operators.running import computed_once
 from logquarry.operators.search import list_events, newest
 
 BROADCAST_ROWS = 2_000_000  # ranges up to this many bucket rows are sent to every executor
@@ -34,8 +35,8 @@ def _attach_range(df: DataFrame, ip: str, buckets: DataFrame, values: list[str],
         F.col("ip_hi").alias("_hi"),
         *[F.col(v).alias(prefix + v) for v in values],
     )
-    number = ipv4_to_long(F.col(ip))
-    keyed = df.withColumn("_ip", F.when(is_public(number), number))
+    numbered = computed_once(df, "_n", ipv4_to_long(F.col(ip)))
+    keyed = computed_once(numbered, "_ip", F.when(is_public(F.col("_n")), F.col("_n"))).drop("_n")
     inside = (F.shiftright("_ip", 16) == F.col("_rb")) & F.col("_ip").between(F.col("_lo"), F.col("_hi"))
     return keyed.join(renamed, inside, "left").drop("_ip", "_rb", "_lo", "_hi")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logquarry.bridge import Bridge, with_views
+from logquarry.bridge import Bridge, spread, with_views
 from logquarry.functions import fixed
 from logquarry.operators import aggregates, analysis, packing
 from logquarry.plans.base import ANALYSES_NOW, at, big, plan
@@ -116,7 +116,7 @@ def replies(b: Bridge, body):
         F.lit("no JSON here {"),
     ]
     chosen = F.element_at(F.array(*shapes), (F.col("id") % 5 + 1).cast("int"))
-    return b.analyses.withColumn("raw_response", chosen).drop("severity", "summary", "error")
+    return spread(b.analyses).withColumn("raw_response", chosen).drop("severity", "summary", "error")
 
 
 def _level():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logquarry.bridge import Bridge, with_views
+from logquarry.bridge import Bridge, spread, with_views
 from logquarry.operators import aggregates, gate, joins, parse, ranking, rules
 from logquarry.plans.base import ANALYSES_NOW, EVENTS_NOW, at, big, plan, us
 from logquarry.plans.parsing import LINE_VIEW
@@ -33,7 +33,7 @@ def ip_sql(column: str) -> str:
  g.lon as dst_lon, g.country as dst_country from b5 left join b6 g on {ip_sql("dst_ip")} between g.ip_lo and g.ip_hi""",
 )
 def geo_enrich(b: Bridge):
-    out = joins.geo_enrich(b.flows.drop("src_lat", "src_lon", "dst_lat", "dst_lon"), b.ranges)
+    out = joins.geo_enrich(spread(b.flows).drop("src_lat", "src_lon", "dst_lat", "dst_lon"), b.ranges)
     return out.select("src_ip", "dst_ip", "bytes", "src_lat", "src_country", "dst_lat", "dst_lon", "dst_country")
 
 

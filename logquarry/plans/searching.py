@@ -356,7 +356,7 @@ def journal(b: Bridge):
     )
 
 
-@plan("scan_archive_logs", B1 + "select -id as id, remote_ip, transport, message, 'imported' as source_type from b1 where id > 100 order by id limit 2000")
+@plan("scan_archive_logs", B1 + "select -id as id, remote_ip, transport, message, 'imported' as source_type from b1 where b1.id > 100 order by b1.id limit 2000")
 def scan_archive_logs_plan(b: Bridge):
     out = scan_archive_logs(b.events, since_id=100, limit=2000)
     return out.select("id", "remote_ip", "transport", "message", "source_type")

@@ -40,6 +40,8 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 def put_batch(df: DataFrame, path: str, batch_id: int, by: list[str] | None = None) -> None:
     tagged = df.withColumn("batch", F.lit(batch_id).cast("long"))
+    if by:  # few files per folder; AQE splits the large ones
+        tagged = tagged.hint("rebalance", *by)
     writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("batch", *(by or [])).parquet(path)
 
