@@ -169,11 +169,11 @@ class Bridge:
 
     @property
     def raw(self) -> DataFrame:
-        return self._format(VIEWS["b2"].replace("from b1", "from {src}"), self._format(VIEWS["b1"].replace("from events", "from {src}"), spread(self.table("events"))))
+        return spread(self._format(VIEWS["b2"].replace("from b1", "from {src}"), self.events))
 
     @property
     def line_rows(self) -> DataFrame:
-        return self._format(_LINE_ROWS.replace("from events", "from {src}"), spread(self.table("events")))
+        return spread(self._format(_LINE_ROWS.replace("from events", "from {src}"), self.table("events")))
 
     @property
     def lines(self) -> DataFrame:
@@ -191,6 +191,6 @@ class Bridge:
     flows = property(lambda self: self.view("b5"))
     ranges = property(lambda self: self.view("b6"))
     rules = property(lambda self: self.view("b7"))
-    cloud = property(lambda self: self.view("b8"))
+    cloud = property(lambda self: spread(self.view("b8")))
     vectors = property(lambda self: self.view("b9"))
     files = property(lambda self: self.view("b10"))

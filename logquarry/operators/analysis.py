@@ -471,4 +471,4 @@ def source_key(source: Column, mtime_ns: Column, size: Column) -> Column:
 
 def index_chunks(chunks: DataFrame, path: str) -> None:
     """Replace the stored chunk sets of the sources present, leaving others alone."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_key").parquet(path)
+    chunks.hint("rebalance", "source_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_key").parquet(path)

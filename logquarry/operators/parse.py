@@ -202,60 +202,60 @@ def classify_events(
 # --- cloud events ------------------------------------------------------------------------------------------
 
 
-def json_text(body: Column, key: str) -> Column:
-    """A top-level value as trimmed text, null when missing or blank."""
-    return blank_to_null(F.get_json_object(body, f"$['{key}']"))
+def json_values(body: Column) -> Column:
+    """Top-level values of a JSON object as texts: parsed once, however many keys are probed."""
+    return F.from_json(body, "map<string,string>")
 
 
-def first_json_text(body: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[json_text(body, key) for key in keys])
+def first_text(values: Column, keys: list[str]) -> Column:
+    """The first non-blank value of a key list, trimmed."""
+    return F.coalesce(*[blank_to_null(F.try_element_at(values, F.lit(key))) for key in keys])
 
 
-def cloud_key(body: Column) -> Column:
+def cloud_key(body: Column, values: Column | None = None) -> Column:
     """Stable key: the first id-like value, else a hash of the event written with sorted keys.
 
     The hashed text is ``{"a": 1, "b": "x"}``: sorted keys, a blank after colon and comma.
     """
-    by_id = F.concat(F.lit("mist:"), first_json_text(body, fixed.CLOUD_ID_KEYS))
-    values = F.from_json(body, "map<string,variant>")
-    names = F.array_sort(F.map_keys(values))
+    values = json_values(body) if values is None else values
+    by_id = F.concat(F.lit("mist:"), first_text(values, fixed.CLOUD_ID_KEYS))
+    typed = F.from_json(body, "map<string,variant>")
     pairs = F.transform(
-        names, lambda k: F.concat(F.lit('"'), k, F.lit('": '), F.to_json(F.element_at(values, k)))
+        F.array_sort(F.map_keys(typed)), lambda k: F.concat(F.lit('"'), k, F.lit('": '), F.to_json(F.element_at(typed, k)))
     )
     text = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
     return F.coalesce(by_id, F.concat(F.lit("mist:hash:"), F.left(F.sha2(text, 256), F.lit(32))))
 
 
-def cloud_time(body: Column) -> Column:
+def cloud_time(values: Column) -> Column:
     """Event time; values above 1e12 are milliseconds."""
-    value = F.coalesce(*[F.get_json_object(body, f"$.{key}").try_cast("double") for key in fixed.CLOUD_TIME_KEYS])
+    value = F.coalesce(*[F.try_element_at(values, F.lit(key)).try_cast("double") for key in fixed.CLOUD_TIME_KEYS])
     seconds = F.when(value > 1e12, value / 1000).otherwise(value)
     return F.timestamp_micros(F.round(seconds * 1000000).cast("long"))
 
 
 def normalize_cloud_events(df: DataFrame, *, raw_limit: int = fixed.RAW_LIMIT) -> DataFrame:
     """JSON bodies as event rows (input columns other than ``body`` are kept)."""
-    body = F.col("body")
-    title, text = first_json_text(body, fixed.CLOUD_TITLE_KEYS), first_json_text(body, fixed.CLOUD_BODY_KEYS)
-    both = F.concat(F.col("_title"), F.lit(": "), F.col("_text"))
+    body, values, blank = F.col("body"), F.col("_values"), F.lit("")
     kept = [c for c in df.columns if c != "body"]
-    return (
-        df.withColumn("_title", title)
-        .withColumn("_text", text)
-        .select(
-            *kept,
-            F.lit("mist").alias("source_type"),
-            F.lit("mist").alias("source_id"),
-            F.lit("mist.cloud").alias("remote_ip"),
-            F.lit("mist_api").alias("transport"),
-            F.coalesce(first_json_text(body, fixed.CLOUD_HOST_KEYS), F.lit("")).alias("syslog_host"),
-            cut(body, raw_limit).alias("raw"),
-            F.coalesce(both, "_title", "_text", cut(body, 500)).alias("message"),
-            cloud_key(body).alias("parser"),
-            F.coalesce(F.col("_title"), F.lit("")).alias("log_type"),
-            F.coalesce(first_json_text(body, fixed.CLOUD_ACTION_KEYS), F.lit("")).alias("action"),
-            cloud_time(body).alias("event_ts"),
-        )
+    parsed = (
+        computed_once(df, "_values", json_values(body))
+        .withColumn("_title", first_text(values, fixed.CLOUD_TITLE_KEYS))
+        .withColumn("_text", first_text(values, fixed.CLOUD_BODY_KEYS))
+    )
+    return parsed.select(
+        *kept,
+        F.lit("mist").alias("source_type"),
+        F.lit("mist").alias("source_id"),
+        F.lit("mist.cloud").alias("remote_ip"),
+        F.lit("mist_api").alias("transport"),
+        F.coalesce(first_text(values, fixed.CLOUD_HOST_KEYS), blank).alias("syslog_host"),
+        cut(body, raw_limit).alias("raw"),
+        F.coalesce(F.concat("_title", F.lit(": "), "_text"), "_title", "_text", cut(body, 500)).alias("message"),
+        cloud_key(body, values).alias("parser"),
+        F.coalesce("_title", blank).alias("log_type"),
+        F.coalesce(first_text(values, fixed.CLOUD_ACTION_KEYS), blank).alias("action"),
+        cloud_time(values).alias("event_ts"),
     )
 
 

@@ -323,7 +323,7 @@ def prepare_embed_text(b: Bridge):
   union all select t.source, t.n, t.start_line, case when g.closed or t.tokens > 600 or g.opened + t.tokens > 600 then g.request + 1 else g.request end,
   case when t.tokens > 600 then 0 when g.closed or g.opened + t.tokens > 600 then t.tokens else g.opened + t.tokens end, t.tokens > 600
   from g join tk t on t.source = g.source and t.n = g.n + 1)
- select source, start_line, request from g""",
+ select source, start_line, request::bigint as request from g""",
 )
 def pack_token_budget(b: Bridge):
     texts = prepared(b).select("source", F.col("start_line").alias("position"), "tokens")

@@ -40,7 +40,7 @@ def geo_enrich(b: Bridge):
 @plan(
     "geo_enrich_distinct",
     with_views("b5", "b6")
-    + f"""select dst_country, count(*) as flows, sum(bytes) as bytes from (select b5.bytes, g.country as dst_country
+    + f"""select dst_country, count(*) as flows, sum(bytes)::bigint as bytes from (select b5.bytes, g.country as dst_country
  from b5 left join b6 g on {ip_sql("dst_ip")} between g.ip_lo and g.ip_hi) x group by dst_country""",
 )
 def geo_enrich_distinct(b: Bridge):
@@ -311,7 +311,7 @@ def flow_aggregates(b: Bridge):
 @plan(
     "archive_flow_aggregates",
     B5
-    + """select src_ip, dst_ip, count(*) as cnt, sum(coalesce(bytes, 0)) as sum_bytes, max(src_lon) as src_lon from b5
+    + """select src_ip, dst_ip, count(*) as cnt, sum(coalesce(bytes, 0))::bigint as sum_bytes, max(src_lon) as src_lon from b5
  where ts >= timestamp '1996-01-01' group by 1, 2
  having max(src_lat) is not null and max(dst_lat) is not null order by cnt desc, src_ip, dst_ip limit 2000""",
 )

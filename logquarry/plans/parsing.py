@@ -163,7 +163,7 @@ def columnize_syslog(b: Bridge):
 @plan(
     "columnize_csv",
     with_views("b1")
-    + """select id, 32 as fields, '1' as col1, log_type as col4, coalesce(src_ip, '198.51.100.1') as col9, 'rule, a' as col13,
+    + """select id, 32::bigint as fields, '1' as col1, log_type as col4, coalesce(src_ip, '198.51.100.1') as col9, 'rule, a' as col13,
  '' as col14, action as col28 from b1 where source_type = 'palo_alto'""",
 )
 def columnize_csv(b: Bridge):
@@ -273,7 +273,7 @@ def windows_records(b: Bridge):
 
 @plan(
     "windows_event_rows",
-    """select event_id as record_id, case event_id % 6 when 1 then 2 when 2 then 3 when 3 then 4 when 4 then 5 else 6 end as severity,
+    """select event_id as record_id, (case event_id % 6 when 1 then 2 when 2 then 3 when 3 then 4 when 4 then 5 else 6 end)::bigint as severity,
  concat('[System] ', case when event_id % 2 = 0 then event_type
   else concat('EventId=', event_id % 7, ' Provider=Provider-', user_id % 4) end) as message
  from events where user_id % 4 in (0, 2) and event_id % 7 in (1, 2, 4, 5)
