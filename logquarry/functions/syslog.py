@@ -31,10 +31,9 @@ class FirewallMap:
 
 
 def header_pri(raw: Column) -> Column:
-    """The number of ``<n>1 …`` or ``<n>…`` at the start of the stripped text."""
-    text = strip(raw)
-    versioned = F.regexp_extract(text, fixed.VERSIONED_PRI, 1).try_cast("int")
-    return F.coalesce(versioned, F.regexp_extract(text, fixed.PRI_PREFIX, 1).try_cast("int"))
+    """The number of ``<n>…`` or ``<n>1 …`` at the start; more than three digits only in the second form."""
+    short = F.regexp_extract(raw, r"^\s*" + fixed.PRI_AT_START[1:], 1).try_cast("int")
+    return F.coalesce(short, F.when(is_versioned(raw), F.regexp_extract(raw, r"^\s*<(\d+)>", 1).try_cast("int")))
 
 
 def facility(pri: Column) -> Column:
@@ -42,7 +41,8 @@ def facility(pri: Column) -> Column:
 
 
 def is_versioned(raw: Column) -> Column:
-    return strip(raw).rlike(fixed.VERSIONED_PRI)
+    # blanks around the text do not count, so something must follow the version
+    return raw.rlike(r"^\s*" + fixed.VERSIONED_PRI[1:] + r"\s*\S")
 
 
 def after_marker(text: Column) -> Column:
