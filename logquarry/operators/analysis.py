@@ -295,9 +295,7 @@ def summary_context(
         F.concat(F.lit(f"ROLE={kind}_META_WINDOW UTC="), _stamp(since), F.lit(".."), _stamp(until)),
         F.concat(F.lit("AGGREGATE_JSON="), F.col("stats_json")),
     ]
-    joined = stats.select(json.alias("stats_json"), F.lit(1).alias("_j")).join(
-        collected.select(numbered.alias("snippets"), F.lit(1).alias("_j")), "_j"
-    )
+    pieces = stats.select(json.alias("stats_json")).unionByName(collected.select(numbered.alias("snippets")), allowMissingColumns=True)
     if weekly:
         if summaries is None:
             raise ValueError("a weekly context needs the summaries")
@@ -307,11 +305,13 @@ def summary_context(
             F.lit(" conf="), F.coalesce("confidence", F.lit("")), F.lit(" headline="), _one_line(F.col("headline"), 140),
         )
         runs = daily.agg(F.sort_array(F.collect_list(F.struct("created_at", "id", line.alias("t"))), asc=False).alias("d"))
-        joined = joined.join(runs.select(F.transform("d", lambda r: r["t"]).alias("runs"), F.lit(1).alias("_j")), "_j")
+        pieces = pieces.unionByName(runs.select(F.transform("d", lambda r: r["t"]).alias("runs")), allowMissingColumns=True)
         listing = F.when(F.size("runs") > 0, F.array_join("runs", "\n")).otherwise(fixed.NO_DAILY_RUNS)
         parts += [F.lit("RECENT_DAILY_META_RUNS (newest first):"), listing, F.lit("PER_ANALYSIS_SNIPPETS:")]
     else:
         parts += [F.lit("PER_ANALYSIS_SNIPPETS (oldest→newest in window; summaries truncated):")]
+    # one row per piece, put side by side
+    joined = pieces.agg(*[F.first(c, ignorenulls=True).alias(c) for c in pieces.columns])
     closing = F.lit(fixed.WEEKLY_TASK if weekly else fixed.DAILY_TASK)
     return joined.select(F.array_join(F.concat(F.array(*parts), "snippets", F.array(closing)), "\n").alias("context"))
 

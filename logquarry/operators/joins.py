@@ -11,7 +11,7 @@ from logquarry.functions.text import any_of
 from logquarry.operators.running import computed_once
 from logquarry.operators.search import list_events, newest
 
-BROADCAST_ROWS = 2_000_000  # ranges up to this many bucket rows are sent to every executor
+BROADCAST_ROWS = 1_000_000  # ranges up to this many bucket rows are sent to every executor
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

@@ -222,14 +222,11 @@ def page_lines(
     else:
         raise ValueError("direction must be tail, older, newer or forward")
     page = part.orderBy(order("line_index")).limit(limit)
-    ends = mine.agg(F.min("line_index").alias("_first"), F.max("line_index").alias("_last"))
+    first, last = mine.agg(F.min("line_index"), F.max("line_index")).first()
     edges = Window.partitionBy()  # a page: at most ``limit`` rows
-    placed = page.withColumn("_lo", F.min("line_index").over(edges)).withColumn("_hi", F.max("line_index").over(edges))
-    joined = placed.withColumn("_j", F.lit(1)).join(ends.withColumn("_j", F.lit(1)), "_j")
     return (
-        joined.withColumn("has_older", F.col("_lo") > F.col("_first"))
-        .withColumn("has_newer", F.col("_hi") < F.col("_last"))
-        .drop("_j", "_lo", "_hi", "_first", "_last")
+        page.withColumn("has_older", F.min("line_index").over(edges) > F.lit(first))
+        .withColumn("has_newer", F.max("line_index").over(edges) < F.lit(last))
         .orderBy("line_index")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from logquarry.functions.fixed import RAW_LIMIT
 from logquarry.functions.severity import is_failure
 from logquarry.operators.parse import decode_payload
 from logquarry.operators.search import feed_rows, important_enough
@@ -84,3 +85,13 @@ def stream_live_feed(events: DataFrame, failure_lines: DataFrame | None = None,
 def watermarked_dedup(events: DataFrame, *, key: str = "parser", ts: str = "event_ts", delay: str = "1 day") -> DataFrame:
     """Drop repeats of a key within the watermark: bounded state, for feeds that repeat only for a while."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+
+
+def observe_ingest(messages: DataFrame, transports: list[str], *, name: str = "ingest") -> DataFrame:
+    """Count received messages, oversize ones and each transport while the stream runs.
+
+    The counts of every micro-batch are in the query's progress under ``name``; they cost no extra pass.
+    """
+    per_transport = [F.count_if(F.col("transport") == t).alias(f"transport_{t}") for t in transports]
+    oversize = F.count_if(F.length("raw") > RAW_LIMIT).alias("truncated")
+    return messages.observe(name, F.count(F.lit(1)).alias("received"), oversize, *per_transport)

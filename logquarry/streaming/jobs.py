@@ -109,12 +109,18 @@ def gate_stream_batch(path: str, *, cap: int = 30) -> Callable[[DataFrame, int],
     return handle
 
 
-def dedup_batch(path: str, *, order: str = "seq") -> Callable[[DataFrame, int], None]:
-    """Handler of parsed cloud events: keep keys never stored before, the first of each key."""
+def dedup_batch(path: str, *, order: str = "seq", horizon: int | None = None) -> Callable[[DataFrame, int], None]:
+    """Handler of parsed cloud events: keep keys never stored before, the first of each key.
+
+    With a ``horizon`` only the keys of that many earlier batches count, and only their folders are read; use it
+    where events are retained no longer than that.
+    """
 
     def handle(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
         known = read_or_empty(spark, f"{path}/keys", KEYS_SCHEMA).filter(F.col("batch") < batch_id)
+        if horizon is not None:
+            known = known.filter(F.col("batch") >= batch_id - horizon)
         put_batch(dedup_new_events(events, known, order=order), f"{path}/events", batch_id)
         fresh = spark.read.parquet(f"{path}/events").filter(F.col("batch") == batch_id)
         put_batch(fresh.select("parser"), f"{path}/keys", batch_id)

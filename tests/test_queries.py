@@ -29,3 +29,12 @@ def test_query(bridge, sql, key):
     result = sql.sql(PLANS[key].sql)
     assert sorted(result.columns) == sorted(df.columns)
     assert got == rows(result.columns, result.fetchall())
+
+
+STORES = ("stream", "ingest_rate_stream", "alert_gate", "record_alert_events", "export", "append_events", "index_chunks", "route_per_sender")
+
+
+@pytest.mark.parametrize("key", [k for k in PLANS if not k.startswith(STORES)])
+def test_no_query_pairs_every_row_with_every_row(bridge, key):
+    plan = PLANS[key].run(bridge)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
