@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logquarry.llm import language, mixing, rules, simhash, tokens, toxicity, urls
+from logquarry.llm import decontam, language, mixing, rules, simhash, suffixes, tokens, toxicity, urls
 from logquarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.query(table(spark, folder, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -30,6 +34,10 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeats(table(spark, folder, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality(table(spark, folder, "documents"))
 
@@ -42,8 +50,7 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix, op3_simhash, op4_toxicity, op5_token_counts, op7_quality_rules, op8_url_filter, op9_language)
-}
+_ALL = (op1_mix, op2_decontaminate, op3_simhash, op4_toxicity, op5_token_counts, op6_suffixes, op7_quality_rules, op8_url_filter, op9_language)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
