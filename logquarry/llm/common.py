@@ -9,14 +9,23 @@ from logquarry.session import shared_dir
 
 #: Words are maximal runs of anything but these six ASCII blanks, as ``bytes.split()`` cuts them too.
 WORD = r"[^\x20\x09-\x0D]+"
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a table in the cluster's shared folder: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows as a table in the cluster's shared folder: cuts the lineage and survives lost executors.
+
+    The shuffle files of the job that writes it are dropped as soon as the table stands.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -195,3 +195,10 @@ def identify(docs: DataFrame, *, per_language: int = SAMPLE, trees: Trees | None
     score = F.pandas_udf(_scorer(sent), "lang_pred string, score double, bits_per_byte double")
     scored = docs.select("doc_id", held_out().alias("held_out"), score("text").alias("s"))
     return scored.select("doc_id", "held_out", "s.lang_pred", "s.score", "s.bits_per_byte")
+
+
+def known(docs: DataFrame, *, per_language: int = SAMPLE) -> DataFrame:
+    """The documents whose language is known, decided row by row; their columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))
+    score = F.pandas_udf(_scorer(sent), "lang_pred string, score double, bits_per_byte double")
+    return docs.withColumn("_language", score("text")).filter(F.col("_language.lang_pred") != UNKNOWN).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logquarry.llm import decontam, language, mixing, rules, simhash, suffixes, tokens, toxicity, urls
+from logquarry.llm import decontam, language, mixing, perplexity, rules, simhash, suffixes, tokens, toxicity, urls
 from logquarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,11 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
-_ALL = (op1_mix, op2_decontaminate, op3_simhash, op4_toxicity, op5_token_counts, op6_suffixes, op7_quality_rules, op8_url_filter, op9_language)
+def op10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_ALL = (op1_mix, op2_decontaminate, op3_simhash, op4_toxicity, op5_token_counts, op6_suffixes, op7_quality_rules, op8_url_filter, op9_language, op10_perplexity)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}

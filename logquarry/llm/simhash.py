@@ -70,89 +70,170 @@ def _prefix(depth: int):
 
 
 def trie(prints: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The levels' nodes (up, node, leaf) below the root, and the leaves (depth, node, members).
+    """The levels' nodes (family, up, node, leaf) below the roots, and the leaves (family, depth, node, members).
 
-    ``prints`` holds distinct fingerprints. A level only looks at the fingerprints whose parent was split.
+    ``prints`` has family (one root for each), fp and member, an array of numbers that starts with fp; members of a
+    leaf are laid end to end. A level only looks at the fingerprints whose parent was split.
     """
     levels, leaves, inside, depth = [], [], prints, 0
     while depth < 64:
         depth += STEP
-        counted = inside.groupBy(_prefix(depth).alias("node")).agg(F.count("*").alias("n"))
+        counted = inside.groupBy("family", _prefix(depth).alias("node")).agg(F.count("*").alias("n"))
         leaf = (F.col("n") <= LEAF) if depth < 64 else F.lit(True)
-        nodes = written(counted.select(F.shiftrightunsigned("node", STEP).alias("up"), "node", leaf.alias("leaf")), "trie")
-        keyed = inside.withColumn("node", _prefix(depth)).join(nodes.select("node", "leaf"), "node")
-        leaves.append(keyed.filter("leaf").groupBy("node").agg(F.collect_list("fp").alias("members")).withColumn("depth", F.lit(depth)))
+        nodes = written(counted.select("family", F.shiftrightunsigned("node", STEP).alias("up"), "node", leaf.alias("leaf")), "trie")
+        keyed = inside.withColumn("node", _prefix(depth)).join(nodes.select("family", "node", "leaf"), ["family", "node"])
+        held = keyed.filter("leaf").groupBy("family", "node").agg(F.flatten(F.collect_list("member")).alias("members"))
+        leaves.append(held.withColumn("depth", F.lit(depth)))
         levels.append(nodes)
-        inside = written(keyed.filter("not leaf").select("fp"), "inside")
+        inside = written(keyed.filter("not leaf").select("family", "fp", "member"), "inside")
         if inside.isEmpty():
             break
     return levels, written(reduce(DataFrame.unionByName, leaves), "leaves")
 
 
 def leaf_pairs(levels: list[DataFrame], budget: int) -> DataFrame:
-    """(da, a, db, b) leaf pairs whose prefixes differ in at most ``budget`` bits, each unordered pair once."""
-    spark = levels[0].sparkSession
-    root = "struct<depth:int,node:bigint,leaf:boolean>"
-    frontier = spark.range(1).selectExpr("named_struct('depth', 0, 'node', 0L, 'leaf', false) a", "named_struct('depth', 0, 'node', 0L, 'leaf', false) b", "0 diff")
-    frontier = frontier.select(F.col("a").cast(root), F.col("b").cast(root), F.col("diff").cast("int"))
+    """(family, da, a, db, b) leaf pairs whose prefixes differ in at most ``budget`` bits, each unordered pair once."""
+    node = "struct<depth:int,node:bigint,leaf:boolean>"
+    root = F.expr("named_struct('depth', 0, 'node', 0L, 'leaf', false)").cast(node)
+    frontier = levels[0].select("family").distinct().select("family", root.alias("a"), root.alias("b"), F.lit(0).alias("diff"))
     done = []
     for level, nodes in enumerate(levels, 1):
         child = F.struct(F.lit(level * STEP).alias("depth"), F.col("node"), F.col("leaf"))
-        kids = nodes.select("up", child.alias("kid"))
-        open_ = frontier.filter("not a.leaf or not b.leaf")
-        done.append(frontier.filter("a.leaf and b.leaf").select("a", "b"))
-        twins = open_.filter("not a.leaf and not b.leaf")
-        twins = twins.join(kids.select(F.col("up").alias("ua"), F.col("kid").alias("ka")), F.col("a.node") == F.col("ua"))
+        done.append(frontier.filter("a.leaf and b.leaf").select("family", "a", "b"))
+        both = frontier.filter("not a.leaf and not b.leaf").withColumn("ua", F.col("a.node")).withColumn("ub", F.col("b.node"))
+        both = both.join(nodes.select("family", F.col("up").alias("ua"), child.alias("ka")), ["family", "ua"])
+        kids = nodes.select(F.col("family").alias("fb"), F.col("up").alias("vb"), child.alias("kb"))
         differ = F.col("diff") + F.bit_count(F.col("ka.node").bitwiseXOR(F.col("kb.node")).bitwiseAND((1 << STEP) - 1))
-        near = (F.col("b.node") == F.col("ub")) & (differ <= budget) & (F.col("ka.node") <= F.col("kb.node"))
-        twins = twins.join(kids.select(F.col("up").alias("ub"), F.col("kid").alias("kb")), near)
-        steps = [twins.select(F.col("ka").alias("a"), F.col("kb").alias("b"), differ.cast("int").alias("diff"))]
+        near = (F.col("family") == F.col("fb")) & (F.col("ub") == F.col("vb")) & (differ <= budget) & (F.col("ka.node") <= F.col("kb.node"))
+        both = both.join(kids, near).select("family", F.col("ka").alias("a"), F.col("kb").alias("b"), differ.cast("int").alias("diff"))
         # a leaf has no further bits to compare: it meets every child of the other node
-        mixed = open_.filter("a.leaf or b.leaf").select(
-            F.when(F.col("a.leaf"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.leaf"), F.col("b")).otherwise(F.col("a")).alias("b"), "diff"
+        mixed = frontier.filter("a.leaf <> b.leaf").select(
+            "family",
+            F.when(F.col("a.leaf"), F.col("a")).otherwise(F.col("b")).alias("a"),
+            F.when(F.col("a.leaf"), F.col("b.node")).otherwise(F.col("a.node")).alias("ub"),
+            "diff",
         )
-        mixed = mixed.join(kids, F.col("b.node") == F.col("up")).select("a", F.col("kid").alias("b"), "diff")
-        # the leaf stands for longer prefixes, so it is checked again against the other side's members later
-        frontier = written(steps[0].unionByName(mixed), "pairs")
-    done.append(frontier.filter("a.leaf and b.leaf").select("a", "b"))
+        mixed = mixed.join(nodes.select("family", F.col("up").alias("ub"), child.alias("b")), ["family", "ub"])
+        frontier = written(both.unionByName(mixed.select("family", "a", "b", "diff")), "pairs")
+    done.append(frontier.filter("a.leaf and b.leaf").select("family", "a", "b"))
     pairs = reduce(DataFrame.unionByName, done)
-    return pairs.select(F.col("a.depth").alias("da"), F.col("a.node").alias("a"), F.col("b.depth").alias("db"), F.col("b.node").alias("b"))
+    return pairs.select("family", F.col("a.depth").alias("da"), F.col("a.node").alias("a"), F.col("b.depth").alias("db"), F.col("b.node").alias("b"))
+
+
+def _joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number reachable from each of ``n`` nodes along the links i - j."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compare(budget: int, width: int, wide_budget: int):
+    def near_in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= budget
+        if width > 2:
+            i, j = np.nonzero(near)
+            near[i, j] = np.bitwise_count(a[i, 2:] ^ b[j, 2:]).sum(axis=1, dtype=np.int64) <= wide_budget
+        return near
 
-
-def _compare(budget: int):
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            left, right = [], []
+            u, v = [], []
             for same, a, b in zip(rows["same"], rows["left"], rows["right"]):
-                a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-                near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= budget
-                i, j = np.nonzero(np.triu(near, 1) if same else near)
-                left.append(a[i])
-                right.append(b[j])
-            if left:
-                yield pd.DataFrame({"u": np.concatenate(left), "v": np.concatenate(right)})
+                a, b = (np.asarray(x, np.int64).view(np.uint64).reshape(-1, width) for x in (a, b))
+                keys = (a if same else np.concatenate([a, b]))[:, min(1, width - 1)].view(np.int64)
+                i, j = [], []
+                for at in range(0, len(a), 1024):
+                    x, y = np.nonzero(near_in(a[at : at + 1024], b))
+                    x, y = x + at, y + (0 if same else len(a))
+                    i.append(x[x != y])
+                    j.append(y[x != y])
+                label = _joined(np.concatenate(i), np.concatenate(j), len(keys))
+                moved = np.flatnonzero(label != np.arange(len(keys)))
+                u.append(keys[moved])
+                v.append(keys[label[moved]])
+            if u:
+                yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     return close
 
 
-def links(prints: DataFrame, budget: int) -> DataFrame:
-    """(u, v): all pairs of distinct fingerprints that differ in 1 to ``budget`` bits, each pair once."""
+def links(prints: DataFrame, budget: int, *, width: int = 1, wide_budget: int = 0) -> DataFrame:
+    """(u, v): links that join exactly the members whose fingerprints differ in at most ``budget`` bits.
+
+    ``prints`` as for ``trie``; a member is (fp), then named by its fp, or (fp, name, further bits ...), which may
+    differ in ``wide_budget`` bits. A pair of leaves gives a link per member at most: the members that its own links
+    connect are joined to the first of them, so a dense group doesn't give all its pairs.
+    """
     levels, leaves = trie(prints)
     pairs = written(leaf_pairs(levels, budget), "leafpairs")
-    left = leaves.select(F.col("depth").alias("da"), F.col("node").alias("a"), F.col("members").alias("left"))
-    right = leaves.select(F.col("depth").alias("db"), F.col("node").alias("b"), F.col("members").alias("right"))
-    met = pairs.join(left, ["da", "a"]).join(right, ["db", "b"])
+    left = leaves.select("family", F.col("depth").alias("da"), F.col("node").alias("a"), F.col("members").alias("left"))
+    right = leaves.select("family", F.col("depth").alias("db"), F.col("node").alias("b"), F.col("members").alias("right"))
+    met = pairs.join(left, ["family", "da", "a"]).join(right, ["family", "db", "b"])
     met = met.select(((F.col("da") == F.col("db")) & (F.col("a") == F.col("b"))).alias("same"), "left", "right")
-    return met.mapInPandas(_compare(budget), "u long, v long")
+    return met.mapInPandas(_compare(budget, width, wide_budget), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; components link fingerprints within ``budget`` bits."""
     prints = written(fingerprints(docs, width), "prints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    linked = components(links(classes.select("fp"), budget), "u", "v").withColumnRenamed("node", "fp")
+    single = classes.select(F.lit(0).alias("family"), "fp", F.array("fp").alias("member"))
+    linked = components(links(single, budget), "u", "v").withColumnRenamed("node", "fp")
     named = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = written(named, "named")
     roots = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
     member = written(named.join(roots, "root").select("fp", "component_id"), "members")
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+FAMILIES, FAMILY_BUDGET = 4, 3  # word-set fingerprints with different seeds, and their bits that may differ
+SHINGLE, WIDE_BUDGET = 5, 44  # words of a shingle; of 256 shingle bits, those that differ at a similarity of 0.8
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def profile(text: str | None) -> list[int]:
+    """Word-set fingerprints by ``FAMILIES`` seeds, then as many of the 5-word shingles, of the plain lower-cased words."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split()
+    runs = set(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))) if len(words) >= SHINGLE else {b" ".join(words)} - {b""}
+    out = []
+    for some in (set(words), runs):
+        hashes = np.fromiter(map(xxh64_intdigest, some, repeat(SEED)), np.uint64, len(some))
+        for factor in _MIX[:FAMILIES]:
+            mixed = hashes * np.uint64(factor)
+            out.append(vote(mixed ^ (mixed >> np.uint64(32))))
+    return out
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents without those that have a near copy with a smaller id; see the pipeline.
+
+    Two documents are near copies if one of ``FAMILIES`` word-set fingerprints differs in at most ``FAMILY_BUDGET``
+    bits (this is what the trie finds) and their 5-word shingles' 256 bits in at most ``WIDE_BUDGET``, as they do at a
+    Jaccard similarity of about 0.8 or more. A row without an id stays; rows that share an id share its fate.
+    """
+
+    def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([profile(t) for t in texts], dtype=object)
+
+    profiles.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    bits = docs.filter("doc_id is not null").select("doc_id", F.pandas_udf(profiles, "array<bigint>")("text").alias("bits"))
+    bits = written(bits, "profiles")
+    classes = written(bits.groupBy("bits").agg(F.min("doc_id").alias("name")), "classes")
+    wide = [F.col("bits")[FAMILIES + k] for k in range(FAMILIES)]
+    each = classes.select("bits", "name", F.posexplode(F.slice("bits", 1, FAMILIES)).alias("family", "fp"))
+    each = each.select("family", "fp", F.array("fp", "name", *wide).alias("member"))
+    linked = written(components(links(each, FAMILY_BUDGET, width=2 + FAMILIES, wide_budget=WIDE_BUDGET), "u", "v"), "linked")
+    roots = written(classes.join(linked, classes["name"] == linked["node"], "left").select("bits", F.coalesce("root", "name").alias("root")), "roots")
+    gone = written(bits.join(roots, "bits").filter("doc_id <> root").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -344,4 +344,7 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = docs.withColumn("_k1", doc).withColumn("_k2", sub)
     rows = rows.join(found, (F.col("_k1") == F.col("_doc")) & (F.col("_k2") == F.col("_sub")), "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(_cut, "string")("text", "_spans"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    kept = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return kept.select(*docs.columns)
