@@ -167,13 +167,13 @@ def csv_map(line: Column, delimiter: str = ",", quote: str = '"') -> Column:
 
 def regex_map(line: Column, pattern: str) -> Column:
     """Named groups as fields; ``match`` when there are none; ``line`` when nothing matches."""
-    from logquarry.functions.text import valid_regex
-    from logquarry.functions.times import jvm_pattern, pattern_groups
+    from logquarry.functions.text import jvm_pattern
+    from logquarry.functions.times import pattern_groups
 
     whole = F.create_map(F.lit("line"), line)
-    if not pattern or not valid_regex(pattern):
-        return whole
     jvm, groups = jvm_pattern(pattern), pattern_groups(pattern)
+    if not pattern or jvm is None:
+        return whole
     if groups:
         found = [x for name, i in groups.items() for x in (F.lit(name), F.regexp_extract(line, jvm, i))]
     else:

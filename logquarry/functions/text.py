@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.functions.fixed import ELLIPSIS
@@ -169,17 +171,34 @@ def all_terms(column: Column, query: str) -> Column:
     return all_of([F.lower(column).like(f"%{term}%") for term in query.lower().split()])
 
 
-def valid_regex(pattern: str) -> bool:
+def jvm_pattern(pattern: str) -> str | None:
+    """A user's pattern as the JVM reads it, None where either side refuses it.
+
+    Named groups become plain ones with the same numbers, and back references to them go by number.
+    """
     try:
-        re.compile(pattern)
+        groups = re.compile(pattern).groupindex
     except re.error:
-        return False
-    return True
+        return None
+    plain = re.sub(r"\(\?P=(\w+)\)", lambda m: f"(?:\\{groups[m[1]]})", pattern)
+    plain = re.sub(r"\(\?P<\w+>", "(", plain)
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        try:
+            session._jvm.java.util.regex.Pattern.compile(plain)
+        except (Py4JJavaError, PySparkException):
+            return None
+    return plain
+
+
+def valid_regex(pattern: str) -> bool:
+    return jvm_pattern(pattern) is not None
 
 
 def regex_search(column: Column, pattern: str) -> Column:
-    """Case-insensitive match anywhere; a malformed pattern matches nothing."""
-    return column.rlike("(?i)" + pattern) if valid_regex(pattern) else F.lit(False)
+    """Case-insensitive match anywhere; a malformed pattern matches nothing and never fails the job."""
+    plain = jvm_pattern(pattern)
+    return F.lit(False) if plain is None else column.rlike("(?i)" + plain)
 
 
 def query_predicate(column: str, query: str, mode: str) -> Column:

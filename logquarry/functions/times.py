@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logquarry.functions import fixed
+from logquarry.functions.text import jvm_pattern
 
 _WINDOW_UNITS = {"m": 60, "h": 3600, "d": 86400}
 
@@ -49,13 +50,11 @@ def line_timestamp(line: Column, year: Column | int | None = None) -> Column:
 
 
 def pattern_groups(pattern: str) -> dict[str, int]:
-    """Named groups of a pattern with their numbers."""
-    return dict(re.compile(pattern).groupindex)
-
-
-def jvm_pattern(pattern: str) -> str:
-    """Named groups in the spelling and character set the JVM accepts (numbers stay the same)."""
-    return re.sub(r"\(\?P<\w+>", "(", pattern)
+    """Named groups of a pattern with their numbers; none for a malformed one."""
+    try:
+        return dict(re.compile(pattern).groupindex)
+    except re.error:
+        return {}
 
 
 def pattern_timestamp(
@@ -66,10 +65,9 @@ def pattern_timestamp(
     time_default: str = "00:00:00",
 ) -> Column:
     """Date and time groups of a pattern; the fraction is dropped, a missing time takes the default."""
-    groups = pattern_groups(pattern)
-    if date_group not in groups:
+    groups, jvm = pattern_groups(pattern), jvm_pattern(pattern)
+    if date_group not in groups or jvm is None:
         return F.lit(None).cast("timestamp")
-    jvm = jvm_pattern(pattern)
     day = F.regexp_extract(line, jvm, groups[date_group])
     clock = F.nullif(F.regexp_extract(line, jvm, groups[time_group]), F.lit("")) if time_group in groups else F.lit(None)
     clock = F.substring_index(F.coalesce(clock, F.lit(time_default)), ".", 1)

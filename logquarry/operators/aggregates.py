@@ -115,8 +115,8 @@ def analysis_window_stats(analyses: DataFrame, since: Column, until: Column) ->
 
 
 def daily_trend(analyses: DataFrame, today: Column, *, lookback_days: int = 42) -> DataFrame:
-    """Per day sums from ``lookback_days`` days before today on (1 to 120)."""
-    days = max(1, min(120, lookback_days))
+    """Per day sums from ``lookback_days`` days before today on."""
+    days = max(1, lookback_days)
     df = analyses.filter(F.col("created_at") >= F.date_sub(today, days).cast("timestamp"))
     sums = {n: c for n, c in _analysis_sums(df).items() if not n.startswith("sev_")}
     return df.groupBy(day_of(F.col("created_at")).alias("day")).agg(*[c.alias(n) for n, c in sums.items()])

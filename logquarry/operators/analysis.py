@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -118,17 +120,49 @@ def run_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], *, na
 
 # --- reply cleaning ----------------------------------------------------------------------------------------
 
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
-_FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+_FENCED = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.I | re.S)
 
 
-def _object_pattern(depth: int) -> str:
-    """A braces-balanced, string-aware object up to a nesting depth."""
-    inner = r"[^{}\"]++|" + _STRING
-    pattern = r"\{(?:" + inner + r")*+\}"
-    for _ in range(depth - 1):
-        pattern = r"\{(?:" + inner + "|" + pattern + r")*+\}"
-    return "(?s)" + pattern
+def balanced_objects(text: str) -> list[str]:
+    """The outermost balanced ``{…}`` stretches of any nesting depth; braces inside strings do not count.
+
+    A brace that is never closed opens nothing: what it holds is looked at again without it.
+    """
+    open_at: list[int] = []
+    spans: list[tuple[int, int]] = []
+    for token in _TOKEN.finditer(text):
+        if token[0] == "{":
+            open_at.append(token.start())
+        elif token[0] == "}" and open_at:
+            start = open_at.pop()
+            while spans and spans[-1][0] > start:  # inner objects belong to this one
+                spans.pop()
+            spans.append((start, token.end()))
+    return [text[a:b] for a, b in spans]
+
+
+def embedded_object(text: str | None) -> str | None:
+    """The whole text if it is a JSON object, else the last of its fenced blocks and balanced objects that is one."""
+    if not text or "{" not in text:
+        return None
+    if _is_json_object(text):
+        return text
+    blocks = [m[1] for m in _FENCED.finditer(text)] if "```" in text else []
+    return next((b for b in reversed(blocks + balanced_objects(text)) if _is_json_object(b)), None)
+
+
+def _is_json_object(text: str) -> bool:
+    if not (text.startswith("{") and text.endswith("}")):
+        return False
+    try:
+        return isinstance(json.loads(text), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
+def _embedded(texts: pd.Series) -> pd.Series:
+    return pd.Series([embedded_object(t) for t in texts], dtype=object)
 
 
 def _is_object(text: Column) -> Column:
@@ -140,16 +174,13 @@ def _is_object(text: Column) -> Column:
 def reply_object(reply: Column) -> Column:
     """The JSON object in a free-text reply, null when there is none.
 
-    Fenced blocks and balanced objects are tried from the last to the first, then the whole text, then what lies
-    between the first and the last brace.
+    The whole text comes first, then fenced blocks and balanced objects of any depth from the last to the first (in
+    Arrow batches), then what lies between the first and the last brace.
     """
     text = strip(F.coalesce(reply, F.lit("")))
-    fenced = F.regexp_extract_all(text, F.lit(_FENCE), F.lit(1))
-    balanced = F.regexp_extract_all(text, F.lit(_object_pattern(5)), F.lit(0))
-    blocks = F.when(text.contains("```"), F.concat(fenced, balanced)).otherwise(balanced)
-    embedded = F.get(F.filter(F.reverse(blocks), _is_object), F.lit(0))
+    embedded = F.pandas_udf(_embedded, "string")(text)
     widest = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(embedded, F.when(_is_object(text), text), F.when(_is_object(widest), widest))
+    return F.coalesce(embedded, F.when(_is_object(widest), widest))
 
 
 def _text(json: Column, key: str) -> Column:

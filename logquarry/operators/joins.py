@@ -28,7 +28,7 @@ def _bucketed(ranges: DataFrame, values: list[str]) -> DataFrame:
     return ranges.select(F.explode(buckets).alias("_bucket"), "ip_lo", "ip_hi", *values)
 
 
-def _attach_range(df: DataFrame, ip: str, buckets: DataFrame, values: list[str], prefix: str) -> DataFrame:
+def _attach_range(df: DataFrame, ip: str, buckets: DataFrame, values: list[str], prefix: str, how: str = "left") -> DataFrame:
     renamed = buckets.select(
         F.col("_bucket").alias("_rb"),
         F.col("ip_lo").alias("_lo"),
@@ -38,7 +38,7 @@ def _attach_range(df: DataFrame, ip: str, buckets: DataFrame, values: list[str],
     numbered = computed_once(df, "_n", ipv4_to_long(F.col(ip)))
     keyed = computed_once(numbered, "_ip", F.when(is_public(F.col("_n")), F.col("_n"))).drop("_n")
     inside = (F.shiftright("_ip", 16) == F.col("_rb")) & F.col("_ip").between(F.col("_lo"), F.col("_hi"))
-    return keyed.join(renamed, inside, "left").drop("_ip", "_rb", "_lo", "_hi")
+    return keyed.join(renamed, inside, how).drop("_ip", "_rb", "_lo", "_hi")
 
 
 def geo_enrich(
@@ -58,6 +58,8 @@ def geo_enrich(
     """
     addresses = addresses or {"src_ip": "src_", "dst_ip": "dst_"}
     values = values or ["lat", "lon", "country"]
+    if {"lat", "lon"} <= set(values):  # a range without a place tells nothing
+        ranges = ranges.filter("lat is not null and lon is not null")
     df = df.drop(*[p + v for p in addresses.values() for v in values])
     buckets = _bucketed(ranges, values)
     small = fits_broadcast(buckets) if broadcast_ranges is None else broadcast_ranges
@@ -66,10 +68,12 @@ def geo_enrich(
             df = _attach_range(df, ip, F.broadcast(buckets), values, prefix)
         return df
     seen = df.select(F.explode(F.array(*addresses)).alias("_addr")).filter("_addr is not null").distinct()
-    found = _attach_range(seen, "_addr", buckets, values, "").filter(F.col(values[0]).isNotNull())
+    found = _attach_range(seen, "_addr", buckets, values, "", how="inner")
     for ip, prefix in addresses.items():
         one = found.select(F.col("_addr").alias("_a"), *[F.col(v).alias(prefix + v) for v in values])
-        df = df.join(one, F.col(ip) == F.col("_a"), "left").drop("_a")
+        # rows without an address need no look-up and would all be one key of the join
+        with_ip = df.filter(F.col(ip).isNotNull()).join(one, F.col(ip) == F.col("_a"), "left").drop("_a")
+        df = with_ip.unionByName(df.filter(F.col(ip).isNull()), allowMissingColumns=True)
     return df
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions import fixed, syslog
 from logquarry.functions.syslog import FirewallMap
-from logquarry.functions.text import any_of, basename, blank_to_null, cut, strip
+from logquarry.functions.text import any_of, basename, blank_to_null, cut, is_blank, strip
 from logquarry.functions.times import line_timestamp
 from logquarry.operators.running import computed_once
 
@@ -212,16 +212,21 @@ def first_text(values: Column, keys: list[str]) -> Column:
     return F.coalesce(*[blank_to_null(F.try_element_at(values, F.lit(key))) for key in keys])
 
 
+_SEPARATORS = r'((?:[^":,]++|"(?:[^"\\]++|\\.)*+")*+[:,])'  # up to a colon or comma outside strings
+
+
 def cloud_key(body: Column, values: Column | None = None) -> Column:
     """Stable key: the first id-like value, else a hash of the event written with sorted keys.
 
-    The hashed text is ``{"a": 1, "b": "x"}``: sorted keys, a blank after colon and comma.
+    The id value stays as it is. The hashed text is ``{"a": 1, "b": {"c": "x"}}``: sorted keys, a blank after every
+    colon and comma outside strings, nested objects and lists included.
     """
     values = json_values(body) if values is None else values
-    by_id = F.concat(F.lit("mist:"), first_text(values, fixed.CLOUD_ID_KEYS))
+    ids = [F.try_element_at(values, F.lit(key)) for key in fixed.CLOUD_ID_KEYS]
+    by_id = F.concat(F.lit("mist:"), F.coalesce(*[F.when(~is_blank(v), v) for v in ids]))
     typed = F.from_json(body, "map<string,variant>")
     pairs = F.transform(
-        F.array_sort(F.map_keys(typed)), lambda k: F.concat(F.lit('"'), k, F.lit('": '), F.to_json(F.element_at(typed, k)))
+        F.array_sort(F.map_keys(typed)), lambda k: F.concat(F.lit('"'), k, F.lit('": '), F.regexp_replace(F.to_json(F.element_at(typed, k)), F.lit(_SEPARATORS), F.lit("$1 ")))
     )
     text = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
     return F.coalesce(by_id, F.concat(F.lit("mist:hash:"), F.left(F.sha2(text, 256), F.lit(32))))

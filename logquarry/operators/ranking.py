@@ -24,9 +24,9 @@ def recent_summaries(summaries: DataFrame, granularity: str, limit: int) -> Data
 
 
 def window_analyses(analyses: DataFrame, since: Column, until: Column, limit: int) -> DataFrame:
-    """Oldest analyses of a window without the auto-skipped ones, 1 to 500 of them."""
+    """The ``limit`` oldest analyses of a window without the auto-skipped ones."""
     df = between(analyses, "created_at", since, until).filter(F.col("model") != fixed.AUTO_SKIP_MODEL)
-    return df.orderBy("id").limit(max(1, min(500, limit)))
+    return df.orderBy("id").limit(max(1, limit))
 
 
 def recent_alert_events(alerts: DataFrame, limit: int = 100) -> DataFrame:
@@ -55,10 +55,10 @@ def recent_jobs(jobs: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def keep_newest_jobs(jobs: DataFrame, keep: int = 5) -> DataFrame:
-    """Drop finished jobs beyond the newest ``keep`` (1 to 50); others stay."""
+    """Drop finished jobs beyond the newest ``keep`` ; others stay."""
     finished = F.col("status").isin(FINISHED)
     at = F.coalesce("finished_at", "created_at")
-    kept = jobs.filter(finished).orderBy(at.desc(), F.desc("id")).limit(max(1, min(50, keep)))
+    kept = jobs.filter(finished).orderBy(at.desc(), F.desc("id")).limit(max(1, keep))
     return jobs.filter(~finished).unionByName(kept)
 
 
@@ -69,8 +69,8 @@ def due_schedules(schedules: DataFrame, now: Column) -> DataFrame:
 
 
 def live_feed(events: DataFrame, *, floor: str = "info", limit: int = 500) -> DataFrame:
-    """The newest events as feed rows at or above an importance."""
-    return important_enough(feed_rows(newest(events, "received_at", limit)), floor)
+    """The newest events at or above an importance, as feed rows."""
+    return newest(important_enough(feed_rows(events), floor), "received_at", limit)
 
 
 # --- retention ---------------------------------------------------------------------------------------------

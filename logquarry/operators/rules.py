@@ -14,7 +14,7 @@ from logquarry.functions import severity, syslog
 from logquarry.functions.text import basename, glob_matches, query_predicate
 from logquarry.functions.times import line_timestamp, pattern_timestamp
 
-RULES_PER_PASS = 200  # predicates per expression; more rules take more passes over the input
+RULES_PER_ARRAY = 200  # predicates per array; more rules take more arrays in the same projection
 
 
 def latest_by_key(table: DataFrame, key: str, version: str) -> DataFrame:
@@ -24,13 +24,16 @@ def latest_by_key(table: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def upsert_by_key(current: DataFrame, changes: DataFrame, key: str, version: str, *, keep: list[str] | None = None) -> DataFrame:
-    """Table after applying changes. Columns in ``keep`` stay as first inserted when the key exists."""
-    merged = current.unionByName(changes, allowMissingColumns=True)
-    newest = latest_by_key(merged, key, version)
+    """Table after applying changes: a change wins over the stored row whatever its version, the newest change over
+    the others. Columns in ``keep`` stay as first inserted when the key exists."""
+    sided = current.withColumn("_side", F.lit(0)).unionByName(changes.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    merged = sided.withColumn("_order", F.struct("_side", version))
+    columns = [c for c in sided.columns if c != "_side"]
+    newest = latest_by_key(merged, key, "_order").select(*columns)
     if not keep:
         return newest
-    firsts = merged.groupBy(key).agg(*[F.min_by(c, version).alias(c) for c in keep])
-    return newest.drop(*keep).join(firsts, key).select(*merged.columns)
+    firsts = merged.groupBy(key).agg(*[F.min_by(c, "_order").alias(c) for c in keep])
+    return newest.drop(*keep).join(firsts, key).select(*columns)
 
 
 def delete_by_key(table: DataFrame, key: str, gone: list[str]) -> DataFrame:
@@ -59,21 +62,19 @@ def _hit(rule: Row) -> Column:
 
 
 def _explode_hits(df: DataFrame, rules: list[tuple[Row, Column]]) -> DataFrame:
-    """One row per (input row, matching rule)."""
-    result = None
-    for start in range(0, max(len(rules), 1), RULES_PER_PASS):
-        batch = rules[start : start + RULES_PER_PASS]
-        if batch:
-            marks = F.array(*[F.when(predicate, _hit(rule)) for rule, predicate in batch])
-            hits = F.filter(marks, lambda m: m.isNotNull())
-        else:
-            hits = F.expr(
-                "cast(array() as array<struct<rule_id:string,rule_name:string,cooldown_sec:int,"
-                "webhook_url:string,email_to:string>>)"
-            )
-        part = df.withColumn("_hit", F.explode(hits)).select("*", "_hit.*").drop("_hit")
-        result = part if result is None else result.unionByName(part)
-    return result
+    """One row per (input row, matching rule): one scan however many rules there are."""
+    if rules:
+        marks = []
+        for start in range(0, len(rules), RULES_PER_ARRAY):
+            batch = rules[start : start + RULES_PER_ARRAY]
+            marks.append(F.filter(F.array(*[F.when(predicate, _hit(rule)) for rule, predicate in batch]), lambda m: m.isNotNull()))
+        hits = F.concat(*marks) if len(marks) > 1 else marks[0]
+    else:
+        hits = F.expr(
+            "cast(array() as array<struct<rule_id:string,rule_name:string,cooldown_sec:int,"
+            "webhook_url:string,email_to:string>>)"
+        )
+    return df.withColumn("_hit", F.explode(hits)).select("*", "_hit.*").drop("_hit")
 
 
 def match_alert_rules(events: DataFrame, rules: list[Row]) -> DataFrame:
@@ -87,7 +88,7 @@ def match_alert_rules(events: DataFrame, rules: list[Row]) -> DataFrame:
         compiled.append((rule, predicate & (F.col("source_type") == wanted) if wanted else predicate))
     shaped = events.select(
         F.col("id").alias("event_id"),
-        F.coalesce("message", F.col("raw") if "raw" in events.columns else F.lit("")).alias("line"),
+        F.coalesce(F.nullif("message", F.lit("")), F.col("raw") if "raw" in events.columns else F.lit(None), F.lit("")).alias("line"),
         "source_type",
         F.concat_ws(":", "source_type", "remote_ip").alias("source"),
         F.col("received_at").alias("ts"),

@@ -97,11 +97,10 @@ def list_events(
 def firewall_view(
     events: DataFrame, *, since: Column | None = None, log_type: str = "TRAFFIC", action: str | None = None
 ) -> DataFrame:
-    """Newest 500 firewall events of a type, then one action, then the first 200."""
-    df = list_events(events, since=since, source_type="palo_alto", log_type=log_type, limit=500)
+    """The newest 200 firewall events of a type and, if asked for, of one action."""
     if action:
-        df = df.filter(F.lower("action") == action.lower())
-    return newest(df, "received_at", 200)
+        events = events.filter(F.lower("action") == action.lower())
+    return list_events(events, since=since, source_type="palo_alto", log_type=log_type, limit=200)
 
 
 def cloud_view(events: DataFrame, *, since: Column | None = None) -> DataFrame:
@@ -315,8 +314,11 @@ def unified_search(query: str, *, limit: int = 200, ascending: bool = False, **o
 
 
 def counts_by_origin(query: str, **options) -> DataFrame:
-    """Matches per origin before the final cut."""
-    return origin_matches(query, **options).groupBy("origin").count().withColumnRenamed("count", "matches")
+    """Matches per origin before the final cut; 0 for an asked origin without any."""
+    names = [name for name, part in (("hub", "events"), ("files", "lines"), ("archive", "archive")) if options.get(part) is not None]
+    found = origin_matches(query, **options).groupBy("origin").count()
+    asked = found.sparkSession.createDataFrame([(n,) for n in names], "origin string")
+    return asked.join(found, "origin", "left").select("origin", F.coalesce("count", F.lit(0)).cast("long").alias("matches"))
 
 
 def filter_sort_columns(

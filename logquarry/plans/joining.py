@@ -119,20 +119,53 @@ def resolve_file_rules(b: Bridge):
     return rules.resolve_file_rules(b.line_rows, FILE_RULES)
 
 
-@plan(
-    "upsert_by_key",
-    with_views("b7") + "select id, name, query, enabled::int as enabled from (select *, row_number() over (partition by id order by updated_at desc) as n from b7) x where n = 1",
-)
+# a change wins over the stored row whatever its version; the newest change over the others
+_RULE_VERSIONS = """select concat('rule', o_custkey % 200) as id, o_orderkey as updated_at, o_orderpriority as name, o_orderstatus as query,
+ (o_orderkey % 5 <> 0)::int as enabled, o_orderkey % 3 = 0 as change from orders"""
+
+
+def _won(value: str) -> str:
+    return f"coalesce(arg_max({value}, updated_at) filter (change), arg_max({value}, updated_at))"
+
+
+def _rule_versions(b: Bridge):
+    key = F.col("o_orderkey")
+    return b.table("orders").select(
+        F.concat(F.lit("rule"), (F.col("o_custkey") % 200).cast("string")).alias("id"),
+        key.alias("updated_at"),
+        F.col("o_orderpriority").alias("name"),
+        F.col("o_orderstatus").alias("query"),
+        (key % 5 != 0).alias("enabled"),
+    )
+
+
+def _upserted(b: Bridge):
+    versions = _rule_versions(b)
+    return rules.upsert_by_key(versions.filter("updated_at % 3 <> 0"), versions.filter("updated_at % 3 = 0"), "id", "updated_at")
+
+
+_UPSERTED = f"""with v as ({_RULE_VERSIONS}), u as (select id, {_won("name")} as name, {_won("query")} as query,
+ {_won("enabled")} as enabled, {_won("updated_at")} as updated_at from v group by id) """
+
+
+@plan("upsert_by_key", _UPSERTED + "select * from u")
 def upsert_by_key(b: Bridge):
-    base = b.rules.filter(F.col("updated_at") < "2024-01-03")
-    changes = b.rules.filter(F.col("updated_at") >= "2024-01-03")
-    out = rules.upsert_by_key(base, changes, "id", "updated_at")
-    return out.select("id", "name", "query", F.col("enabled").cast("int").alias("enabled"))
+    out = _upserted(b)
+    return out.select("id", "name", "query", F.col("enabled").cast("int").alias("enabled"), "updated_at")
+
+
+@plan("delete_and_list_by_key", _UPSERTED + "select id, name, query from u where id not in ('rule7', 'rule11', 'rule150') and enabled = 1")
+def delete_and_list_by_key(b: Bridge):
+    """What is listed after three keys were deleted."""
+    left = rules.delete_by_key(_upserted(b), "id", ["rule7", "rule11", "rule150"])
+    return left.filter("enabled").select("id", "name", "query")
 
 
 @plan(
     "upsert_schedules",
-    """select file_path, max(o_orderkey) as version, arg_max(o_orderpriority, o_orderkey) as min_severity, min(o_orderkey) as created
+    """select file_path, coalesce(max(o_orderkey) filter (o_orderkey % 2 = 1), max(o_orderkey)) as version,
+ coalesce(arg_max(o_orderpriority, o_orderkey) filter (o_orderkey % 2 = 1), arg_max(o_orderpriority, o_orderkey)) as min_severity,
+ coalesce(min(o_orderkey) filter (o_orderkey % 2 = 0), min(o_orderkey)) as created
  from (select *, concat('/var/log/app', o_custkey % 500, '.log') as file_path from orders) x group by file_path""",
 )
 def upsert_schedules(b: Bridge):
@@ -381,7 +414,7 @@ _TODAY = "2001-06-30"
 _DAILY = (
     B4
     + f""", daily as (select strftime(created_at, '%Y-%m-%d') as "day", {_SUMS.format("")} from b4
- where created_at >= date '{_TODAY}' - 120 group by 1)
+ where created_at >= date '{_TODAY}' - 400 group by 1)
 """
 )
 
@@ -398,7 +431,7 @@ def daily_trend(b: Bridge):
 @plan("daily_trend_typed", _DAILY + "select * from daily")
 def daily_trend_typed(b: Bridge):
     """The same over typed anomaly arrays."""
-    return aggregates.daily_trend(typed_anomalies(b.analyses), F.lit(_TODAY).cast("date"), lookback_days=120)
+    return aggregates.daily_trend(typed_anomalies(b.analyses), F.lit(_TODAY).cast("date"), lookback_days=400)
 
 
 _WEEKLY = """select isoyear(cast("day" as date)) as iso_year, weekofyear(cast("day" as date)) as iso_week,
@@ -542,7 +575,7 @@ def recent_summaries(b: Bridge):
     return ranking.recent_summaries(summaries(b), "daily", 8).select("id", "granularity", "headline")
 
 
-@plan("window_analyses", B4 + f"select id, summary from b4 where created_at between timestamp '1997-01-01' and timestamp '{ANALYSES_NOW}' and model <> '(auto-skip)' order by id limit 500")
+@plan("window_analyses", B4 + f"select id, summary from b4 where created_at between timestamp '1997-01-01' and timestamp '{ANALYSES_NOW}' and model <> '(auto-skip)' order by id limit 9999")
 def window_analyses(b: Bridge):
     return ranking.window_analyses(b.analyses, at("1997-01-01"), at(ANALYSES_NOW), 9999).select("id", "summary")
 
@@ -562,7 +595,7 @@ def recent_jobs(b: Bridge):
     "keep_newest_jobs",
     B4
     + """select id from b4 where id % 5 in (3, 4) union all select * from (select id from b4 where id % 5 in (0, 1, 2)
- order by created_at + case when id % 3 > 0 then interval 1 hour else interval 0 hour end desc, id desc limit 50) x""",
+ order by created_at + case when id % 3 > 0 then interval 1 hour else interval 0 hour end desc, id desc limit 99) x""",
 )
 def keep_newest_jobs(b: Bridge):
     return ranking.keep_newest_jobs(jobs(b), 99).select("id")

@@ -67,6 +67,17 @@ def regex_search(b: Bridge):
     return event_rows(search.event_regex_search(b.events, r"user\d+ (critical|error)", since=at("2024-01-02")))
 
 
+@plan(
+    "regex_search_named",
+    B1
+    + rf"""select {_EVENTS} from b1 where regexp_matches(message, 'user(\d+) (critical|error)', 'i')
+ and received_at >= timestamp '2024-01-02' order by received_at desc, id desc limit 300""",
+)
+def regex_search_named(b: Bridge):
+    """A pattern with named groups."""
+    return event_rows(search.event_regex_search(b.events, r"user(?P<who>\d+) (?P<level>critical|error)", since=at("2024-01-02"), limit=300))
+
+
 @plan("regex_search_lines", LINE_VIEW + r"select source, line_index, line from b3 where regexp_matches(line, 'unit[12]\[\d+5\]', 'i')")
 def regex_search_lines(b: Bridge):
     return line_rows(search.regex_filter(b.lines, r"UNIT[12]\[\d+5\]", strict=True))
@@ -93,8 +104,8 @@ def list_events(b: Bridge):
 @plan(
     "firewall_view",
     B1
-    + f"""select {_EVENTS} from (select * from b1 where source_type = 'palo_alto' and log_type = 'TRAFFIC'
- order by received_at desc, id desc limit 500) x where lower(action) = 'deny' order by received_at desc, id desc limit 200""",
+    + f"""select {_EVENTS} from b1 where source_type = 'palo_alto' and log_type = 'TRAFFIC'
+ and lower(action) = 'deny' order by received_at desc, id desc limit 200""",
 )
 def firewall_view(b: Bridge):
     return event_rows(search.firewall_view(b.events, action="DENY"))
@@ -310,6 +321,19 @@ def counts_by_origin(b: Bridge):
     return search.counts_by_origin("failure", **_origin_inputs(b))
 
 
+@plan(
+    "counts_by_origin_zero",
+    B1
+    + """select o as origin, case o when 'hub' then least(300, (select count(*) from b1 where lower(message) like '%failure%'
+ and received_at >= timestamp '2024-01-02' and source_type = 'mist')) else 0 end as matches from (values ('hub'), ('archive')) t(o)""",
+)
+def counts_by_origin_zero(b: Bridge):
+    """An origin without any match has a row too."""
+    inputs = {**_origin_inputs(b), "source_type": "mist", "limit": 600, "archive": b.events.filter(F.col("message").isNull())}
+    del inputs["lines"]
+    return search.counts_by_origin("failure", **inputs)
+
+
 @plan(
     "live_feed",
     B1
@@ -318,7 +342,7 @@ def counts_by_origin(b: Bridge):
  when log_type = 'THREAT' then 'critical' when regexp_matches(lower(message), 'critical|fatal|emerg') then 'critical'
  when regexp_matches(lower(message), 'error|fail|denied|blocked') then 'error'
  when contains(lower(message), 'warn') then 'warning' else 'info' end as importance
- from (select * from b1 order by received_at desc, id desc limit 500) y) x where importance in ('error', 'critical')""",
+ from b1) x where importance in ('error', 'critical') order by received_at desc, id desc limit 500""",
 )
 def live_feed(b: Bridge):
     from logquarry.operators.ranking import live_feed as feed

@@ -16,10 +16,11 @@ def append_events(events: DataFrame, path: str, *, first_id: int = 0) -> None:
     dated.hint("rebalance", "event_date", "source_type").write.mode("append").partitionBy("event_date", "source_type").parquet(path)
 
 
-def export_rows(lines: DataFrame, *, limit: int = 10000, ascending: bool = False) -> DataFrame:
-    """The rows an export holds: newest (or oldest) first, capped."""
+def export_rows(lines: DataFrame, *, limit: int | None = None, ascending: bool = False) -> DataFrame:
+    """The rows an export holds: newest (or oldest) first; all of them unless the caller names a limit."""
     order = F.asc if ascending else F.desc
-    return lines.orderBy(order("sort_ts"), order("source"), order("line_index")).limit(limit)
+    ordered = lines.orderBy(order("sort_ts"), order("source"), order("line_index"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def text_rows(lines: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logquarry.functions.syslog import FirewallMap
 from logquarry.operators.gate import CAP_WINDOW_US, FIRED, alert_gate, alert_records
@@ -19,7 +20,7 @@ from logquarry.operators.parse import classify_events
 from logquarry.operators.rules import match_alert_rules
 from logquarry.operators.search import feed_rows
 
-IDS_PER_BATCH = 1 << 44
+ROW_BITS, PARTITION_BITS = 24, 17  # of an event id; the batch has the 22 bits above
 FIRES_SCHEMA = "rule_id string, source string, t long, hour long, batch long"
 KEYS_SCHEMA = "parser string, batch long"
 
@@ -55,6 +56,15 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def read_batch(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame:
+    """The rows one batch has stored: its own folder by name, with no listing or inference over the growing table."""
+    stored = StructType([*schema.fields, StructField("batch", LongType())])
+    folder = f"{path}/batch={batch_id}"
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], stored)
+    return spark.read.schema(stored).option("basePath", path).parquet(folder)
+
+
 def gate_batch(hits: DataFrame, batch_id: int, path: str, *, cap: int = 30) -> DataFrame:
     """Gate one micro-batch against the fires of earlier batches, and remember its own.
 
@@ -77,6 +87,16 @@ def gate_batch(hits: DataFrame, batch_id: int, path: str, *, cap: int = 30) -> D
     return gated
 
 
+def event_id(batch_id: int) -> Column:
+    """Ids from (batch, partition, row) in bits of their own: no two batches or partitions can meet. A partition with
+    more rows, or a batch with more partitions, than the bits hold fails the batch."""
+    place = F.monotonically_increasing_id()  # partition << 33 | row
+    partition, row = F.shiftright(place, 33), place.bitwiseAND((1 << 33) - 1)
+    fits = (partition < 1 << PARTITION_BITS) & (row < 1 << ROW_BITS)
+    packed = F.lit(batch_id << (PARTITION_BITS + ROW_BITS)) + F.shiftleft(partition, ROW_BITS) + row
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("event ids are used up in a partition")).cast("long"))
+
+
 def ingest_batch(
     path: str, rules: Callable[[], list[Row]], ranges: DataFrame | None, *, columns: FirewallMap | None = None, cap: int = 30
 ) -> Callable[[DataFrame, int], None]:
@@ -85,14 +105,14 @@ def ingest_batch(
     def handle(raw: DataFrame, batch_id: int) -> None:
         spark = raw.sparkSession
         if "id" not in raw.columns:
-            raw = raw.withColumn("id", F.lit(batch_id * IDS_PER_BATCH) + F.monotonically_increasing_id())
+            raw = raw.withColumn("id", event_id(batch_id))
         events = classify_events(raw, columns)
         if ranges is not None:
             events = geo_enrich(events, ranges)
         dated = events.withColumn("event_date", F.to_date("received_at"))
         put_batch(dated, f"{path}/events", batch_id, ["event_date", "source_type"])
         # the stored batch is the input of what follows: parsed once, and ids are settled
-        stored = spark.read.parquet(f"{path}/events").filter(F.col("batch") == batch_id)
+        stored = read_batch(spark, f"{path}/events", batch_id, dated.schema)
         put_batch(feed_rows(stored), f"{path}/feed", batch_id)
         hits = match_alert_rules(stored, rules())
         put_batch(alert_records(gate_batch(hits, batch_id, path, cap=cap)), f"{path}/alerts", batch_id)
@@ -122,7 +142,7 @@ def dedup_batch(path: str, *, order: str = "seq", horizon: int | None = None) ->
         if horizon is not None:
             known = known.filter(F.col("batch") >= batch_id - horizon)
         put_batch(dedup_new_events(events, known, order=order), f"{path}/events", batch_id)
-        fresh = spark.read.parquet(f"{path}/events").filter(F.col("batch") == batch_id)
+        fresh = read_batch(spark, f"{path}/events", batch_id, events.schema)
         put_batch(fresh.select("parser"), f"{path}/keys", batch_id)
 
     return handle
