@@ -111,8 +111,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, curves=CURVES) -> D
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, position; sorted by position, documents not taken last."""
-    rows = plan(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "place")
+    """doc_id, size, source_size, target, taken, copies, position (rounded); sorted by it, documents not taken last."""
+    position = F.round("position", 9).alias("position")
+    rows = plan(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", position, "place")
     return rows.orderBy(F.asc_nulls_last("position"), "place").drop("place")
 
 

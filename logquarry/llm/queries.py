@@ -57,4 +57,30 @@ def op10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
 _ALL = (op1_mix, op2_decontaminate, op3_simhash, op4_toxicity, op5_token_counts, op6_suffixes, op7_quality_rules, op8_url_filter, op9_language, op10_perplexity)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1 = r"""
+with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+  md5(coalesce(doc_id::varchar, '')) as place from documents),
+ranked as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 as k
+  from sized group by source),
+weighed as (select *, case k when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as weight, source_size * 3.0::double as most from ranked),
+level as (select *, (sum(source_size) over () - coalesce(sum(most) over (o rows between unbounded preceding and 1 preceding), 0))
+  / sum(weight) over (o rows between current row and unbounded following) as lvl
+  from weighed window o as (order by source_size / weight, source nulls last)),
+freed as (select *, first_value(case when most > lvl * weight then lvl end ignore nulls) over
+  (order by source_size / weight, source nulls last rows between unbounded preceding and current row) as shared from level),
+goals as (select source, source_size, k, least(coalesce(shared * weight, most), most) as target from freed),
+led as (select s.*, g.source_size, g.target, g.k, coalesce(sum(size) over (partition by s.source order by place, size desc
+  rows between unbounded preceding and 1 preceding), 0)::bigint as lead from sized s join goals g on s.source is not distinct from g.source),
+rounds as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as rounds from led),
+parts as (select *, least(greatest(floor(target - rounds * source_size)::bigint - lead, 0), size) as part from rounds),
+took as (select *, rounds * size + part as taken, lead / target as d from parts),
+curves as (select *, case k when 0 then struct_pack(t := 0.0, b := 0.0, w := 1.5, s := -1.0)
+  when 1 then case when d < 0.5 then struct_pack(t := 0.0, b := 0.0, w := 2 / 3.0::double, s := 4 / 3.0::double)
+   else struct_pack(t := 0.5, b := 0.5, w := 4 / 3.0::double, s := -4 / 3.0::double) end
+  else case when d < 0.375 then struct_pack(t := 0.0, b := 0.0, w := 0.625, s := 0.0)
+   else struct_pack(t := 0.6, b := 0.375, w := 0.625, s := 4.6875) end end as c from took)
+select doc_id, size, source_size, target, taken, case when taken > 0 then rounds + (part > 0)::int else 0 end::int as copies,
+ case when taken > 0 then round(c.t + 2 * (d - c.b) / (c.w + sqrt(greatest(0, c.w * c.w + 2 * c.s * (d - c.b)))), 9) end as position
+from curves"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix": _OP1}
