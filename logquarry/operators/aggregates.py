@@ -218,24 +218,19 @@ def ingest_counters(events: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def data_presence(events: DataFrame, analyses: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Which kinds of data exist, as one row of flags."""
-    zero = F.lit(False)
-    flow = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
-    parts = [
-        events.select(
-            (F.col("source_type") == "palo_alto").alias("firewall"),
-            flow.alias("flows"),
-            (F.col("source_type") == "mist").alias("cloud"),
-            zero.alias("analyses"),
-            zero.alias("summaries"),
-        ),
-        analyses.select(zero.alias("firewall"), zero.alias("flows"), zero.alias("cloud"), F.lit(True).alias("analyses"), zero.alias("summaries")),
-        summaries.filter("error is null").select(
-            zero.alias("firewall"), zero.alias("flows"), zero.alias("cloud"), zero.alias("analyses"), F.lit(True).alias("summaries")
-        ),
-    ]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return both.agg(*[F.coalesce(F.bool_or(c), zero).alias(c) for c in parts[0].columns])
+    """Which kinds of data exist, as one row of flags. Each kind is looked for until its first row."""
+    kinds = {
+        "firewall": events.filter("source_type = 'palo_alto'"),
+        "flows": events.filter("src_ip is not null and dst_ip is not null"),
+        "cloud": events.filter("source_type = 'mist'"),
+        "analyses": analyses,
+        "summaries": summaries.filter("error is null"),
+    }
+    found = [rows.select(F.lit(kind).alias("kind")).limit(1) for kind, rows in kinds.items()]
+    seen = found[0]
+    for part in found[1:]:
+        seen = seen.unionByName(part)
+    return seen.agg(*[F.coalesce(F.bool_or(F.col("kind") == kind), F.lit(False)).alias(kind) for kind in kinds])
 
 
 def oldest_line_ts(lines: DataFrame) -> DataFrame:

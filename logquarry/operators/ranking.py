@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions import fixed
 from logquarry.functions.text import basename, strip
 from logquarry.functions.times import next_run
-from logquarry.operators.running import running_rank
+from logquarry.operators.running import BLOCK_BITS
 from logquarry.operators.search import between, feed_rows, important_enough, newest
 
 
@@ -85,12 +85,26 @@ def keep_newest(df: DataFrame, order: str, keep: int) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(keep)
 
 
+def nth_smallest(df: DataFrame, order: str, n: int) -> int | None:
+    """The n-th smallest value of an integer column, the largest if there are fewer; None for no rows.
+
+    Blocks of values are counted, and only the block that holds the answer is looked at.
+    """
+    block = F.shiftright(order, BLOCK_BITS)
+    counts = df.groupBy(block.alias("b")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    holding = counts.withColumn("before", before).filter(F.col("before") < n).orderBy(F.desc("b")).first()
+    if holding is None:
+        return None
+    return df.filter(block == holding["b"]).orderBy(order).limit(n - holding["before"]).agg(F.max(order)).first()[0]
+
+
 def prune_by_cap(events: DataFrame, max_events: int, floors: dict[str, int] | None = None) -> DataFrame:
     """At most ``max_events`` rows, oldest out first, but never the newest ``floor`` rows of a protected type.
 
     The newest rows of a protected type are those at or above one id, and the rows to delete are those at or
-    below another, so nothing but two small lookups is ever sorted: per-type top-k for the first and a blocked
-    running rank for the second.
+    below another: per-type top-k for the first, and for the second a top-k within the one block of ids whose count
+    crosses the excess.
     """
     if max_events <= 0:
         return events
@@ -105,7 +119,7 @@ def prune_by_cap(events: DataFrame, max_events: int, floors: dict[str, int] | No
             if lowest is not None:
                 protected = protected | ((F.col("source_type") == kind) & (F.col("id") >= lowest))
     deletable = events.filter(~protected).select("id")
-    cut = running_rank(deletable, [], "id", below=excess).agg(F.max("id")).first()[0]
+    cut = nth_smallest(deletable, "id", excess)
     if cut is None:
         return events
     return events.filter(protected | (F.col("id") > cut))

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logquarry.session import shared_dir
+
 BLOCK_BITS = 20  # about a million consecutive order values per group
+SENT_BLOCKS = 100_000  # surviving blocks up to this many are sent to every executor
 
 
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -23,6 +26,13 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a table in the shared folder."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],
@@ -38,8 +48,9 @@ def running_sum(
     """Inclusive running sum of ``amount`` per key along the integer column ``order`` (unique within a key).
 
     ``reverse`` sums from the end. ``below`` keeps only rows whose running sum *before* them is under the
-    limit; whole blocks beyond it are dropped before any row is shuffled for the window. ``total`` adds the
-    sum of the whole key.
+    limit. The surviving blocks are then settled and counted first; unless there are very many, they are sent to
+    the executors, so rows of other blocks are dropped where they are read and never shuffled. ``total`` adds the sum
+    of the whole key.
     """
     base = df.withColumn("_blk", F.shiftright(F.col(order), block_bits)).withColumn("_amt", amount.cast("long"))
     group = [*keys, "_blk"]
@@ -50,7 +61,9 @@ def running_sum(
     if total:
         blocks = blocks.withColumn(total, F.sum("_sum").over(Window.partitionBy(*keys)))
     if below is not None:
-        blocks = blocks.filter(F.col("_before") < below)
+        blocks = settled(blocks.filter(F.col("_before") < below), "blocks")
+        if blocks.limit(SENT_BLOCKS + 1).count() <= SENT_BLOCKS:
+            blocks = F.broadcast(blocks)
     within = (
         Window.partitionBy(*group).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

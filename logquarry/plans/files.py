@@ -85,25 +85,24 @@ _SINCE = "2024-01-27 12:00:00"
 _RECENT = f"(id % 13 = 0 or id % 10 = 0 or received_at >= timestamp '{_SINCE}')"
 
 
-@plan("tail_since", LINE_VIEW + _TAIL + f"select source, line_index, line from t where (r < 20000 or size <= 20000) and line <> '' and {_RECENT}")
+@plan("tail_since", LINE_VIEW + f"select source, line_index, line from b3 where line <> '' and {_RECENT}")
 def tail_since(b: Bridge):
-    return line_rows(files.tail_since(parse.parse_line_timestamps(b.lines), at(_SINCE), 5000))
+    return line_rows(files.tail_since(parse.parse_line_timestamps(b.lines), at(_SINCE)))
 
 
 @plan(
     "tail_since_or_recent",
     LINE_VIEW
-    + f""", timed as (select * from b3 where source like '%nginx%' or id % 10 <> 0), t as (select *,
- sum(strlen(line) + 1) over (partition by source order by line_index desc) as r, sum(strlen(line) + 1) over (partition by source) as size from timed),
- w as (select *, source like '%nginx%' and {_RECENT} as recent from t where (r < 8000 or size <= 8000) and line <> '')
+    + f""", t as (select *,
+ sum(strlen(line) + 1) over (partition by source order by line_index desc) as r, sum(strlen(line) + 1) over (partition by source) as size from b3),
+ w as (select *, source like '%nginx%' and {_RECENT} as recent from t where line <> '')
  select source, line_index, line, 0 as fallback from w where recent
  union all select source, line_index, line, 1 from t where (r < 2000 or size <= 2000) and line <> '' and source not in (select source from w where recent)""",
 )
 def tail_since_or_recent(b: Bridge):
     """Sources outside nginx have no recent line here, so they fall back to their tail."""
-    lines = b.lines.filter("source like '%nginx%' or id % 10 <> 0")
-    timed = parse.parse_line_timestamps(lines)
-    old = F.col("ts") - F.expr("INTERVAL 1000 DAY")
+    timed = parse.parse_line_timestamps(b.lines)
+    old = F.coalesce("ts", "received_at") - F.expr("INTERVAL 1000 DAY")
     timed = timed.withColumn("ts", F.when(F.col("source").contains("nginx"), F.col("ts")).otherwise(old))
     out = files.tail_since_or_recent(timed, at(_SINCE), 2000)
     return out.select("source", "line_index", "line", F.col("window_fallback").cast("int").alias("fallback"))

@@ -528,9 +528,19 @@ def ingest_counters(b: Bridge):
     return aggregates.ingest_counters(b.events, ["transport", "source_type", "log_type"])
 
 
-@plan("data_presence", B1 + "select 1 as firewall, 1 as flows, 1 as cloud, 1 as analyses, 1 as summaries from b1 limit 1")
+@plan(
+    "data_presence",
+    B1
+    + """select exists(select 1 from b1 where source_type = 'palo_alto' and received_at < timestamp '2024-01-20')::int as firewall,
+ exists(select 1 from b1 where src_ip is not null and dst_ip is not null and received_at < timestamp '2024-01-20')::int as flows,
+ exists(select 1 from b1 where source_type = 'mist' and received_at >= timestamp '2030-01-01')::int as cloud,
+ exists(select 1 from orders where o_orderdate >= timestamp '2030-01-01')::int as analyses, 1 as summaries""",
+)
 def data_presence(b: Bridge):
-    out = aggregates.data_presence(b.events, b.analyses, summaries(b))
+    """Cloud events and analyses are asked for beyond the data, so two flags are false."""
+    early, late = at("2024-01-20"), at("2030-01-01")
+    events = b.events.filter(F.when(F.col("source_type") == "mist", F.col("received_at") >= late).otherwise(F.col("received_at") < early))
+    out = aggregates.data_presence(events, b.analyses.filter(F.col("created_at") >= late), summaries(b))
     return out.select(*[F.col(c).cast("int").alias(c) for c in out.columns])
 
 

@@ -187,21 +187,26 @@ def tail_bytes(lines: DataFrame, max_bytes: int) -> DataFrame:
     return plain.unionByName(_tail(lines.filter(gz), max_bytes, compressed=True))
 
 
-def tail_since(lines: DataFrame, since: Column, max_bytes: int) -> DataFrame:
-    """Non-blank tail lines from a time on; lines without a timestamp stay. Reads up to four times the bytes."""
+def tail_since(lines: DataFrame, since: Column, max_bytes: int | None = None) -> DataFrame:
+    """All non-blank lines from a time on; lines without a timestamp stay.
+
+    With ``max_bytes`` only the last bytes of these are kept, and ``window_cut`` tells the sources that had more.
+    """
     recent = F.col("ts").isNull() | (F.col("ts") >= since)
-    return tail_bytes(lines, max_bytes * 4).filter(recent & (F.length("line") > 0))
+    found = lines.filter(recent & (F.length("line") > 0))
+    if max_bytes is None:
+        return found
+    sizes = found.groupBy("source").agg((F.sum(F.octet_length("line") + 1) > max_bytes).alias("window_cut"))
+    return tail_bytes(found, max_bytes).join(sizes, "source")
 
 
 def tail_since_or_recent(lines: DataFrame, since: Column, max_bytes: int) -> DataFrame:
-    """The same, but a source with nothing in the window shows its recent tail, flagged ``window_fallback``."""
-    wide = tail_bytes(lines, max_bytes * 4).filter(F.length("line") > 0)
-    recent = F.col("ts").isNull() | (F.col("ts") >= since)
-    active = wide.groupBy("source").agg(F.bool_or(recent).alias("_active"))
-    windowed = wide.filter(recent).withColumn("window_fallback", F.lit(False))
-    idle = active.filter(~F.col("_active")).select("source")
+    """All non-blank lines from a time on; a source without any shows its last bytes, flagged ``window_fallback``."""
+    windowed = tail_since(lines, since)
+    active = windowed.select("source").distinct()
     narrow = tail_bytes(lines, max_bytes).filter(F.length("line") > 0)
-    return windowed.unionByName(narrow.join(idle, "source", "left_semi").withColumn("window_fallback", F.lit(True)))
+    idle = narrow.join(active, "source", "left_anti")
+    return windowed.withColumn("window_fallback", F.lit(False)).unionByName(idle.withColumn("window_fallback", F.lit(True)))
 
 
 def page_lines(

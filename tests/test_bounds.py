@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logquarry.functions.text import jvm_pattern, regex_search
 from logquarry.functions.times import pattern_timestamp
 from logquarry.operators import analysis, joins, parse, ranking, rules, search
-from logquarry.sources import sinks
+from logquarry.sources import files, sinks
 from logquarry.streaming import jobs
 
 
@@ -107,3 +107,28 @@ def test_event_ids_of_wide_batches_never_meet(spark):
     both = ids[0].unionByName(ids[1])
     assert both.distinct().count() == 8400
     assert ids[0].agg(F.max("id")).first()[0] < ids[1].agg(F.min("id")).first()[0]
+
+
+def test_tails_drop_blocks_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(files.running_sum, "__kwdefaults__", {**files.running_sum.__kwdefaults__, "block_bits": 6})
+    lines = spark.range(4000).selectExpr("'s' source", "id line_index", "concat('line ', id) line")
+    tail = files.tail_bytes(lines, 300)
+    tail.collect()
+    plan = tail._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    window = plan[plan.index("Window") :]
+    assert window.index("Exchange hashpartitioning") < window.index("BroadcastHashJoin")  # the join stands below the exchange
+    assert [r["line_index"] for r in tail.orderBy("line_index").collect()] == list(range(4000 - tail.count(), 4000))
+
+
+def test_the_nth_smallest_of_sparse_ids(spark):
+    ids = spark.range(3000).selectExpr("id * 777777 as id")
+    assert [ranking.nth_smallest(ids, "id", n) for n in (1, 1500, 3000, 9999)] == [0, 1499 * 777777, 2999 * 777777, 2999 * 777777]
+    assert ranking.nth_smallest(ids.limit(0), "id", 5) is None
+
+
+def test_windows_are_whole_and_cuts_are_told(spark):
+    lines = spark.range(2000).selectExpr("'s' source", "id line_index", "concat('line ', id) line", "timestamp_seconds(id) ts")
+    assert files.tail_since(lines, F.timestamp_seconds(F.lit(500))).count() == 1500
+    cut = files.tail_since(lines, F.timestamp_seconds(F.lit(500)), 200)
+    assert 0 < cut.count() < 30 and cut.filter("not window_cut").isEmpty()
