@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logquarry.llm.common import written
+
 #: (verdict, host, path prefix); the longest fitting rule wins.
 RULES = (
     ("allow", "com", "/"),
@@ -28,6 +30,7 @@ RULES = (
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)  # characters of an n-gram
 THRESHOLD = 0.5
+STEPS = 30
 
 #: The labelled URL table: hosts and paths of unwanted and of ordinary sites.
 BLOCKED = """
@@ -94,9 +97,13 @@ def _features(urls: DataFrame) -> DataFrame:
 
 
 def train(table: DataFrame, *, ridge: float = 0.01) -> LogisticRegressionModel:
-    """The model of a small labelled table: url, label (1 unwanted). Null labels are left out."""
-    rows = _features(table.filter("label is not null"))
-    return LogisticRegression(featuresCol="_vector", labelCol="label", regParam=ridge, maxIter=100, tol=1e-8, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_y").fit(rows)
+    """The model of a small labelled table: url, label (1 unwanted). Null labels are left out.
+
+    Every step of the fit is a job over the table, which is why its features are settled first, in few partitions.
+    """
+    rows = written(_features(table.filter("label is not null")).select("_vector", "label").coalesce(1), "labelled")
+    fit = LogisticRegression(featuresCol="_vector", labelCol="label", regParam=ridge, maxIter=STEPS, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_y")
+    return fit.fit(rows)
 
 
 def judge(pages: DataFrame, model: LogisticRegressionModel, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
