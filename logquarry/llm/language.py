@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import held_out
+from logquarry.llm.common import held_out, written
 
 ORDER = 3
 SAMPLE = 400  # training documents per language, about
@@ -51,7 +51,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def training_rows(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """About ``per_language`` rows of each language: those whose id hashes below a bound set from the row counts."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    # settled, its size is known when the join is planned: texts stay where they are and no language is gathered
+    share = written(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")), "shares")
     point = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     return rows.join(share, "lang").filter(point < F.col("share")).select("lang", "text")
 

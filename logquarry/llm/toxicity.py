@@ -95,7 +95,7 @@ def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
     """doc_id, text, toxic and importance (one over the sampled share) of about ``per_label`` documents of each label."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = marked.groupBy("toxic").agg((F.lit(float(per_label)) / F.count("*")).alias("share"))
+    share = written(marked.groupBy("toxic").agg((F.lit(float(per_label)) / F.count("*")).alias("share")), "shares")
     point = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     chosen = marked.join(share, "toxic").filter(point < F.col("share"))
     chosen = written(chosen.select("doc_id", "toxic", (1 / F.least("share", F.lit(1.0))).alias("importance")), "labelled")
