@@ -179,6 +179,6 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE,
     bits = measure(docs, trusted)
     limits = bits.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx(rate, quantile, 10_000).alias("limit"))
     judged = bits.join(written(limits, "limits"), "lang", "left")
-    most = F.col("limit") + slack + short / F.sqrt("n_bytes")
+    most = F.col("limit") + slack + short / F.sqrt(F.nullif(F.col("n_bytes"), F.lit(0)))
     kept = (F.col("n_bytes") > 0) & F.coalesce(rate <= most, F.lit(True))
     return judged.select("doc_id", "n_bytes", F.pow(F.lit(2.0), rate).alias("perplexity"), F.pow(F.lit(2.0), most).alias("threshold"), kept.alias("kept"))

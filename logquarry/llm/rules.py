@@ -96,7 +96,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds base_failed, the three rates and kept."""
     named = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in limits.columns if c not in ("lang", "source")])
     joined = measured.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    n, inside = F.col("n_words").cast("double"), F.lit(True)
+    n, inside = F.nullif(F.col("n_words"), F.lit(0)).cast("double"), F.lit(True)
     for name, (flat, per_word, per_root) in SLACK.items():
         slack = flat + per_word / n + per_root / F.sqrt(n)
         inside = inside & _rates()[name].between(F.col(f"{name}_low") - slack, F.col(f"{name}_high") + slack)

@@ -84,8 +84,9 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray) -> tuple[n
 
 
 def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True)
-    if len(rows) and rows["toxic"].nunique() > 1:
+    held = list(batches)
+    rows = pd.concat(held, ignore_index=True) if held else None
+    if held and len(rows) and rows["toxic"].nunique() > 1:
         rows = rows.sort_values("doc_id")
         weights, bias = fit(rows["text"].tolist(), rows["toxic"].to_numpy(), rows["importance"].to_numpy())
         at = np.flatnonzero(weights)
