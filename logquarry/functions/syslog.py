@@ -32,7 +32,7 @@ class FirewallMap:
 
 def header_pri(raw: Column) -> Column:
     """The number of ``<n>…`` or ``<n>1 …`` at the start; more than three digits only in the second form."""
-    short = F.regexp_extract(raw, r"^\s*" + fixed.PRI_AT_START[1:], 1).try_cast("int")
+    short = F.regexp_extract(raw, r"^\s*<(\d{1,3})>", 1).try_cast("int")
     return F.coalesce(short, F.when(is_versioned(raw), F.regexp_extract(raw, r"^\s*<(\d+)>", 1).try_cast("int")))
 
 
@@ -42,7 +42,7 @@ def facility(pri: Column) -> Column:
 
 def is_versioned(raw: Column) -> Column:
     # blanks around the text do not count, so something must follow the version
-    return raw.rlike(r"^\s*" + fixed.VERSIONED_PRI[1:] + r"\s*\S")
+    return raw.rlike(r"^\s*<(\d+)>\d+\s\s*\S")
 
 
 def after_marker(text: Column) -> Column:

@@ -72,20 +72,22 @@ def describe_files(files: DataFrame, root: str) -> DataFrame:
     )
 
 
+_PRINTABLE = b"\t\n\r" + bytes(range(32, 127))
+_CONTROL = bytes(b for b in [*range(32), 127] if b not in b"\t\n\r")
+
+
 def looks_binary(head: bytes) -> bool:
     """A NUL byte, or less than 85 % printable ASCII."""
-    if not head:
-        return False
-    printable = sum(1 for b in head if b in (9, 10, 13) or 32 <= b < 127)
-    return 0 in head or printable / len(head) < 0.85
+    rest = head.translate(None, _PRINTABLE)
+    return b"\0" in rest or len(rest) * 100 > 15 * len(head)
 
 
 def looks_binary_lenient(head: bytes) -> bool:
     """A NUL byte, or more than 10 % control bytes; texts that start with a byte-order mark pass."""
-    if not head or head[:2] in (b"\xff\xfe", b"\xfe\xff") or head[:3] == b"\xef\xbb\xbf":
+    if head.startswith((b"\xff\xfe", b"\xfe\xff", b"\xef\xbb\xbf")):
         return False
-    control = sum(1 for b in head if (b < 32 and b not in (9, 10, 13)) or b == 127)
-    return 0 in head or control * 10 > len(head)
+    control = len(head) - len(head.translate(None, _CONTROL))
+    return b"\0" in head or control * 10 > len(head)
 
 
 def mark_binary_files(inventory: DataFrame, *, lenient: bool = False) -> DataFrame:
