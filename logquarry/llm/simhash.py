@@ -72,8 +72,7 @@ def _prefix(depth: int):
 def trie(prints: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """The levels' nodes (family, up, node, leaf) below the roots, and the leaves (family, depth, node, members).
 
-    ``prints`` has family (one root for each), fp and member, an array of numbers that starts with fp; members of a
-    leaf are laid end to end. A level only looks at the fingerprints whose parent was split.
+    ``prints`` has family (one root for each) and fp. A level only looks at the fingerprints whose parent was split.
     """
     levels, leaves, inside, depth = [], [], prints, 0
     while depth < 64:
@@ -82,10 +81,10 @@ def trie(prints: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         leaf = (F.col("n") <= LEAF) if depth < 64 else F.lit(True)
         nodes = written(counted.select("family", F.shiftrightunsigned("node", STEP).alias("up"), "node", leaf.alias("leaf")), "trie")
         keyed = inside.withColumn("node", _prefix(depth)).join(nodes.select("family", "node", "leaf"), ["family", "node"])
-        held = keyed.filter("leaf").groupBy("family", "node").agg(F.flatten(F.collect_list("member")).alias("members"))
+        held = keyed.filter("leaf").groupBy("family", "node").agg(F.collect_list("fp").alias("members"))
         leaves.append(held.withColumn("depth", F.lit(depth)))
         levels.append(nodes)
-        inside = written(keyed.filter("not leaf").select("family", "fp", "member"), "inside")
+        inside = written(keyed.filter("not leaf").select("family", "fp"), "inside")
         if inside.isEmpty():
             break
     return levels, written(reduce(DataFrame.unionByName, leaves), "leaves")
@@ -134,57 +133,50 @@ def _joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _compare(budget: int, width: int, wide_budget: int):
-    def near_in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= budget
-        if width > 2:
-            i, j = np.nonzero(near)
-            near[i, j] = np.bitwise_count(a[i, 2:] ^ b[j, 2:]).sum(axis=1, dtype=np.int64) <= wide_budget
-        return near
-
+def _compare(budget: int):
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            u, v = [], []
-            for same, a, b in zip(rows["same"], rows["left"], rows["right"]):
-                a, b = (np.asarray(x, np.int64).view(np.uint64).reshape(-1, width) for x in (a, b))
-                keys = (a if same else np.concatenate([a, b]))[:, min(1, width - 1)].view(np.int64)
-                i, j = [], []
-                for at in range(0, len(a), 1024):
-                    x, y = np.nonzero(near_in(a[at : at + 1024], b))
-                    x, y = x + at, y + (0 if same else len(a))
-                    i.append(x[x != y])
-                    j.append(y[x != y])
-                label = _joined(np.concatenate(i), np.concatenate(j), len(keys))
+            families, u, v = [], [], []
+            for family, same, a, b in zip(rows["family"], rows["same"], rows["left"], rows["right"]):
+                a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+                near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= budget
+                i, j = np.nonzero(near)
+                if same:
+                    i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                keys = a if same else np.concatenate([a, b])
+                label = _joined(i, j if same else j + len(a), len(keys))
                 moved = np.flatnonzero(label != np.arange(len(keys)))
+                families.append(np.full(len(moved), family))
                 u.append(keys[moved])
                 v.append(keys[label[moved]])
             if u:
-                yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+                yield pd.DataFrame({"family": np.concatenate(families), "u": np.concatenate(u), "v": np.concatenate(v)})
 
     return close
 
 
-def links(prints: DataFrame, budget: int, *, width: int = 1, wide_budget: int = 0) -> DataFrame:
-    """(u, v): links that join exactly the members whose fingerprints differ in at most ``budget`` bits.
+def links(prints: DataFrame, budget: int) -> DataFrame:
+    """(family, u, v): links that join exactly the fingerprints that differ in at most ``budget`` bits.
 
-    ``prints`` as for ``trie``; a member is (fp), then named by its fp, or (fp, name, further bits ...), which may
-    differ in ``wide_budget`` bits. A pair of leaves gives a link per member at most: the members that its own links
-    connect are joined to the first of them, so a dense group doesn't give all its pairs.
+    ``prints`` holds the distinct (family, fp). A pair of leaves gives a link per member at most: the members that its
+    own links connect are joined to the first of them, so a dense group doesn't give all its pairs.
     """
     levels, leaves = trie(prints)
     pairs = written(leaf_pairs(levels, budget), "leafpairs")
     left = leaves.select("family", F.col("depth").alias("da"), F.col("node").alias("a"), F.col("members").alias("left"))
     right = leaves.select("family", F.col("depth").alias("db"), F.col("node").alias("b"), F.col("members").alias("right"))
     met = pairs.join(left, ["family", "da", "a"]).join(right, ["family", "db", "b"])
-    met = met.select(((F.col("da") == F.col("db")) & (F.col("a") == F.col("b"))).alias("same"), "left", "right")
-    return met.mapInPandas(_compare(budget, width, wide_budget), "u long, v long")
+    met = met.select("family", ((F.col("da") == F.col("db")) & (F.col("a") == F.col("b"))).alias("same"), "left", "right")
+    return met.mapInPandas(_compare(budget), "family int, u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; components link fingerprints within ``budget`` bits."""
     prints = written(fingerprints(docs, width), "prints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    single = classes.select(F.lit(0).alias("family"), "fp", F.array("fp").alias("member"))
+    single = classes.select(F.lit(0).alias("family"), "fp")
     linked = components(links(single, budget), "u", "v").withColumnRenamed("node", "fp")
     named = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = written(named, "named")
@@ -194,32 +186,27 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2) -> Data
 
 
 FAMILIES, FAMILY_BUDGET = 4, 3  # word-set fingerprints with different seeds, and their bits that may differ
-SHINGLE, WIDE_BUDGET = 5, 44  # words of a shingle; of 256 shingle bits, those that differ at a similarity of 0.8
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def profile(text: str | None) -> list[int]:
-    """Word-set fingerprints by ``FAMILIES`` seeds, then as many of the 5-word shingles, of the plain lower-cased words."""
+    """Fingerprints of the set of plain lower-cased words, by ``FAMILIES`` seeds."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split()
-    runs = set(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))) if len(words) >= SHINGLE else {b" ".join(words)} - {b""}
-    out = []
-    for some in (set(words), runs):
-        hashes = np.fromiter(map(xxh64_intdigest, some, repeat(SEED)), np.uint64, len(some))
-        for factor in _MIX[:FAMILIES]:
-            mixed = hashes * np.uint64(factor)
-            out.append(vote(mixed ^ (mixed >> np.uint64(32))))
-    return out
+    words = set((text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split())
+    hashes = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    mixed = [hashes * np.uint64(factor) for factor in _MIX[:FAMILIES]]
+    return [vote(m ^ (m >> np.uint64(32))) for m in mixed]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that have a near copy with a smaller id; see the pipeline.
 
-    Two documents are near copies if one of ``FAMILIES`` word-set fingerprints differs in at most ``FAMILY_BUDGET``
-    bits (this is what the trie finds) and their 5-word shingles' 256 bits in at most ``WIDE_BUDGET``, as they do at a
-    Jaccard similarity of about 0.8 or more. A row without an id stays; rows that share an id share its fate.
+    Two documents are linked if one of ``FAMILIES`` word-set fingerprints differs in at most ``FAMILY_BUDGET`` bits,
+    which holds for nearly all pairs whose 5-word shingles have a Jaccard similarity of 0.8 or more. Documents alike in
+    a fingerprint hang on the first of them, and only distinct fingerprints enter the trie. A row without an id stays;
+    rows that share an id share its fate.
     """
 
     def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -230,10 +217,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     bits = docs.filter("doc_id is not null").select("doc_id", F.pandas_udf(profiles, "array<bigint>")("text").alias("bits"))
     bits = written(bits, "profiles")
     classes = written(bits.groupBy("bits").agg(F.min("doc_id").alias("name")), "classes")
-    wide = [F.col("bits")[FAMILIES + k] for k in range(FAMILIES)]
-    each = classes.select("bits", "name", F.posexplode(F.slice("bits", 1, FAMILIES)).alias("family", "fp"))
-    each = each.select("family", "fp", F.array("fp", "name", *wide).alias("member"))
-    linked = written(components(links(each, FAMILY_BUDGET, width=2 + FAMILIES, wide_budget=WIDE_BUDGET), "u", "v"), "linked")
+    each = written(classes.select("name", F.posexplode("bits").alias("family", "fp")), "fingerprints")
+    firsts = written(each.groupBy("family", "fp").agg(F.min("name").alias("first")), "firsts")
+    alike = each.join(firsts, ["family", "fp"]).filter("name <> first").select(F.col("name").alias("u"), F.col("first").alias("v"))
+    found = written(links(firsts.select("family", "fp"), FAMILY_BUDGET), "links")
+    for side in ("u", "v"):
+        found = found.join(firsts.select("family", F.col("fp").alias(side), F.col("first").alias(f"{side}_name")), ["family", side])
+    near = found.select(F.col("u_name").alias("u"), F.col("v_name").alias("v"))
+    linked = written(components(alike.unionByName(near), "u", "v"), "linked")
     roots = written(classes.join(linked, classes["name"] == linked["node"], "left").select("bits", F.coalesce("root", "name").alias("root")), "roots")
     gone = written(bits.join(roots, "bits").filter("doc_id <> root").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
