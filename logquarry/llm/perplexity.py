@@ -7,7 +7,7 @@ input split states the distinct grams it needs; these meet the probability shard
 off where a gram is unseen; and the split's texts then meet their own answers. A document's perplexity per byte is
 compared with its language's quantile over trusted documents, plus a slack that allows for short texts.
 
-Texts travel compressed, once to meet the labels and once to meet the answers. A split's distinct grams are bounded by
+Texts travel twice, once to meet the labels and once, compressed, to meet the answers. A split's distinct grams are bounded by
 its size, so no group depends on how many documents a language or source has.
 
 Defined cases: a null language is a language of its own; a language without trusted text has no perplexity and its
@@ -159,7 +159,8 @@ def _score(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
 def measure(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes and bits of every row; ``trusted`` holds distinct ids of trusted documents."""
     keyed = _keyed(from_files(docs))
-    text = keyed.join(trusted, "doc_id", "left_semi").withColumn("split", F.lit(0).cast("long"))
+    # labels can be as many as documents: the join is a shuffle at every size, rather than a broadcast of small ones only
+    text = keyed.join(trusted.hint("merge"), "doc_id", "left_semi").withColumn("split", F.lit(0).cast("long"))
     gathered = text.mapInPandas(_counter, "split long, lang string, gram long, n long")
     top = written(gathered.groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"order{ORDER}")
     models = train(top)
