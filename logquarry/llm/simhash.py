@@ -185,46 +185,119 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2) -> Data
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-FAMILIES, FAMILY_BUDGET = 4, 3  # word-set fingerprints with different seeds, and their bits that may differ
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-_PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+WIDTH, ALIKE = 5, 0.8  # words in a shingle of the pipeline's stage, and the Jaccard similarity from which texts are near copies
+BANDS, ROWS = 32, 5  # minima: at 0.8 a pair shares no band in 3 of 10^6 cases, above it in fewer
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def profile(text: str | None) -> list[int]:
-    """Fingerprints of the set of plain lower-cased words, by ``FAMILIES`` seeds."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit codes of the runs of ``WIDTH`` lower-cased words; one shorter run if there are fewer words."""
     from xxhash import xxh64_intdigest
 
-    words = set((text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split())
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     hashes = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
-    mixed = [hashes * np.uint64(factor) for factor in _MIX[:FAMILIES]]
-    return [vote(m ^ (m >> np.uint64(32))) for m in mixed]
+    n = max(0, len(words) - WIDTH + 1) or min(1, len(words))
+    code = np.zeros(n, np.uint64)
+    for k in range(min(WIDTH, len(words))):
+        code = (code ^ (code >> np.uint64(31))) * _STEP + hashes[k : k + n]
+    return np.unique((code ^ (code >> np.uint64(32))) * _STEP)
+
+
+def bands(codes: np.ndarray) -> list[int]:
+    """A hash of each ``ROWS`` minima of the set under ``BANDS`` x ``ROWS`` orders; none for an empty set."""
+    if not len(codes):
+        return []
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(codes), 1 << 12):
+        low = np.minimum(low, (_FACTORS[:, None] * codes[None, at : at + (1 << 12)]).min(axis=1))
+    out = np.zeros(BANDS, np.uint64)
+    for minima in low.reshape(BANDS, ROWS).T:
+        out = (out ^ (out >> np.uint64(29))) * _STEP + minima
+    return out.view(np.int64).tolist()
+
+
+def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from xxhash import xxh128_hexdigest
+
+    for rows in batches:
+        sets = [shingle_set(t) for t in rows["text"]]
+        names = [xxh128_hexdigest(s.tobytes(), SEED) for s in sets]
+        yield rows[["doc_id", "_row"]].assign(name=names, n=[len(s) for s in sets], bands=[bands(s) for s in sets])
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield rows[["name"]].assign(codes=[shingle_set(t).view(np.int64) for t in rows["text"]])
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(rows["left"], rows["right"])], np.int64)
+        whole = rows["left"].map(len).to_numpy(np.int64) + rows["right"].map(len).to_numpy(np.int64) - both
+        yield rows.loc[both >= ALIKE * whole, ["u", "v"]]
+
+
+def alike(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of class names whose shingle sets have a Jaccard similarity of ``ALIKE``, counted exactly.
+
+    Sets are made again from one text of each class that is in a pair, as they are larger than the texts.
+    """
+    asked = written(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "name"), "asked")
+    texts = rows.join(classes.join(asked, "name", "left_semi").select("name", F.col("sample").alias("_row")), "_row").select("name", "text")
+    sets = written(texts.mapInPandas(_sets, "name string, codes array<bigint>"), "sets")
+    met = pairs.join(sets.select(F.col("name").alias("u"), F.col("codes").alias("left")), "u")
+    met = met.join(sets.select(F.col("name").alias("v"), F.col("codes").alias("right")), "v")
+    return written(met.select("u", "v", "left", "right").mapInPandas(_verified, "u string, v string"), "alike")
+
+
+def near_copies(rows: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (name, n, sample, bands) of rows with the same shingle set, and links (u, v) that join exactly the
+    proposed classes with a similarity of ``ALIKE``.
+
+    First, every class of a band's bucket meets the class that shares most buckets with others, so that the copies of one
+    text hang on it without meeting each other. Then classes of a bucket that are not yet joined meet each other.
+    """
+    classes = profiles.groupBy("name").agg(F.min("n").alias("n"), F.min("_row").alias("sample"), F.first("bands").alias("bands"))
+    classes = written(classes, "classes")
+    each = classes.select("name", "n", F.posexplode("bands").alias("band", "key"))
+    full = written(each.groupBy("band", "key").agg(F.count("*").alias("held")).filter("held > 1"), "buckets")
+    each = written(each.join(full, ["band", "key"]), "bucketed")
+    rank = written(each.groupBy("name").agg(F.sum("held").alias("rank")), "ranks")
+    hubs = each.join(rank, "name").groupBy("band", "key").agg(F.max(F.struct("rank", "name", "n")).alias("hub"))
+    hubs = written(hubs.select("band", "key", F.col("hub.name").alias("hub"), F.col("hub.n").alias("m")), "hubs")
+    # no sets of which one is below ALIKE of the other's size can be alike
+    close = F.least("n", "m") >= ALIKE * F.greatest("n", "m")
+    first = each.join(hubs, ["band", "key"]).filter(F.col("name") != F.col("hub")).filter(close)
+    first = written(first.select(F.greatest("name", "hub").alias("u"), F.least("name", "hub").alias("v")).distinct(), "proposed")
+    found = alike(first, rows, classes)
+    roots = components(found, "u", "v")
+    left = each.join(roots.withColumnRenamed("node", "name"), "name", "left").select("band", "key", "name", "n", F.coalesce("root", "name").alias("root"))
+    left = written(left, "rooted")
+    apart = left.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "key")
+    left = written(left.join(apart, ["band", "key"], "left_semi"), "apart")
+    right = left.select("band", "key", F.col("name").alias("other"), F.col("n").alias("m"), F.col("root").alias("top"))
+    rest = left.join(right, ["band", "key"]).filter(F.col("root") < F.col("top")).filter(close)
+    rest = rest.select(F.greatest("name", "other").alias("u"), F.least("name", "other").alias("v")).distinct()
+    rest = written(rest.join(first, ["u", "v"], "left_anti"), "proposed")
+    return classes, found.unionByName(alike(rest, rows, classes))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that have a near copy with a smaller id; see the pipeline.
 
-    Two documents are linked if one of ``FAMILIES`` word-set fingerprints differs in at most ``FAMILY_BUDGET`` bits,
-    which holds for nearly all pairs whose 5-word shingles have a Jaccard similarity of 0.8 or more. Documents alike in
-    a fingerprint hang on the first of them, and only distinct fingerprints enter the trie. A row without an id stays;
-    rows that share an id share its fate.
+    Near copies have 5-word shingle sets with a Jaccard similarity of 0.8 or more, and what such links connect is one
+    group. Pairs are proposed by bands of minima over the sets and verified by the sets themselves; equal sets are one class.
+    Every row is judged for itself: of rows that share an id, only near copies of each other or of a smaller id go. A
+    row without an id stays and takes no part; texts without words are copies of each other.
     """
-
-    def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([profile(t) for t in texts], dtype=object)
-
-    profiles.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    bits = docs.filter("doc_id is not null").select("doc_id", F.pandas_udf(profiles, "array<bigint>")("text").alias("bits"))
-    bits = written(bits, "profiles")
-    classes = written(bits.groupBy("bits").agg(F.min("doc_id").alias("name")), "classes")
-    each = written(classes.select("name", F.posexplode("bits").alias("family", "fp")), "fingerprints")
-    firsts = written(each.groupBy("family", "fp").agg(F.min("name").alias("first")), "firsts")
-    alike = each.join(firsts, ["family", "fp"]).filter("name <> first").select(F.col("name").alias("u"), F.col("first").alias("v"))
-    found = written(links(firsts.select("family", "fp"), FAMILY_BUDGET), "links")
-    for side in ("u", "v"):
-        found = found.join(firsts.select("family", F.col("fp").alias(side), F.col("first").alias(f"{side}_name")), ["family", side])
-    near = found.select(F.col("u_name").alias("u"), F.col("v_name").alias("v"))
-    linked = written(components(alike.unionByName(near), "u", "v"), "linked")
-    roots = written(classes.join(linked, classes["name"] == linked["node"], "left").select("bits", F.coalesce("root", "name").alias("root")), "roots")
-    gone = written(bits.join(roots, "bits").filter("doc_id <> root").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    told = rows.filter("doc_id is not null").select("doc_id", "_row", "text")
+    profiles = written(told.mapInPandas(_profiles, "doc_id long, _row long, name string, n int, bands array<bigint>"), "profiles")
+    classes, found = near_copies(rows, profiles)
+    linked = written(components(found, "u", "v").withColumnRenamed("node", "name"), "linked")
+    member = profiles.select("doc_id", "_row", "name").join(linked, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    member = written(member.select("doc_id", "_row", "root"), "members")
+    kept = written(member.groupBy("root").agg(F.min(F.struct("doc_id", "_row")).alias("one")).select(F.col("one._row").alias("_row")), "kept")
+    gone = written(member.select("_row").join(kept, "_row", "left_anti"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -159,3 +159,37 @@ def test_leaks(spark, monkeypatch, block):
     assert got == [(100, 0, 0), (100, 0, 0), (101, 2, 1), (105, 1, 0)]
     assert sorted(x["doc_id"] for x in decontam.clean(docs, bench).collect()) == [*range(30), 102, 103, 104]
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_near_copies_are_those_at_the_similarity(spark):
+    """All pairs at 0.8 of 5-word shingles are linked and no others, also for cut and lengthened texts."""
+    r = random.Random(6)
+    words = ["w%d" % i for i in range(3000)]
+    rows, near = [], []
+    for k in range(120):
+        base = r.choices(words, k=r.randint(60, 300))
+        for part in ("replace", "cut", "grow"):
+            other = list(base)
+            if part == "replace":
+                for at in r.sample(range(len(base)), max(1, len(base) // 50)):
+                    other[at] = "new"
+            elif part == "cut":
+                other = base[: round(len(base) * r.uniform(0.74, 0.9))]
+            else:
+                other = base + r.choices(words, k=round(len(base) * r.uniform(0.1, 0.3)))
+            rows.append(" ".join(other))
+        rows.append(" ".join(base))
+    sets = [set(simhash.shingles(t, 5)) for t in rows]
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    root = _groups(sets, similar)
+    assert len(rows) // 5 < sum(g != i for i, g in enumerate(root)) < len(rows) * 3 // 5
+    kept = [x["doc_id"] for x in simhash.keep_one(_docs(spark, list(enumerate(rows)))).collect()]
+    assert sorted(kept) == sorted(set(root))
+
+
+def test_rows_that_share_an_id_are_judged_for_themselves(spark):
+    r = random.Random(2)
+    one, two = (" ".join(r.choices(["w%d" % i for i in range(900)], k=90)) for _ in range(2))
+    rows = [(1, one), (2, one + " end"), (2, two), (2, two), (None, one), (None, one)]
+    kept = simhash.keep_one(_docs(spark, rows)).collect()
+    assert sorted((str(x["doc_id"]), x["text"]) for x in kept) == sorted([("1", one), ("2", two), ("None", one), ("None", one)])
