@@ -74,3 +74,15 @@ def test_odd_rows(spark):
     assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got) == [("1", 0, 0), ("2", 0, 0), ("2", 0, 0), ("None", 2, 2)]
     assert mixing.query(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
     assert mixing.query(docs.filter("doc_id = 2")).agg(F.sum("target")).first()[0] == 0
+
+
+def test_no_row_is_lost_by_its_id(spark):
+    rows = [(None, "a b c", "a", "1"), (None, "d e", "a", "2"), (2, "f", "a", "3"), (2, "g h", "b", "4"), (2, "g h", "b", "5"), (None, None, "b", "6")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs, weights=(1.0, 1.0)).collect()
+    words = {}
+    for r in got:
+        words[r["size"]] = words.get(r["size"], 0) + r["mix_words"]
+    planned = mixing.plan(docs, weights=(1.0, 1.0)).agg(F.sum("taken")).first()[0]
+    assert sum(words.values()) == planned and set(words) == {"1", "2", "3", "4", "5"}
+    assert {(r["doc_id"], r["text"], r["source"], r["size"]) for r in got} == {r for r in rows if r[1]}
