@@ -198,8 +198,18 @@ def identify(docs: DataFrame, *, per_language: int = SAMPLE, trees: Trees | None
     return scored.select("doc_id", "held_out", "s.lang_pred", "s.score", "s.bits_per_byte")
 
 
+def _lettered(texts: pd.Series) -> pd.Series:
+    return pd.Series([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+
+
 def known(docs: DataFrame, *, per_language: int = SAMPLE) -> DataFrame:
-    """The documents whose language is known, decided row by row; their columns as they were."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))
+    """The documents whose language is known, decided row by row; their columns as they were.
+
+    That is every text with a letter: it has a language under any model, and is kept if there is no model too.
+    """
+    trees = train(docs, per_language)
+    if trees is None:
+        return docs.filter(F.pandas_udf(_lettered, "boolean")("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(trees)
     score = F.pandas_udf(_scorer(sent), "lang_pred string, score double, bits_per_byte double")
     return docs.withColumn("_language", score("text")).filter(F.col("_language.lang_pred") != UNKNOWN).select(*docs.columns)

@@ -79,6 +79,11 @@ def test_language_of_odd_rows(spark):
     assert sorted(language.known(docs).columns) == sorted(docs.columns)
 
 
+def test_texts_with_letters_stay_without_a_model(spark):
+    docs = spark.createDataFrame([(i, t, None, None, "x") for i, t in enumerate(["the cat", "12 --", None, "", "é"])], SCHEMA)
+    assert sorted(r["doc_id"] for r in language.known(docs).collect()) == [0, 4]
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------
 
 
