@@ -4,19 +4,21 @@ A document leaks an item if some stretch of its text is within ``BUDGET`` edits
 lower-cased and anything but letters and digits becomes one blank. An occurrence of an item of m characters with at
 most k edits shares at least m - q + 1 - k q of its q-grams with the text, all on neighbouring diagonals (place in the
 text less place in the item). So shared q-grams are counted per item in overlapping bands of diagonals, bands below
-the bound are dropped without loss, and the rest is verified by an alignment confined to the band's diagonals.
+the bound are dropped without loss, and the rest is verified by an alignment confined to the band's diagonals. For this q
+is ``GRAM``, or for short items as much less as keeps the bound at one or more.
 
 The items are the query set: they are sent to the workers in blocks of a fixed number of characters, and every block
 meets every document once, where it lies. No document is shuffled and none meets another.
 
-Defined cases: a null or empty text leaks nothing; items that are null or shorter than q match nothing; items alike in
-text are reported each; rows that repeat a ``doc_id`` are searched separately; an empty table on either side gives no
+Defined cases: a null or empty text leaks nothing; items that are null or have no letter or
+digit match nothing; items alike in text are reported each, items without an id under a null id; rows that repeat a ``doc_id`` are searched separately; an empty table on either side gives no
 leak; other columns are ignored (``leaks``) or kept (``clean``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator  # noqa: TC003 (pandas_udf reads the hints)
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ GRAM = 12
 BUDGET = 0.05  # edits per item character
 BLOCK = 4_000_000  # item characters sent at a time
 SLAB = 1 << 18  # text bytes searched at a time, or one document
-SIEVE = 24  # bits of the first look-up
+SIEVE, SMALL_SIEVE = 24, 16  # bits of the first look-up, and of that for items with shorter grams
 
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCHES = "array<struct<item_id:bigint,edits:int,item_chars:int,shared:int>>"
@@ -64,36 +66,37 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int
 class Items:
     """The q-grams of a block of items, looked up by hash."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], budget: float):
+    def __init__(self, ids: list[int | None], texts: list[bytes], budget: float, gram: int = GRAM):
+        self.gram, self.drop = gram, np.uint64(64 - (SIEVE if gram == GRAM else SMALL_SIEVE))
         self.ids, self.texts = ids, [np.frombuffer(t, np.uint8) for t in texts]
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.edits = (self.sizes * budget).astype(np.int64)
-        self.least = np.maximum(1, self.sizes - GRAM + 1 - self.edits * GRAM)
-        item = np.repeat(np.arange(len(texts)), np.maximum(0, self.sizes - GRAM + 1))
-        grams = [Hashes(t).rolling(GRAM) for t in self.texts if len(t) >= GRAM]
+        self.least = np.maximum(1, self.sizes - gram + 1 - self.edits * gram)
+        item = np.repeat(np.arange(len(texts)), np.maximum(0, self.sizes - gram + 1))
+        grams = [Hashes(t).rolling(gram) for t in self.texts if len(t) >= gram]
         grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        offset = np.concatenate([np.arange(max(0, n - GRAM + 1)) for n in self.sizes]) if len(texts) else item
+        offset = np.concatenate([np.arange(max(0, n - gram + 1)) for n in self.sizes]) if len(texts) else item
         order = np.argsort(grams, kind="stable")
         self.item, self.offset = item[order], offset[order]
         self.grams, self.first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
-        self.sieve = np.zeros(1 << SIEVE, bool)
-        self.sieve[self.grams >> np.uint64(64 - SIEVE)] = True
+        self.sieve = np.zeros(1 << (64 - int(self.drop)), bool)
+        self.sieve[self.grams >> self.drop] = True
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its leaks: item id, edits, item characters, shared q-grams of the best band."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         sizes = np.array([len(t) for t in texts])
         octets = np.frombuffer(b"".join(texts), np.uint8)
-        if len(octets) < GRAM or not len(self.grams):
+        if len(octets) < self.gram or not len(self.grams):
             return out
-        values = Hashes(octets).rolling(GRAM)
-        at = np.flatnonzero(self.sieve[values >> np.uint64(64 - SIEVE)])
+        values = Hashes(octets).rolling(self.gram)
+        at = np.flatnonzero(self.sieve[values >> self.drop])
         slot = np.minimum(np.searchsorted(self.grams, values[at]), len(self.grams) - 1)
         hit = self.grams[slot] == values[at]
         at, slot = at[hit], slot[hit]
         ends = np.cumsum(sizes)
         text = np.searchsorted(ends, at, side="right")
-        whole = at + GRAM <= ends[text]
+        whole = at + self.gram <= ends[text]
         at, slot, text = at[whole], slot[whole], text[whole]
         times = self.count[slot]
         entry = np.repeat(self.first[slot] - np.cumsum(times) + times, times) + np.arange(times.sum())
@@ -123,19 +126,34 @@ class Items:
         return out
 
 
+def gram_of(size: int, budget: float) -> int:
+    """The longest q up to ``GRAM`` of which an item within its edits keeps at least one; 0 for an empty item."""
+    return min(GRAM, size // (int(size * budget) + 1))
+
+
+def indexes(ids: list[int | None], texts: list[bytes], budget: float) -> list[Items]:
+    """The items by the q they need; nearly all need the same."""
+    need = [gram_of(len(t), budget) or min(1, len(t)) for t in texts]
+    return [Items([i for i, n in zip(ids, need) if n == q], [t for t, n in zip(texts, need) if n == q], budget, q) for q in sorted(set(need) - {0})]
+
+
 def _searcher(sent):
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = Items(*sent.value)
+        items = indexes(*sent.value)
+
+        def found_in(held: list[bytes]) -> list[list[tuple]]:
+            return [list(chain.from_iterable(each)) for each in zip(*(i.search(held) for i in items))] if items else [[] for _ in held]
+
         for texts in batches:
             found, held, size = [], [], 0
             for text in texts:
                 held.append(plain(text))
                 size += len(held[-1])
                 if size >= SLAB:
-                    found += items.search(held)
+                    found += found_in(held)
                     held, size = [], 0
-            found += items.search(held) if held else []
-            yield pd.Series([sorted(f) for f in found], dtype=object)
+            found += found_in(held) if held else []
+            yield pd.Series([sorted(f, key=lambda m: (m[0] is None, m[0] or 0, *m[1:])) for f in found], dtype=object)
 
     return search
 
@@ -143,12 +161,12 @@ def _searcher(sent):
 def blocks(benchmark: DataFrame, budget: float = BUDGET, size: int = BLOCK) -> list[Column]:
     """One column of matches per block of items, to be applied to a frame's ``text``."""
     spark = benchmark.sparkSession
-    items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
+    items = benchmark.filter("text is not null").select("item_id", "text")
     whole = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-whole // size) or 1
     out = []
     for block in range(count):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(count)) == block).orderBy("item_id", "text").collect()
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).orderBy("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [plain(r["text"]) for r in rows], budget))
         out.append(F.pandas_udf(_searcher(sent), MATCHES)("text"))
     return out

@@ -193,3 +193,15 @@ def test_rows_that_share_an_id_are_judged_for_themselves(spark):
     rows = [(1, one), (2, one + " end"), (2, two), (2, two), (None, one), (None, one)]
     kept = simhash.keep_one(_docs(spark, rows)).collect()
     assert sorted((str(x["doc_id"]), x["text"]) for x in kept) == sorted([("1", one), ("2", two), ("None", one), ("None", one)])
+
+
+def test_leaks_of_short_items_and_items_without_an_id(spark):
+    r = random.Random(9)
+    items = ["".join(r.choices("abcdefgh", k=n)) for n in (20, 21, 22, 23, 24, 7)]
+    rows = [(i, "zz " + t[: len(t) // 2] + "x" + t[len(t) // 2 + 1 :] + " zz") for i, t in enumerate(items)]
+    rows += [(10, "zz" + items[5] + "zz"), (11, "zz " + "k" * 40), (12, "zz " + "n" * 39)]
+    named = [(i, t) for i, t in enumerate(items)] + [(None, "k" * 40), (None, " -- ")]
+    docs, bench = _docs(spark, rows), spark.createDataFrame(named, "item_id long, text string")
+    got = sorted(((x["doc_id"], x["item_id"], x["edits"]) for x in decontam.leaks(docs, bench).collect()), key=str)
+    assert got == sorted([*((i, i, 1) for i in range(5)), (10, 5, 0), (11, None, 0)], key=str)
+    assert sorted(x["doc_id"] for x in decontam.clean(docs, bench).collect()) == [5, 12]
