@@ -1,16 +1,17 @@
-"""Quality classifier: interpolated modified Kneser-Ney over bytes, trained on all trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney over bytes, trained on trusted text.
 
-Trusted text is every document with ``labels.quality`` 1. Each language gets its own model of ``ORDER``-byte grams.
+Trusted text is every document with ``labels.quality`` 1; a quarter of it is held out of the counts. Each language gets its own model of ``ORDER``-byte grams.
 Counts are gathered per task and summed by shuffles; discounts, context weights and probabilities of all orders are
 DataFrame aggregates and joins over gram-keyed shards, and no model is ever collected or broadcast. For scoring, each
 input split states the distinct grams it needs; these meet the probability shards in joins, one per order, backing
 off where a gram is unseen; and the split's texts then meet their own answers. A document's perplexity per byte is
-compared with its language's quantile over trusted documents, plus a slack that allows for short texts.
+compared with its language's quantile over the trusted documents that were held out, and with nothing added to it.
 
 Texts travel twice, once to meet the labels and once, compressed, to meet the answers. A split's distinct grams are bounded by
 its size, so no group depends on how many documents a language or source has.
 
-Defined cases: a null language is a language of its own; a language without trusted text has no perplexity and its
+Defined cases: a null language is a language of its own; a language whose trusted text is all held out is
+counted on it, and one without held-out text takes its quantile over what was counted; one without trusted text has no perplexity and its
 documents are kept; a null or empty text has no perplexity and is not kept; a document labelled twice counts as trusted
 if any label says so; rows that repeat a ``doc_id`` are scored separately; an empty table gives an empty result; other
 columns are ignored.
@@ -25,11 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import written
+from logquarry.llm.common import held_out, written
 
 ORDER = 4
 SLAB = 1 << 20
-QUANTILE, SLACK, SHORT = 0.99, 0.15, 8.0  # bits per byte: q99 + SLACK + SHORT / sqrt(bytes)
+QUANTILE = 0.99
+LEAST = 2.0**-32  # probability of a byte that discounts of zero leave none; its logarithm would be null and the text kept
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -127,7 +129,7 @@ def answers(asked: DataFrame, models: list[tuple[DataFrame, DataFrame]]) -> Data
         found = found.withColumn("_c", F.shiftright("_g", 8))
         found = found.join(contexts.select("lang", F.col("context").alias("_c"), F.col("weight").alias(f"w{order}")), ["lang", "_c"], "left").drop("_g", "_c")
         p = F.coalesce(F.col(f"p{order}"), F.coalesce(F.col(f"w{order}"), F.lit(1.0)) * p)
-    return found.select("lang", "gram", (-F.log2(p)).cast("float").alias("bits"))
+    return found.select("lang", "gram", (-F.log2(F.greatest(p, F.lit(LEAST)))).cast("float").alias("bits"))
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,9 +162,11 @@ def measure(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes and bits of every row; ``trusted`` holds distinct ids of trusted documents."""
     keyed = _keyed(from_files(docs))
     # labels can be as many as documents: the join is a shuffle at every size, rather than a broadcast of small ones only
-    text = keyed.join(trusted.hint("merge"), "doc_id", "left_semi").withColumn("split", F.lit(0).cast("long"))
+    text = keyed.join(trusted.hint("merge"), "doc_id", "left_semi").withColumn("split", held_out().cast("long"))
     gathered = text.mapInPandas(_counter, "split long, lang string, gram long, n long")
-    top = written(gathered.groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"order{ORDER}")
+    both = written(gathered.groupBy("split", "lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    first, rest = both.filter("split = 0").drop("split"), both.filter("split = 1").drop("split")
+    top = written(first.unionByName(rest.join(first.select("lang").distinct(), "lang", "left_anti")), f"order{ORDER}")
     models = train(top)
     asked = keyed.select("split", "lang", "text").mapInPandas(_counter, "split long, lang string, gram long, n long").select("split", "lang", "gram")
     asked = written(asked.join(top.select("lang").distinct(), "lang", "left_semi").distinct(), "asked")
@@ -173,13 +177,15 @@ def measure(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return written(scored, "bits")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, slack: float = SLACK, short: float = SHORT) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, n_bytes, perplexity (per byte), threshold and kept of every row."""
     trusted = written(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "trusted")
     rate = F.col("bits") / F.nullif(F.col("n_bytes"), F.lit(0))
     bits = measure(docs, trusted)
-    limits = bits.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx(rate, quantile, 10_000).alias("limit"))
+    of = lambda value: F.percentile_approx(value, quantile, 10_000)
+    limit = F.coalesce(of(F.when(held_out(), rate)), of(rate))
+    limits = bits.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(limit.alias("limit"))
     judged = bits.join(written(limits, "limits"), "lang", "left")
-    most = F.col("limit") + slack + short / F.sqrt(F.nullif(F.col("n_bytes"), F.lit(0)))
+    most = F.when(F.col("n_bytes") > 0, F.col("limit"))
     kept = (F.col("n_bytes") > 0) & F.coalesce(rate <= most, F.lit(True))
     return judged.select("doc_id", "n_bytes", F.pow(F.lit(2.0), rate).alias("perplexity"), F.pow(F.lit(2.0), most).alias("threshold"), kept.alias("kept"))

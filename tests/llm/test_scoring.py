@@ -277,6 +277,19 @@ def test_junk_is_told_from_trusted_text(spark):
     assert np.mean([x["kept"] for x in rows if x["q"] == 1]) >= 0.97
 
 
+def test_the_threshold_is_the_quantile_of_held_out_trusted_text(spark):
+    r = random.Random(4)
+    words = ["".join(r.choices("aeinrst", k=r.randint(2, 7))) for _ in range(80)]
+    rows = [(i, " ".join(r.choices(words, k=40)), "en", "s", "x") for i in range(200)]
+    rows += [(1000 + i, " ".join(r.choices(words, k=38)) + " qzxj", "en", "s", "x") for i in range(40)]
+    marks = spark.createDataFrame([(i, int(i < 200)) for i, *_ in rows], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in perplexity.classify(spark.createDataFrame(rows, SCHEMA), marks).collect()}
+    held = sorted(got[i]["perplexity"] for i in range(200) if _held(i))
+    assert [x["threshold"] for x in got.values()] == pytest.approx([held[math.ceil(0.99 * len(held)) - 1]] * len(got))
+    assert all(x["kept"] == (x["perplexity"] <= x["threshold"]) for x in got.values())
+    assert sum(x["kept"] for i, x in got.items() if i >= 1000) < 4
+
+
 def test_every_query_has_its_operator_number():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
