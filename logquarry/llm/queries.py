@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logquarry.llm import decontam, language, mixing, perplexity, rules, simhash, suffixes, tokens, toxicity, urls
+from logquarry.llm import centroids, decontam, language, mixing, perplexity, resample, rules, simhash, suffixes, tokens, toxicity, urls
 from logquarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,15 @@ def op10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-_ALL = (op1_mix, op2_decontaminate, op3_simhash, op4_toxicity, op5_token_counts, op6_suffixes, op7_quality_rules, op8_url_filter, op9_language, op10_perplexity)
+def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clusters(table(spark, folder, "embeddings"))
+
+
+_ALL = (op1_mix, op2_decontaminate, op3_simhash, op4_toxicity, op5_token_counts, op6_suffixes, op7_quality_rules, op8_url_filter, op9_language, op10_perplexity, op12_resample, op13_centroids)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _OP1 = r"""
@@ -83,4 +91,50 @@ select doc_id, size, source_size, target, taken, case when taken > 0 then rounds
  case when taken > 0 then round(c.t + 2 * (d - c.b) / (c.w + sqrt(greatest(0, c.w * c.w + 2 * c.s * (d - c.b)))), 9) end as position
 from curves"""
 
-ORACLE_SQL: dict[str, str] = {"op1_mix": _OP1}
+_OP12 = r"""
+with recursive crc(i, v, step) as (select range, range::bigint, 0 from range(256) union all
+  select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, step + 1 from crc where step < 8),
+steps as (select list(v order by i) as t from crc where step = 8),
+lower_docs as (select row_number() over () as r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+docs as (select r, doc_id, coalesce(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as words from lower_docs),
+raw as (select r, unnest(words) as w from docs),
+aim as (select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+bytes as (select w, list_transform(string_split(trim(regexp_replace(hex(encode(w)), '(..)', '\1 ', 'g')), ' '),
+  lambda h: ('0x' || h)::bigint) as octets from (select w from raw union select w from aim)),
+hashed as (select w, xor(list_reduce(list_prepend(4294967295::bigint, octets),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket from bytes, steps),
+s as (select bucket, count(*) as n from raw join hashed using (w) group by bucket),
+t as (select bucket, count(*) as n from aim join hashed using (w) group by bucket),
+gain as (select g.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from raw) + 10000)
+  / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from aim) + 10000))))::bigint as gain
+  from (select range as bucket from range(10000)) g left join s using (bucket) left join t using (bucket)),
+weights as (select r, sum(gain)::bigint as weight from raw join hashed using (w) join gain using (bucket) group by r),
+scored as (select r, doc_id, len(words)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double)
+  / 4294967296::double))))::bigint as score from docs left join weights using (r)),
+placed as (select r, row_number() over (order by score desc, doc_id nulls last) as place from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when place <= 10 * (select count(*) from placed) // 100 then place end as rank
+from scored left join placed using (r)"""
+
+
+def _op13(rounds: int = 5) -> str:
+    """Every assignment and every move of the centroids written out."""
+    parts = ["""with kept as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+e as materialized (select r, unnest(v) as x, generate_subscripts(v, 1) as i from kept),
+c0 as materialized (select j, unnest(v) as x, generate_subscripts(v, 1) as i from
+  (select row_number() over (order by sha256('2:' || vec_id::varchar), v) - 1 as j, v from kept qualify j < 40))"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} as materialized (select r, min_by(j, d * 64 + j) as j, min(d) as d from
+  (select e.r, c.j, sum((e.x - c.x) * (e.x - c.x))::bigint as d from e join c{k} c using (i) group by e.r, c.j) group by r)""")
+        if k < rounds:
+            parts.append(f"""c{k + 1} as materialized (select c.j, c.i, coalesce(m.x, c.x) as x from c{k} c left join
+  (select j, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint as x from a{k} join e using (r) group by j, i) m using (j, i))""")
+    parts.append(f"digest as (select j, sha256(string_agg(x::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by j)")
+    return ",\n".join(parts) + f"""
+select vec_id, j::int as cluster, d as distance, (sum(d) over (partition by j))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, centroid_sha256
+from a{rounds} join kept using (r) join digest using (j)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_mix": _OP1, "op12_resample": _OP12, "op13_centroids": _op13()}
