@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +29,88 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
+    if _open_scopes:
+        _open_scopes[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scope:
+    """The tables written while a ``scratch`` block is open."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: list[str] = []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """Leaves a written table to the block around, or in place if there is none."""
+        stays = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in table.inputFiles()}
+        self.kept += [p for p in self.paths if p.rsplit("/", 1)[-1] in stays]
+        return table
+
+
+_open_scopes: list[Scope] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scope]:
+    """Tables that ``written`` makes in this block go when it ends, but for those that are kept.
+
+    What leaves the block must read kept tables alone.
+    """
+    scope = Scope()
+    _open_scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _open_scopes.pop()
+        for path in scope.paths:
+            if path not in scope.kept:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if _open_scopes:
+            _open_scopes[-1].paths += scope.kept
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none is taken (column names don't tell case apart)."""
+    low, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Steps that neither repeat rows nor join them: above them a row still has one place in one file.
+_ONE_TO_ONE = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "Relation"}
+
+
+def _nodes(plan) -> list[str]:
+    below = plan.children()
+    return [plan.nodeName().split(" ")[0], *(name for k in range(below.size()) for name in _nodes(below.apply(k)))]
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with two more columns, whose names are returned: a row's file and its number there.
+
+    They name a row for good, whatever its columns hold, and cost no copy. Rows that don't come straight from Parquet
+    files are written first.
+    """
+    names = unused(docs.columns, "_file", "_at")
+    place = [F.col(f"_metadata.{field}").alias(name) for field, name in zip(("file_path", "row_index"), names)]
+    if "_metadata" not in {c.lower() for c in docs.columns} and set(_nodes(docs._jdf.queryExecution().analyzed())) <= _ONE_TO_ONE:
+        try:
+            return docs.select("*", *place), names
+        except AnalysisException:  # files of another format don't number their rows
+            pass
+    copy = written(docs, "rows")
+    if "_metadata" in {c.lower() for c in docs.columns}:
+        copy = written(docs.withColumns({names[0]: F.lit(""), names[1]: F.monotonically_increasing_id()}), "rows")
+        return copy, names
+    return copy.select("*", *place), names
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -49,22 +132,25 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, root) for every linked node; ``root`` is the smallest node reachable.
 
     Alternating large and small stars: every round is two aggregations to a minimum and two joins, the tree depth
-    shrinks geometrically, and no component ever meets in one task. Rounds are written tables.
+    shrinks geometrically, and no component ever meets in one task. Rounds are written tables; only the last one stays.
     """
-    edges = links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
-    edges = written(edges, "stars")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large.filter("u <> v"), "stars")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
-        hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(least.select("u", F.col("m").alias("v")).unionByName(hung).distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
-        if now == before:
-            break
-        before = now
+    with scratch(links.sparkSession) as held:
+        edges = links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
+        edges = written(edges, "stars")
+        before = None
+        while True:
+            with scratch(links.sparkSession) as round_:
+                both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+                lowest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+                large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+                large = written(large.filter("u <> v"), "stars")
+                least = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+                hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                edges = round_.keep(written(least.select("u", F.col("m").alias("v")).unionByName(hung).distinct(), "stars"))
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
+            if now == before:
+                break
+            before = now
+        held.keep(edges)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

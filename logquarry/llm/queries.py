@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logquarry.llm import centroids, decontam, language, mixing, perplexity, resample, rules, simhash, suffixes, tokens, toxicity, urls
+from logquarry.llm import centroids, decontam, language, minhash, mixing, perplexity, resample, rules, simhash, suffixes, tokens, toxicity, urls
 from logquarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -62,7 +66,7 @@ def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.clusters(table(spark, folder, "embeddings"))
 
 
-_ALL = (op1_mix, op2_decontaminate, op3_simhash, op4_toxicity, op5_token_counts, op6_suffixes, op7_quality_rules, op8_url_filter, op9_language, op10_perplexity, op12_resample, op13_centroids)
+_ALL = (op1_mix, op2_decontaminate, op3_simhash, op4_toxicity, op5_token_counts, op6_suffixes, op7_quality_rules, op8_url_filter, op9_language, op10_perplexity, op11_minhash, op12_resample, op13_centroids)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _OP1 = r"""
@@ -137,4 +141,20 @@ select vec_id, j::int as cluster, d as distance, (sum(d) over (partition by j)):
 from a{rounds} join kept using (r) join digest using (j)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_mix": _OP1, "op12_resample": _OP12, "op13_centroids": _op13()}
+_OP11 = r"""
+with recursive split as (select row_number() over () as r, doc_id,
+  coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+sets as (select r, doc_id, case when len(w) < 2 then w
+  else list_sort(list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2]))) end as s from split),
+classes as (select row_number() over () as k, s, len(s) as n, min(doc_id) as first_id from sets where len(s) > 0 group by s),
+parts as (select k, n, unnest(s) as x from classes),
+links as (select a.k as u, b.k as v from parts a join parts b on a.x = b.x and a.k < b.k
+  group by a.k, b.k, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ways as (select u, v from links union all select v, u from links),
+reach(k, t) as (select k, k from classes union select reach.k, ways.v from reach join ways on ways.u = reach.t),
+named as (select reach.k, min(c.first_id) as component_id from reach join classes c on c.k = reach.t group by reach.k),
+placed as (select s, component_id from classes join named using (k))
+select doc_id, len(sets.s)::bigint as n_shingles, case when len(sets.s) = 0 then doc_id else component_id end as component_id,
+  doc_id is not distinct from (case when len(sets.s) = 0 then doc_id else component_id end) as kept from sets left join placed on sets.s = placed.s"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix": _OP1, "op11_minhash": _OP11, "op12_resample": _OP12, "op13_centroids": _op13()}
