@@ -7,6 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from logquarry.operators import gate
 from logquarry.operators.gate import alert_gate, alert_records
 from logquarry.operators.packing import pack_token_budget
 from logquarry.operators.ranking import prune_by_cap
@@ -75,6 +76,66 @@ def test_gate_remembers_carried_fires(spark):
     assert {(r["event_id"], r["rule_id"], r["source"]): r["status"] for r in both} == sequential_gate(hits, 5)
 
 
+def _rounds(monkeypatch):
+    settled = []
+    settle = gate._settle
+    monkeypatch.setattr(gate, "_settle", lambda df, name: settled.append(name) or settle(df, name))
+    return settled
+
+
+@pytest.mark.parametrize("slices", [20, 40, 200])
+def test_rounds_do_not_grow_with_slices_under_a_cap_that_always_binds(spark, monkeypatch, slices):
+    settled = _rounds(monkeypatch)
+    hits = random_hits(4000, 4000, 30, 7)
+    out = alert_gate(hits_frame(spark, hits), cap=3, rows_per_slice=4000 // slices).collect()
+    assert {(r["event_id"], r["rule_id"], r["source"]): r["status"] for r in out} == sequential_gate(hits, 3)
+    assert settled.count("gate-chained") <= 1 and settled.count("gate-closing") <= gate.SPECULATE + 2
+
+
+def test_traffic_that_lets_up_needs_no_chain(spark, monkeypatch):
+    settled = _rounds(monkeypatch)
+    hits = [{**h, "t": h["t"] + 1000 * (h["t"] // 100)} for h in random_hits(1500, 1500, 12, 4)]  # bursts far apart
+    out = alert_gate(hits_frame(spark, hits), cap=4, rows_per_slice=120).collect()
+    assert {(r["event_id"], r["rule_id"], r["source"]): r["status"] for r in out} == sequential_gate(hits, 4)
+    assert "gate-chained" not in settled
+
+
+@pytest.mark.parametrize("cap", [0, 3])
+def test_short_chains_one_after_the_other(spark, cap):
+    hits = random_hits(1200, 600, 3, 9, hot=0.7)  # a rule and source over many slices, all within the longest cooldown
+    out = alert_gate(hits_frame(spark, hits), cap=cap, rows_per_slice=50, chain_hits=400).collect()
+    assert {(r["event_id"], r["rule_id"], r["source"]): r["status"] for r in out} == sequential_gate(hits, cap)
+
+
+def test_a_task_holds_about_as_many_hits_as_a_slice(spark):
+    slim = hits_frame(spark, random_hits(5000, 50, 3, 9)).withColumn("t", F.unix_micros("ts"))
+    lined = gate._sliced(slim.select("event_id", "rule_id", "rule_name", "source", "t"), 5, 20)
+    assert lined.groupBy("slice").count().agg(F.max("count")).first()[0] < 2.5 * 250
+    assert lined.agg(F.max("slice") + 1).first()[0] == lined.select("slice").distinct().count()
+
+
+def test_hits_without_a_time_a_source_or_a_cooldown(spark):
+    rows = [(1, "r", "r", None, 60, None), (2, "r", "r", None, 60, START), (3, "r", "r", None, 60, START), (4, None, None, "s", None, START), (5, None, None, "s", None, START)]
+    frame = spark.createDataFrame(rows, "event_id long, rule_id string, rule_name string, source string, cooldown_sec int, ts timestamp")
+    for cap in (0, 30):
+        for size in (gate.ROWS_PER_SLICE, 1):
+            out = {r["event_id"]: r["status"] for r in alert_gate(frame, cap=cap, rows_per_slice=size).collect()}
+            assert out == {1: "fired", 2: "fired", 3: "cooldown", 4: "fired", 5: "fired"}
+    assert alert_gate(frame.limit(0)).collect() == []
+
+
+def test_outcomes_of_deliveries(spark):
+    hits = [{"event_id": i, "rule_id": "r", "rule_name": "r", "source": "s", "cooldown_sec": 60, "t": 50 * i} for i in range(6)]
+    records = alert_records(alert_gate(hits_frame(spark, hits)))
+    tries = [(0, "r", "s", "webhook", False, "x"), (0, "r", "s", "webhook", True, None), (2, "r", "s", "webhook", False, None), (1, "r", "s", "webhook", True, None)]
+    tried = spark.createDataFrame(tries, "event_id long, rule_id string, source string, channel string, delivered boolean, error string")
+    out = gate.record_deliveries(records, tried)
+    assert out.columns == records.columns
+    assert sorted((r["event_id"], r["status"], r["error"]) for r in out.collect()) == [
+        (0, "sent", None), (1, "suppressed", "cooldown"), (2, "failed", "webhook delivery failed"), (3, "suppressed", "cooldown"), (4, "pending", None), (5, "suppressed", "cooldown"),
+    ]
+
+
 def test_second_hit_inside_cooldown_is_recorded_but_not_delivered(spark):
     hits = [
         {"event_id": i, "rule_id": "r", "rule_name": "r", "source": "/var/log/a.log", "cooldown_sec": 3600, "t": 10 * i} for i in range(2)
