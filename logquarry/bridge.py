@@ -87,6 +87,21 @@ from lineitem""",
     "b6": """select 3405774848 + cast(n_nationkey as bigint) * 1024 as ip_lo,
  3405774848 + cast(n_nationkey as bigint) * 1024 + 511 as ip_hi, cast(n_nationkey as double) as lat,
  cast(n_nationkey * 2 as double) as lon, n_name as country from nation""",
+    # flows between IPv6 hosts, in several ways of writing; a third of them to one host
+    "b11": """select l_orderkey as id, case when l_linenumber = 7 then null when l_partkey % 3 = 0 then '2a00:3::5'
+  when l_linenumber = 1 then concat('2A00:', lpad(hex(l_partkey % 30), 4, '0'), ':0000:0000:0000:0000:0000:', lpad(hex(l_suppkey % 40), 4, '0'))
+  when l_linenumber = 2 then concat('2a00:', lower(hex(l_partkey % 30)), '::', lower(hex(l_suppkey % 40)))
+  when l_linenumber = 3 then concat('::ffff:203.0.', cast(l_partkey % 40 as string), '.', cast(l_partkey % 25 as string))
+  when l_linenumber = 4 then concat('203.0.', cast(l_partkey % 40 as string), '.', cast(l_partkey % 25 as string))
+  when l_linenumber = 5 then concat('fd00::', lower(hex(l_partkey % 30))) else 'x:y::z' end as dst_ip,
+ l_linenumber as form, l_partkey % 30 as net, l_suppkey % 40 as host, cast(l_quantity as bigint) as bytes from lineitem""",
+    # IPv6 ranges with geography, from a few addresses to a /31
+    "b12": """select case n_nationkey % 3 when 2 then concat('2a00', lpad(hex(n_nationkey), 4, '0'), '000000000000000000000003')
+  else concat('2a00', lpad(hex(n_nationkey), 4, '0'), repeat('0', 24)) end as ip_lo,
+ case n_nationkey % 3 when 0 then concat('2a00', lpad(hex(n_nationkey), 4, '0'), repeat('f', 24))
+  when 1 then concat('2a00', lpad(hex(n_nationkey), 4, '0'), '0000000000000000', '0000000f')
+  else concat('2a00', lpad(hex(n_nationkey), 4, '0'), '000000000000000000000011') end as ip_hi,
+ cast(n_nationkey as double) as lat, 1.5 as lon, n_name as country from nation""",
     # alert rules, also saved searches
     "b7": """select * from (values
  ('r1','auth failures','denied OR failure','text',cast(null as string),'all',300,cast(null as string),
@@ -145,7 +160,7 @@ class Bridge:
         return df
 
     def view(self, name: str) -> DataFrame:
-        tables = {"b4": "orders", "b5": "lineitem", "b6": "nation", "b8": "events", "b9": "embeddings", "b10": "documents"}
+        tables = {"b4": "orders", "b5": "lineitem", "b6": "nation", "b11": "lineitem", "b12": "nation", "b8": "events", "b9": "embeddings", "b10": "documents"}
         if name in tables:
             source = tables[name]
             text = VIEWS[name].replace(f"from {source}", "from {src}")
@@ -190,6 +205,8 @@ class Bridge:
     analyses = property(lambda self: self.view("b4"))
     flows = property(lambda self: self.view("b5"))
     ranges = property(lambda self: self.view("b6"))
+    flows_6 = property(lambda self: self.view("b11"))
+    ranges_6 = property(lambda self: self.view("b12").withColumns({"ip_lo": F.lower("ip_lo"), "ip_hi": F.lower("ip_hi")}))
     rules = property(lambda self: self.view("b7"))
     cloud = property(lambda self: spread(self.view("b8")))
     vectors = property(lambda self: self.view("b9"))

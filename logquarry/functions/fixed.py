@@ -46,6 +46,43 @@ NON_PUBLIC_BLOCKS = [
 ]
 PUBLIC_EXCEPTIONS = ["192.0.0.9", "192.0.0.10"]
 
+# IPv6 blocks that are not public, and blocks inside them that are
+NON_PUBLIC_BLOCKS_6 = [
+    "::/8",
+    "100::/8",
+    "200::/7",
+    "400::/6",
+    "800::/5",
+    "1000::/4",
+    "2001::/23",
+    "2001:db8::/32",
+    "2002::/16",
+    "4000::/3",
+    "6000::/3",
+    "8000::/3",
+    "a000::/3",
+    "c000::/3",
+    "e000::/4",
+    "f000::/5",
+    "f800::/6",
+    "fc00::/7",
+    "fe00::/9",
+    "fe80::/10",
+    "ff00::/8",
+]
+PUBLIC_EXCEPTIONS_6 = [
+    "2001:1::1/128",
+    "2001:1::2/128",
+    "2001:3::/32",
+    "2001:4:112::/48",
+    "2001:20::/28",
+    "2001:30::/28",
+]
+IPV6_MAPPED = "00000000000000000000ffff"
+IPV6_V4_TAIL = r"^(.*:)((?:\d{1,3}\.){3}\d{1,3})$"
+IPV6_SHAPE = r"^[0-9a-fA-F:]*:[0-9a-fA-F:]*:[0-9a-fA-F:]*$"
+IPV6_GROUP = r"^[0-9a-fA-F]{1,4}$"
+
 # --- Fixed values: severity words -------------------------------------------------------------------------
 SEVERITY_BY_NUMBER = ["emergency", "alert", "critical", "error", "warning", "notice", "info", "debug"]
 LEVEL_WORD = r"(?i)\b(emerg(?:ency)?|alert|crit(?:ical)?|err(?:or)?|warn(?:ing)?|notice|info|debug)\b"

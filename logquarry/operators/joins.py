@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import fixed
-from logquarry.functions.net import ipv4_to_long, is_public
+from logquarry.functions.net import ip_number, ipv6_key, is_public, is_public_key
 from logquarry.functions.text import any_of
 from logquarry.operators.running import computed_once
 from logquarry.operators.search import list_events, newest
@@ -23,7 +23,7 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def _bucketed(ranges: DataFrame, values: list[str]) -> DataFrame:
-    """Ranges repeated once per /16 they touch, so that containment becomes an equi-join plus a filter."""
+    """IPv4 ranges repeated once per /16 they touch, so that containment becomes an equi-join plus a filter."""
     buckets = F.sequence(F.shiftright("ip_lo", 16), F.shiftright("ip_hi", 16))
     return ranges.select(F.explode(buckets).alias("_bucket"), "ip_lo", "ip_hi", *values)
 
@@ -35,7 +35,7 @@ def _attach_range(df: DataFrame, ip: str, buckets: DataFrame, values: list[str],
         F.col("ip_hi").alias("_hi"),
         *[F.col(v).alias(prefix + v) for v in values],
     )
-    numbered = computed_once(df, "_n", ipv4_to_long(F.col(ip)))
+    numbered = computed_once(df, "_n", ip_number(F.col(ip)))
     keyed = computed_once(numbered, "_ip", F.when(is_public(F.col("_n")), F.col("_n"))).drop("_n")
     inside = (F.shiftright("_ip", 16) == F.col("_rb")) & F.col("_ip").between(F.col("_lo"), F.col("_hi"))
     return keyed.join(renamed, inside, how).drop("_ip", "_rb", "_lo", "_hi")
@@ -48,6 +48,7 @@ def geo_enrich(
     addresses: dict[str, str] | None = None,
     values: list[str] | None = None,
     broadcast_ranges: bool | None = None,
+    ranges_6: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<prefix>_lat``, ``<prefix>_lon``, ``<prefix>_country`` per address column.
 
@@ -55,12 +56,21 @@ def geo_enrich(
     Ranges that were counted and found small go to every executor and the input is not shuffled. Otherwise
     only the distinct addresses meet the ranges, and the result is joined back per address, where AQE splits
     hot addresses.
+
+    ``ranges_6`` holds IPv6 ranges, their ends as keys of 32 hex digits (``ipv6_key``). IPv4 addresses in mapped form
+    are looked up among the IPv4 ranges.
     """
     addresses = addresses or {"src_ip": "src_", "dst_ip": "dst_"}
     values = values or ["lat", "lon", "country"]
     if {"lat", "lon"} <= set(values):  # a range without a place tells nothing
         ranges = ranges.filter("lat is not null and lon is not null")
+        ranges_6 = None if ranges_6 is None else ranges_6.filter("lat is not null and lon is not null")
     df = df.drop(*[p + v for p in addresses.values() for v in values])
+    df = _geo_4(df, ranges, addresses, values, broadcast_ranges)
+    return df if ranges_6 is None else _geo_6(df, ranges_6, addresses, values)
+
+
+def _geo_4(df: DataFrame, ranges: DataFrame, addresses: dict[str, str], values: list[str], broadcast_ranges: bool | None) -> DataFrame:
     buckets = _bucketed(ranges, values)
     small = fits_broadcast(buckets) if broadcast_ranges is None else broadcast_ranges
     if small:
@@ -77,6 +87,46 @@ def geo_enrich(
     return df
 
 
+def _bucketed_6(ranges: DataFrame, values: list[str]) -> DataFrame:
+    """Ranges repeated at most 16 times, once per value of the first hex digit in which their ends differ.
+
+    A bucket is a prefix of a range's own length, one digit beyond what its ends have in common, so a range of any width
+    has few of them: IPv6 ranges differ in width by a factor of 2^64 and more, and no one prefix length would do.
+    """
+    lo, hi = F.col("ip_lo"), F.col("ip_hi")
+    same = F.aggregate(  # leading digits that the ends have in common, up to 31
+        F.sequence(F.lit(1), F.lit(31)), F.lit(0), lambda n, k: F.when((n == k - 1) & (lo.substr(F.lit(1), k) == hi.substr(F.lit(1), k)), k).otherwise(n)
+    )
+    with_length = ranges.withColumn("_len", same + 1)
+
+    def digit(end: Column) -> Column:
+        return F.conv(end.substr(F.col("_len"), F.lit(1)), 16, 10).cast("int")
+
+    digits = F.sequence(digit(lo), digit(hi))
+    prefix = F.transform(digits, lambda d: F.concat(lo.substr(F.lit(1), F.col("_len") - 1), F.lower(F.hex(d))))
+    return with_length.select("_len", F.explode(prefix).alias("_prefix"), "ip_lo", "ip_hi", *values)
+
+
+def _geo_6(df: DataFrame, ranges: DataFrame, addresses: dict[str, str], values: list[str]) -> DataFrame:
+    """Fills in the values of IPv6 addresses. Only distinct addresses meet the ranges: an address has one prefix for each
+    prefix length that the ranges use, so the join is one of equal prefixes, with the ends checked after it."""
+    buckets = _bucketed_6(ranges, values)
+    lengths = sorted(r[0] for r in buckets.select("_len").distinct().collect())  # 32 at most
+    seen = df.select(F.explode(F.array(*addresses)).alias("_a")).filter(F.col("_a").contains(":")).distinct()
+    keyed = computed_once(seen, "_key", ipv6_key(F.col("_a"))).filter(is_public_key(F.col("_key")))
+    prefixes = F.array(*(F.substring("_key", 1, n) for n in lengths)) if lengths else F.array().cast("array<string>")
+    each = keyed.select("_a", "_key", F.explode(prefixes).alias("_prefix"))
+    found = each.join(buckets.drop("_len"), "_prefix").filter(F.col("_key").between(F.col("ip_lo"), F.col("ip_hi")))
+    for ip, prefix in addresses.items():
+        # only IPv6 addresses take part: the others are no key of the join, where they would be many alike
+        six = F.col(ip).contains(":")
+        one = found.select("_a", *[F.col(v).alias(f"_six_{v}") for v in values])
+        own = df.filter(six).join(one, F.col(ip) == F.col("_a"), "left").drop("_a")
+        own = own.withColumns({prefix + v: F.coalesce(prefix + v, f"_six_{v}") for v in values}).drop(*(f"_six_{v}" for v in values))
+        df = own.select(df.columns).unionByName(df.filter(~F.coalesce(six, F.lit(False))))
+    return df
+
+
 def with_asn_label(asn: DataFrame) -> DataFrame:
     """``asn`` text of a range table with number and organisation."""
     number, org = F.col("asn_number"), F.col("asn_org")

@@ -49,6 +49,22 @@ def geo_enrich_distinct(b: Bridge):
     return out.groupBy("dst_country").agg(F.count(F.lit(1)).alias("flows"), F.sum("bytes").alias("bytes"))
 
 
+@plan(
+    "geo_enrich_ipv6",
+    with_views("b6")
+    + f""", f as (select l_orderkey as id, l_linenumber as form, l_partkey % 3 = 0 as hot, l_partkey % 30 as net, l_suppkey % 40 as host,
+  concat('203.0.', l_partkey % 40, '.', l_partkey % 25) as four, l_quantity::bigint as bytes from lineitem),
+ p as (select *, case when form <> 7 and hot then 3 when form in (1, 2) then net end as n, case when hot then 5 else host end as h from f)
+select id, form, bytes, coalesce(x.n_name, g.country) as dst_country, coalesce(x.n_nationkey::double, g.lat) as dst_lat
+from p left join nation x on x.n_nationkey = p.n and case n_nationkey % 3 when 0 then true when 1 then h <= 15 else h between 3 and 17 end
+left join b6 g on p.form in (3, 4) and not p.hot and {ip_sql("four")} between g.ip_lo and g.ip_hi""",
+)
+def geo_enrich_ipv6(b: Bridge):
+    """Long, short, mapped and malformed addresses over ranges of very different widths, beside the IPv4 ranges."""
+    out = joins.geo_enrich(spread(b.flows_6), b.ranges, addresses={"dst_ip": "dst_"}, ranges_6=b.ranges_6)
+    return out.select("id", "form", "bytes", "dst_country", "dst_lat")
+
+
 @plan(
     "geo_enrich_asn",
     with_views("b5", "b6")
