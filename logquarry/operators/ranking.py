@@ -99,18 +99,19 @@ def nth_smallest(df: DataFrame, order: str, n: int) -> int | None:
     return df.filter(block == holding["b"]).orderBy(order).limit(n - holding["before"]).agg(F.max(order)).first()[0]
 
 
-def prune_by_cap(events: DataFrame, max_events: int, floors: dict[str, int] | None = None) -> DataFrame:
-    """At most ``max_events`` rows, oldest out first, but never the newest ``floor`` rows of a protected type.
+def within_cap(events: DataFrame, max_events: int, floors: dict[str, int] | None = None) -> Column | None:
+    """Which rows stay when at most ``max_events`` do, oldest out first, but never the newest ``floor`` rows of a protected
+    type. None if all stay.
 
     The newest rows of a protected type are those at or above one id, and the rows to delete are those at or
     below another: per-type top-k for the first, and for the second a top-k within the one block of ids whose count
     crosses the excess.
     """
     if max_events <= 0:
-        return events
+        return None
     excess = events.count() - max_events
     if excess <= 0:
-        return events
+        return None
     protected = F.lit(False)
     for kind, floor in (floors or {}).items():
         if floor > 0:
@@ -118,8 +119,12 @@ def prune_by_cap(events: DataFrame, max_events: int, floors: dict[str, int] | No
             lowest = mine.orderBy(F.desc("id")).limit(floor).agg(F.min("id")).first()[0]
             if lowest is not None:
                 protected = protected | ((F.col("source_type") == kind) & (F.col("id") >= lowest))
-    deletable = events.filter(~protected).select("id")
-    cut = nth_smallest(deletable, "id", excess)
-    if cut is None:
-        return events
-    return events.filter(protected | (F.col("id") > cut))
+    protected = F.coalesce(protected, F.lit(False))
+    cut = nth_smallest(events.filter(~protected).select("id"), "id", excess)
+    return None if cut is None else protected | (F.col("id") > cut)
+
+
+def prune_by_cap(events: DataFrame, max_events: int, floors: dict[str, int] | None = None) -> DataFrame:
+    """The rows ``within_cap``."""
+    kept = within_cap(events, max_events, floors)
+    return events if kept is None else events.filter(kept)

@@ -13,6 +13,7 @@ from logquarry.plans.joining import _COOLDOWN, _FIRES, hits, ip_sql
 from logquarry.plans.parsing import _EXPECTED, LINE_VIEW, RAW_MAP
 from logquarry.plans.searching import B1, B2, failure_sql, journal
 from logquarry.session import shared_dir
+from logquarry.sources.store import DayTable
 from logquarry.streaming import feeds, jobs
 
 
@@ -97,7 +98,7 @@ def _ingest(b: Bridge, cap: int) -> str:
 )
 def stream_ingest(b: Bridge):
     """Raw messages through the whole ingest job; the stored events."""
-    return b.spark.read.parquet(f"{_ingest(b, 30)}/events").select("id", "source_type", "message", "dst_country")
+    return DayTable(b.spark, f"{_ingest(b, 30)}/events").read().select("id", "source_type", "message", "dst_country")
 
 
 _PARSED_HITS = """, hits as (select id as event_id, 'r1' as rule_id, 300 as cooldown, received_at as ts, kind as source_type, remote_ip from k
@@ -171,12 +172,35 @@ def ingest_rate_stream(b: Bridge):
 
 @plan("stream_retention", B1 + f"select id, source_type from b1 where received_at >= timestamp '{EVENTS_NOW}' - interval 14 day - interval 6 hour")
 def stream_retention(b: Bridge):
-    """Whole old days are dropped from the stored table; the open day is cut when it is read."""
-    name = shared_dir(b.spark, "retention").rsplit("/", 1)[1].replace("-", "_")
-    dated = b.events.withColumn("event_date", F.date_format("received_at", "yyyy-MM-dd"))
-    dated.write.option("path", shared_dir(b.spark, "retained")).partitionBy("event_date", "source_type").saveAsTable(name)
-    jobs.sweep_partitions(b.spark, name, "2024-01-13")
-    left = ranking.prune_by_age(b.spark.table(name), at(EVENTS_NOW) - F.expr("INTERVAL 14 DAY 6 HOUR"))
-    return left.select("id", "source_type")
+    """Events stored by a stream; then old days are dropped unread and the open day is cut in place."""
+    path = land(b.events, "retention-in", "id")
+    out = shared_dir(b.spark, "retained")
+    stream = feeds.landed(b.spark, path, b.events.schema, files_per_trigger=8)
+    jobs.run_available(stream, jobs.store_batch(f"{out}/events"), f"{out}/checkpoint")
+    table = DayTable(b.spark, f"{out}/events")
+    cutoff = b.spark.range(1).select(F.date_format(at(EVENTS_NOW) - F.expr("INTERVAL 14 DAY 6 HOUR"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    table.prune_by_age(cutoff)
+    return table.read().select("id", "source_type")
 
 
+@plan(
+    "stream_alert_gate_late",
+    _COOLDOWN.replace("wait from hits)", "wait from hits where event_id % 20 <> 3)")
+    + """select 'late' as place, event_id, rule_id, null as status from hits where event_id % 20 = 3 and epoch_us(ts) < (select max(t) from h)
+ union all select 'gated', h.event_id, h.rule_id, case when f.t is null then 'cooldown' else 'fired' end
+ from h left join fires f on f.rule_id = h.rule_id and f.source = h.source and f.t = h.t""",
+)
+def stream_alert_gate_late(b: Bridge):
+    """Every twentieth event's hits come after all others: they change no verdict and land in a table of their own."""
+    found = hits(b).withColumn("t", us("ts"))
+    out = shared_dir(b.spark, "late-out")
+    timely = found.filter("event_id % 20 <> 3")
+    path = land(timely, "late-in", "t")
+    behind = found.filter("event_id % 20 = 3").filter(F.col("t") < timely.agg(F.max("t")).first()[0])
+    for more in (behind, None):
+        stream = feeds.landed(b.spark, path, found.schema, files_per_trigger=100).drop("t")
+        jobs.run_available(stream, jobs.gate_stream_batch(out, cap=0), f"{out}/checkpoint")
+        if more is not None:
+            more.write.mode("append").parquet(path)
+    late = b.spark.read.parquet(f"{out}/late").select(F.lit("late").alias("place"), "event_id", "rule_id", F.lit(None).cast("string").alias("status"))
+    return late.unionByName(b.spark.read.parquet(f"{out}/gated").select(F.lit("gated").alias("place"), "event_id", "rule_id", "status"))

@@ -7,21 +7,24 @@ failure replaces its own output instead of adding to it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 from logquarry.functions.syslog import FirewallMap
-from logquarry.operators.gate import CAP_WINDOW_US, FIRED, alert_gate, alert_records
+from logquarry.operators.gate import FIRED, alert_gate, alert_records
 from logquarry.operators.joins import dedup_new_events, geo_enrich
 from logquarry.operators.parse import classify_events
 from logquarry.operators.rules import match_alert_rules
 from logquarry.operators.search import feed_rows
+from logquarry.sources.store import DayTable
 
-ROW_BITS, PARTITION_BITS = 24, 17  # of an event id; the batch has the 22 bits above
-FIRES_SCHEMA = "rule_id string, source string, t long, hour long, batch long"
+ROW_BITS, PARTITION_BITS = 27, 14  # of an event id; the batch has the 22 bits above
+MEMORY_SCHEMA = "rule_id string, source string, t long"
+HORIZON = timedelta(days=7)
 KEYS_SCHEMA = "parser string, batch long"
 
 
@@ -56,6 +59,20 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def forget(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Deletes what one batch has stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _schema(ddl: str) -> StructType:
+    return _parse_datatype_string(ddl)
+
+
+def _schema_of(df: DataFrame, more: str) -> StructType:
+    return StructType([*df.schema.fields, *_schema(more).fields])
+
+
 def read_batch(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame:
     """The rows one batch has stored: its own folder by name, with no listing or inference over the growing table."""
     stored = StructType([*schema.fields, StructField("batch", LongType())])
@@ -65,25 +82,33 @@ def read_batch(spark: SparkSession, path: str, batch_id: int, schema: StructType
     return spark.read.schema(stored).option("basePath", path).parquet(folder)
 
 
-def gate_batch(hits: DataFrame, batch_id: int, path: str, *, cap: int = 30) -> DataFrame:
-    """Gate one micro-batch against the fires of earlier batches, and remember its own.
+def gate_batch(hits: DataFrame, batch_id: int, path: str, *, cap: int = 30, horizon: timedelta = HORIZON) -> DataFrame:
+    """Gate one micro-batch after the batches before it; returns its hits with their status, as stored.
 
-    Fires are stored by hour, and only the hours the gate still remembers are read, so the memory is a bounded
-    scan and no task holds the state of all rules.
+    The gate moves through event time with the newest hit it has judged. A hit older than that came too late: judging it
+    would change verdicts that are already given, so it is put into the side table ``late`` and takes no part. What the
+    gate remembers is stored with each batch: the fires of the last ``horizon`` (no cooldown may be longer) and the time
+    it has reached. A batch reads what the batch before it left and nothing else, so nothing is listed for ever, and a
+    replayed batch gives the same rows again.
     """
-    spark = hits.sparkSession
-    bounds = hits.agg(F.min(F.unix_micros(F.col("ts"))).alias("lo"), F.max("cooldown_sec").alias("wait")).first()
-    if bounds["lo"] is None:
-        return hits.withColumn("status", F.lit(FIRED))
-    memory = max(int(bounds["wait"]) * 1_000_000, CAP_WINDOW_US)
-    oldest = bounds["lo"] - memory
-    hour = 3_600_000_000
-    earlier = read_or_empty(spark, f"{path}/fires", FIRES_SCHEMA).filter(
-        (F.col("hour") >= oldest // hour) & (F.col("t") >= oldest) & (F.col("batch") < batch_id)
-    )
-    gated = alert_gate(hits, cap=cap, carried=earlier.select("rule_id", "source", "t"))
-    fires = gated.filter(F.col("status") == FIRED).select("rule_id", "source", F.unix_micros(F.col("ts")).alias("t"))
-    put_batch(fires.withColumn("hour", F.expr(f"t div {hour}L")), f"{path}/fires", batch_id, ["hour"])
+    spark, memory = hits.sparkSession, f"{path}/gate"
+    left = read_batch(spark, memory, batch_id - 1, _schema(MEMORY_SCHEMA))
+    reached = left.filter("rule_id is null and source is null").agg(F.max("t")).first()[0]
+    t = F.unix_micros(F.col("ts"))
+    timely = F.coalesce(t >= reached, F.lit(True)) if reached is not None else F.lit(True)
+    put_batch(hits.filter(~timely), f"{path}/late", batch_id)
+    fires = left.filter("rule_id is not null or source is not null").select("rule_id", "source", "t")
+    put_batch(alert_gate(hits.filter(timely), cap=cap, carried=fires), f"{path}/gated", batch_id)
+    gated = read_batch(spark, f"{path}/gated", batch_id, _schema_of(hits, "status string"))
+    newest = gated.agg(F.max(t)).first()[0]
+    reached = max((x for x in (reached, newest) if x is not None), default=None)
+    if reached is not None:
+        fresh = gated.filter(F.col("status") == FIRED).select("rule_id", "source", t.alias("t"))
+        oldest = reached - int(horizon / timedelta(microseconds=1))
+        kept = fires.unionByName(fresh).filter((F.col("t") >= oldest) & (F.col("rule_id").isNotNull() | F.col("source").isNotNull()))
+        mark = spark.createDataFrame([(None, None, reached)], MEMORY_SCHEMA)
+        put_batch(kept.unionByName(mark).coalesce(1), memory, batch_id)
+        forget(spark, memory, batch_id - 2)  # a replay of this batch needs the one before
     return gated
 
 
@@ -109,22 +134,37 @@ def ingest_batch(
         events = classify_events(raw, columns)
         if ranges is not None:
             events = geo_enrich(events, ranges)
-        dated = events.withColumn("event_date", F.to_date("received_at"))
-        put_batch(dated, f"{path}/events", batch_id, ["event_date", "source_type"])
+        dated = events.withColumns({"event_date": F.to_date("received_at"), "batch": F.lit(batch_id).cast("long")})
+        table = DayTable(spark, f"{path}/events")
+        table.append(dated, batch=batch_id)
         # the stored batch is the input of what follows: parsed once, and ids are settled
-        stored = read_batch(spark, f"{path}/events", batch_id, dated.schema)
+        stored = table.read(batch=batch_id)
         put_batch(feed_rows(stored), f"{path}/feed", batch_id)
-        hits = match_alert_rules(stored, rules())
+        found = match_alert_rules(stored, rules())
+        put_batch(found, f"{path}/hits", batch_id)  # matched once, for the gate and the records
+        hits = read_batch(spark, f"{path}/hits", batch_id, found.schema).select(*found.columns)
         put_batch(alert_records(gate_batch(hits, batch_id, path, cap=cap)), f"{path}/alerts", batch_id)
 
     return handle
 
 
 def gate_stream_batch(path: str, *, cap: int = 30) -> Callable[[DataFrame, int], None]:
-    """Handler of a stream of hits: gate and store them with their status."""
+    """Handler of a stream of hits: gate and store them with their status (``gated``), late ones apart (``late``)."""
 
     def handle(hits: DataFrame, batch_id: int) -> None:
-        put_batch(gate_batch(hits, batch_id, path, cap=cap), f"{path}/gated", batch_id)
+        put_batch(hits, f"{path}/hits", batch_id)
+        stored = read_batch(hits.sparkSession, f"{path}/hits", batch_id, hits.schema)
+        gate_batch(stored.select(*hits.columns), batch_id, path, cap=cap)
+
+    return handle
+
+
+def store_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """Handler of parsed events: store them by day (``DayTable``), each batch once."""
+
+    def handle(events: DataFrame, batch_id: int) -> None:
+        dated = events.withColumns({"event_date": F.to_date("received_at"), "batch": F.lit(batch_id).cast("long")})
+        DayTable(events.sparkSession, path).append(dated, batch=batch_id)
 
     return handle
 

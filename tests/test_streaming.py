@@ -49,3 +49,56 @@ def test_watermarked_dedup_and_live_feed(spark, tmp_path):
     stream = feeds.watermarked_dedup(feeds.landed(spark, path, "parser string, event_ts timestamp"))
     out = jobs.write_available(stream, str(tmp_path / "o"), str(tmp_path / "c"))
     assert sorted(r["parser"] for r in out.collect()) == ["k1", "k2"]
+
+
+def _hits(spark, rows):
+    frame = spark.createDataFrame(rows, "event_id long, rule_id string, rule_name string, source string, cooldown_sec int, seconds long")
+    return frame.withColumn("ts", F.timestamp_seconds("seconds")).drop("seconds")
+
+
+def _stored(spark, path, *columns):
+    return sorted(map(tuple, spark.read.parquet(str(path)).select(*columns).collect()))
+
+
+def test_late_hits_land_apart_and_change_nothing(spark, tmp_path):
+    handle = jobs.gate_stream_batch(str(tmp_path), cap=2)
+    handle(_hits(spark, [(1, "r", "r", "s", 60, 100), (2, "r", "r", "s", 60, 130)]), 0)
+    handle(_hits(spark, [(3, "r", "r", "s", 60, 90), (4, "r", "r", "s", 60, 165), (5, "q", "q", "s", 0, 129), (6, "q", "q", "t", 0, 130)]), 1)
+    before = _stored(spark, tmp_path / "gated", "batch", "event_id", "status")
+    assert before == [(0, 1, "fired"), (0, 2, "cooldown"), (1, 4, "fired"), (1, 6, "fired")]
+    assert _stored(spark, tmp_path / "late", "batch", "event_id") == [(1, 3), (1, 5)]
+    # a replay of the newest batch gives the same rows, a later batch goes on from there
+    handle(_hits(spark, [(3, "r", "r", "s", 60, 90), (4, "r", "r", "s", 60, 165), (5, "q", "q", "s", 0, 129), (6, "q", "q", "t", 0, 130)]), 1)
+    assert _stored(spark, tmp_path / "gated", "batch", "event_id", "status") == before
+    handle(_hits(spark, [(7, "r", "r", "s", 60, 170), (8, "q", "q", "s", 0, 180), (9, "p", "p", "s", 0, 226)]), 2)
+    assert _stored(spark, tmp_path / "gated", "event_id", "status")[4:] == [(7, "cooldown"), (8, "rate_limit"), (9, "fired")]
+    handle(_hits(spark, []), 3)
+    handle(_hits(spark, [(10, "r", "r", "s", 60, 224), (11, "r", "r", "s", 60, 226)]), 4)
+    assert _stored(spark, tmp_path / "late", "event_id") == [(3,), (5,), (10,)]
+    assert _stored(spark, tmp_path / "gated", "event_id", "status")[-1] == (11, "fired")
+    assert {p.name for p in (tmp_path / "gate").iterdir() if p.is_dir()} <= {"batch=3", "batch=4"}  # the memory doesn't pile up
+
+
+def test_old_fires_are_forgotten(spark, tmp_path):
+    path = str(tmp_path)
+    from datetime import timedelta
+
+    jobs.gate_batch(_hits(spark, [(1, "r", "r", "s", 60, 100)]), 0, path, horizon=timedelta(hours=1))
+    jobs.gate_batch(_hits(spark, [(2, "q", "q", "s", 60, 8000)]), 1, path, horizon=timedelta(hours=1))
+    held = spark.read.parquet(f"{path}/gate").filter("batch = 1")
+    assert sorted((r["rule_id"], r["t"]) for r in held.filter("rule_id is not null").collect()) == [("q", 8_000_000_000)]
+
+
+def test_catalog_days_are_dropped(spark, tmp_path):
+    days = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-03")], "id long, event_date string")
+    name = f"swept_{tmp_path.name.replace('-', '_')}"
+    days.write.option("path", str(tmp_path / "t")).partitionBy("event_date").saveAsTable(name)
+    assert jobs.sweep_partitions(spark, name, "2024-01-03") == 2
+    assert [r["id"] for r in spark.table(name).collect()] == [3]
+    spark.sql(f"drop table {name}")
+
+
+def test_event_ids_never_meet(spark):
+    ids = spark.range(0, 100, 1, 7)
+    both = [r[0] for k in (0, 1, 5) for r in ids.select(jobs.event_id(k)).collect()]
+    assert len(set(both)) == 300 and min(both) >= 0
