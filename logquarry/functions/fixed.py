@@ -160,6 +160,7 @@ CLOUD_ACTION_KEYS = ["action", "severity"]
 VERDICT_LEVELS = ["info", "low", "medium", "high", "critical"]
 CONFIDENCE_LEVELS = ["low", "medium", "high"]
 AUTO_SKIP_MODEL = "(auto-skip)"
+FENCED_BLOCK = r"(?is)```(?:json)?\s*(.*?)\s*```"
 NON_JSON_SUMMARY = "Model returned non-JSON; inspect raw response."
 ELLIPSIS = "…"
 DAILY_TASK = (

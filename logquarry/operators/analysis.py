@@ -120,25 +120,34 @@ def run_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], *, na
 
 # --- reply cleaning ----------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
-_FENCED = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.I | re.S)
+# a string reaches to its closing quote, or to the end if it has none
+_INSIDE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}]', re.S)
+_FENCED = re.compile(fixed.FENCED_BLOCK)
 
 
 def balanced_objects(text: str) -> list[str]:
     """The outermost balanced ``{…}`` stretches of any nesting depth; braces inside strings do not count.
 
-    A brace that is never closed opens nothing: what it holds is looked at again without it.
+    Strings exist inside objects only: a quote in the prose around them (``5" wide``) opens nothing. A brace that is never
+    closed opens nothing either: objects inside it count.
     """
     open_at: list[int] = []
     spans: list[tuple[int, int]] = []
-    for token in _TOKEN.finditer(text):
+    at = text.find("{")
+    while at >= 0:
+        token = _INSIDE.search(text, at)
+        if token is None:
+            break
+        at = token.end()
         if token[0] == "{":
             open_at.append(token.start())
         elif token[0] == "}" and open_at:
             start = open_at.pop()
             while spans and spans[-1][0] > start:  # inner objects belong to this one
                 spans.pop()
-            spans.append((start, token.end()))
+            spans.append((start, at))
+        if not open_at:
+            at = text.find("{", at)
     return [text[a:b] for a, b in spans]
 
 

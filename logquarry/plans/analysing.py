@@ -12,6 +12,8 @@ from logquarry.plans.joining import B4, summaries
 from logquarry.plans.parsing import LINE_VIEW
 from logquarry.plans.searching import low_sql
 from logquarry.session import shared_dir
+from logquarry.sources.store import DayTable
+from logquarry.streaming.drain import drain
 
 # --- batches, prompts, model -------------------------------------------------------------------------------
 
@@ -102,6 +104,25 @@ def run_model(b: Bridge):
     return analysis.run_model(prompts, stand_in_model).select("batch", "status", "error", "raw_response")
 
 
+@plan(
+    "analysis_drain",
+    _PROMPTS
+    + """, s as (select batch, count(*) as skipped from p where blocked group by batch)
+ select id, case when blocked then 'info' when not contains(prompt, 'critical raid') then case when contains(prompt, 'denied') then 'high' else 'low' end end as llm_severity,
+ case when blocked then concat('Auto-skipped ', skipped, ' blocked/denied log', case when skipped = 1 then '' else 's' end)
+  when not contains(prompt, 'critical raid') then concat(n, ' lines') end as llm_summary,
+ case when blocked then 1 + 2 * batch when not contains(prompt, 'critical raid') then 2 + 2 * batch end as analysis_id
+ from p left join q using (batch) left join s using (batch)""",
+)
+def analysis_drain(b: Bridge):
+    """Pending events stored by day, analysed in batches and marked in place; events of failed calls stay pending."""
+    out = shared_dir(b.spark, "drain")
+    table = DayTable(b.spark, f"{out}/events")
+    table.append(pending(b).withColumn("event_date", F.to_date("received_at")).select("id", "received_at", "source_type", "message", "event_date"))
+    drain(table, f"{out}/run1", stand_in_model, now=at(ANALYSES_NOW), size=10, line_limit=120)
+    return table.read().select("id", "llm_severity", "llm_summary", "analysis_id")
+
+
 # --- reply cleaning ----------------------------------------------------------------------------------------
 
 

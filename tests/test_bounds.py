@@ -27,6 +27,21 @@ def test_an_open_brace_hides_nothing():
     assert analysis.embedded_object("no object {here}") is None
 
 
+def test_quotes_in_the_prose_hide_nothing(spark):
+    texts = {
+        '5" wide. Draft: {"severity":"low"} Final: {"severity":"high"}': '{"severity":"high"}',
+        'it\'s "fine {"severity":"low", "summary":"a \\" } b"} 6"': '{"severity":"low", "summary":"a \\" } b"}',
+        '{"severity":"high"} and then 3" more': '{"severity":"high"}',
+        'a " b {"x": {"y": "}"}} c " d': '{"x": {"y": "}"}}',
+        'open { never " closed': None,
+        '"{" * 3 {"a": "unterminated}': None,
+    }
+    assert {t: analysis.embedded_object(t) for t in texts} == texts
+    assert analysis.balanced_objects("{" * 50_000 + '"' * 50_001) == []
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, raw_response string")
+    assert [r["severity"] for r in analysis.clean_replies(frame).orderBy("id").collect()[:3]] == ["high", "low", "high"]
+
+
 @pytest.mark.parametrize("pattern,hits", [(r"(?P<n>a+)b(?P=n)", ["aba"]), (r"(?P<x>zz", []), ("[", []), (r"a(?#c)b|(?<=x", [])])
 def test_patterns_never_stop_a_job(spark, pattern, hits):
     df = spark.createDataFrame([("aba",), ("abb",)], "line string")
