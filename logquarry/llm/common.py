@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
     if _open_scopes:
         _open_scopes[-1].paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return table
 
 
 class Scope:
@@ -42,9 +46,8 @@ class Scope:
         self.kept: list[str] = []
 
     def keep(self, table: DataFrame) -> DataFrame:
-        """Leaves a written table to the block around, or in place if there is none."""
-        stays = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in table.inputFiles()}
-        self.kept += [p for p in self.paths if p.rsplit("/", 1)[-1] in stays]
+        """Leaves a table that ``written`` made to the block around, or in place if there is none."""
+        self.kept.append(table.written_at)
         return table
 
 
@@ -128,6 +131,45 @@ def computed(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*(value.alias(name) for name, value in fields.items())))))
 
 
+def joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number reachable from each of ``n`` nodes along the links i - j."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def by_groups(keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For ``mapInPandas`` over partitions that are sorted by ``keys``: the results of all groups, one group held at a time."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            if not len(rows):
+                continue
+            cut = np.flatnonzero((rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1)) + 1
+            if held and (held[0][keys].iloc[0] != rows[keys].iloc[0]).any():
+                yield run(pd.concat(held, ignore_index=True))
+                held = []
+            for low, high in zip([0, *cut], [*cut, len(rows)]):
+                part = rows.iloc[low:high]
+                if high < len(rows):
+                    yield run(pd.concat([*held, part], ignore_index=True) if held else part)
+                    held = []
+                else:
+                    held.append(part)
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
+
+    return each
+
+
 def components(links: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, root) for every linked node; ``root`` is the smallest node reachable.
 

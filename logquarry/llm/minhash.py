@@ -10,8 +10,9 @@ threshold does in all but ``DOUBT`` of cases are dropped; the others are confirm
 Candidates are met without pairing a group. In each round one class of every bucket, a member of the bucket's largest
 part, meets the bucket's classes outside its part; what is confirmed joins parts, the class leaves the bucket (it has met
 everyone), and buckets of one part are done. A group of copies of one text is joined in the first rounds, at a cost in
-proportion to its size. When rounds stop paying, the classes that are still apart in a bucket are compared in blocks of
-``BLOCK`` by their signatures, so every candidate pair is decided.
+proportion to its size. When rounds stop paying, the classes that are still apart in a bucket meet in blocks of bounded
+size, where signatures, then whole sets decide every pair, and only links that connect leave the task: at most one for
+each class, however many pairs are alike.
 
 A pair at the threshold shares no band in (1 - alike^ROWS)^BANDS = 2.6e-8 of cases and is dropped by its signature in
 ``DOUBT``; no other step loses a link. Texts are read where they lie: a row is known by its file and its number there,
@@ -34,13 +35,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import components, located, scratch, written
+from logquarry.llm.common import by_groups, components, joined, located, scratch, written
 
 WIDTH, ALIKE = 2, 80  # words in a shingle, and per cent of the union that the intersection has to hold
 BANDS, ROWS, BITS = 44, 5, 2
 SEED = 42
 DOUBT = 1e-9
-BLOCK = 512  # classes of a bucket that meet as many others in one task
+BLOCK = 1 << 18  # codes in the sets of a block, about; two blocks meet in one task
+COLUMNS = 1 << 11  # codes counted at a time where blocks meet
 CROWD = 4096  # partners that share one copy of a text when pairs are confirmed
 PAYS = 0.8  # a round pays if it leaves at most this share of the open pairs
 SLAB = 1 << 12  # codes whose orders are taken at a time
@@ -192,19 +194,70 @@ def _hubs(state: DataFrame) -> DataFrame:
     return written(best.select("key", F.col("h.hub").alias("hub"), F.col("h.root").alias("hub_root")), "hubs")
 
 
-def _in_blocks(state: DataFrame, classes: DataFrame, alike: int) -> DataFrame:
-    """Candidate pairs that are still open: the classes of a bucket meet in blocks; only those of different parts whose
-    signatures agree often enough come out."""
-    size = state.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = state.join(size, "key").join(classes.select("cls", "n", "signature"), "cls")
-    rows = rows.select("key", "cls", "root", "n", "signature", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("own"))
-    rows = written(rows, "rows")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = rows.select("key", F.col("cls").alias("u"), "root", "n", F.col("signature").alias("a"), F.col("own").alias("i"), F.explode(every).alias("j"))
-    right = rows.select("key", F.col("cls").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("signature").alias("b"), F.explode(every).alias("i"), F.col("own").alias("j"))
-    open_ = (left["key"] == right["key"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("u") > F.col("v")) & (F.col("root") != F.col("other"))
-    close = _may_be_alike(alike, "n", "m") & (agreeing(F.col("a"), F.col("b")) >= least_agreeing(alike))
-    return left.join(right, open_ & close).select("u", "v")
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many codes each set on the left has in common with each set on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    codes, cell = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    border = sum(map(len, left))
+    owner = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    cells = [cell[:border], cell[border:]]
+    common = np.logical_and(*(np.bincount(c, minlength=len(codes)) > 0 for c in cells))
+    number = np.cumsum(common) - 1
+    for k in (0, 1):
+        kept = common[cells[k]]
+        order = np.argsort(number[cells[k][kept]], kind="stable")
+        cells[k], owner[k] = number[cells[k][kept]][order], owner[k][kept][order]
+    for at in range(0, int(common.sum()), COLUMNS):
+        tables = []
+        for k, side in ((0, left), (1, right)):
+            low, high = np.searchsorted(cells[k], (at, at + COLUMNS))
+            tables.append(np.zeros((len(side), COLUMNS), np.float32))
+            tables[k][owner[k][low:high], cells[k][low:high] - at] = 1
+        out += tables[0] @ tables[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def _block_links(rows: pd.DataFrame, width: int, alike: int) -> pd.DataFrame:
+    """Links that connect what is alike in two blocks of a bucket (or in one), at most one for each class."""
+    same = rows["i"].iloc[0] == rows["j"].iloc[0]
+    first = rows if same else rows[rows["own"] == rows["i"]]
+    other = rows if same else rows[rows["own"] == rows["j"]]
+    none = rows.iloc[:0].assign(u=[], v=[])[["u", "v"]].astype("int64")
+    if first.empty or other.empty:
+        return none
+    (n, a, root), (m, b, top) = ((x["n"].to_numpy(), np.array(x["signature"].tolist(), np.int64).view(np.uint64), x["root"].to_numpy()) for x in (first, other))
+    differ = np.zeros((len(n), len(m)), np.int64)
+    for k in range(_WORDS):
+        both = a[:, None, k] ^ b[None, :, k]
+        differ += np.bitwise_count(reduce(np.bitwise_or, (both >> np.uint64(x) for x in range(BITS))) & np.uint64(_ONES))
+    open_ = (root[:, None] != top[None, :]) & (_PLACES - differ >= least_agreeing(alike))
+    open_ &= np.minimum(n[:, None], m[None, :]) * 100 >= np.maximum(n[:, None], m[None, :]) * alike
+    left, right = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(left):
+        return none
+    sets = [[shingle_set(t, width) for t in side["text"].iloc[at]] for side, at in ((first, left), (other, right))]
+    common = shared_counts(*sets)
+    union = n[left][:, None] + m[right][None, :] - common
+    i, j = np.nonzero(open_[np.ix_(left, right)] & (100 * common >= alike * union))
+    u, v = first["cls"].to_numpy()[left[i]], other["cls"].to_numpy()[right[j]]
+    names, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = joined(place[: len(u)], place[len(u) :], len(names))
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return pd.DataFrame({"u": names[moved], "v": names[label[moved]]})
+
+
+def _in_blocks(state: DataFrame, classes: DataFrame, texts: DataFrame, width: int, alike: int) -> DataFrame:
+    """Links among the classes that share a bucket but not a part. Pairs whose signatures agree often enough are counted
+    on their whole sets where the blocks meet, and only links that connect come out, not pairs."""
+    size = written(state.join(classes, "cls").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "blocks")
+    rows = state.join(size, "key").join(classes, "cls").join(texts, "cls")
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("own")
+    rows = rows.select("key", "cls", "root", "n", "signature", "text", "blocks", own)
+    met = rows.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))))
+    met = met.select("key", "p.i", "p.j", "own", "cls", "root", "n", "signature", "text")
+    run = by_groups(["key", "i", "j"], lambda group: _block_links(group, width, alike))
+    lined = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return written(lined.mapInPandas(run, "u long, v long").distinct(), "linked")
 
 
 def links(classes: DataFrame, texts_of, width: int, alike: int) -> DataFrame | None:
@@ -232,8 +285,7 @@ def links(classes: DataFrame, texts_of, width: int, alike: int) -> DataFrame | N
         state = state.join(hubs.select("key", F.col("hub").alias("cls")), ["key", "cls"], "left_anti")
         state = _unsettled(_joined(state, found))
     if open_now:
-        asked = _asked(_in_blocks(state, classes, alike), classes, tried, alike)
-        found.append(confirmed(asked, texts, width, alike))
+        found.append(_in_blocks(state, classes, texts, width, alike))
     return reduce(DataFrame.unionByName, found)
 
 

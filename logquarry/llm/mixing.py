@@ -17,10 +17,12 @@ table gives an empty result; other columns are ignored (``plan``) or kept beside
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import WORD, computed, written
+from logquarry.llm.common import WORD, computed, located, written
 
 WEIGHTS = (5.0, 2.0, 1.0)  # by rank of the source, repeating
 CAP = 3.0
@@ -85,14 +87,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, curves=CURVES)
     return level.select("source", "n", "source_size", "weight", F.least(target, "limit").alias("target"), "curve")
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, curves=CURVES, key: str | None = None) -> DataFrame:
+def plan(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, curves=CURVES, row: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, position (of the first copy), and the
     order columns source, place, lead (words of its source's round before it).
 
-    ``key`` names a settled number of each row, which is carried along and orders rows alike in id and size."""
+    ``row`` names columns that tell each row for good; they are carried along and order rows alike in id and size."""
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     fields = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": words_in(F.col("text")), "place": place}
-    sized = written(computed(docs, fields | ({key: F.col(key)} if key else {})), "sizes")
+    sized = written(computed(docs, fields | {name: F.col(name) for name in row}), "sizes")
     goals = written(targets(sized, weights, cap, curves).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "targets")
     share = F.conv(F.substring("place", 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
     ranged = sized.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(goals.select("key", "n"), "key")
@@ -100,7 +102,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, curves=CURVES, key:
     slots = ranged.groupBy("key", "slot").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = written(slots.select("key", "slot", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before")), "slots")
-    within = Window.partitionBy("key", "slot").orderBy("place", F.desc("size"), *([key] if key else [])).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "slot").orderBy("place", F.desc("size"), *row).rowsBetween(Window.unboundedPreceding, -1)
     led = ranged.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     led = led.join(slots, ["key", "slot"]).withColumn("lead", F.col("before") + F.col("inner"))
     led = led.join(goals.select("key", "source_size", "target", "curve"), "key")
@@ -124,13 +126,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The training sequence: one row per copy taken, with the document's columns and mix_copy, mix_words,
     mix_position, range-sorted by position. A copy of fewer words than the document ends its source's stream.
 
-    Rows are numbered once and matched by that number, so that rows without an id and rows that share one are all mixed."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    led = plan(rows, **options, key="_row").filter("taken > 0")
+    Rows are matched by their place in their files, so rows without an id and rows that share one are all mixed, and no
+    copy of the texts is made. A document's own column of one of the three names gives way to the copy's."""
+    placed, row = located(docs)
+    led = plan(placed, **options, row=row).filter("taken > 0")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("mix_copy")
-    each = led.select("_row", "size", "source_size", "target", "taken", "lead", "curve", copy)
+    each = led.select(*row, "size", "source_size", "target", "taken", "lead", "curve", copy)
     words = F.least(F.col("size"), F.col("taken") - F.col("mix_copy") * F.col("size"))
     demand = (F.col("mix_copy") * F.col("source_size") + F.col("lead")) / F.col("target")
-    each = each.select("_row", "mix_copy", words.alias("mix_words"), when_reached(demand, F.col("curve")).alias("mix_position"))
+    each = each.select(*row, "mix_copy", words.alias("mix_words"), when_reached(demand, F.col("curve")).alias("mix_position"))
     each = written(each, "copies")
-    return rows.join(each, "_row").drop("_row").repartitionByRange("mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")
+    own = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_words", "mix_position")]
+    copies = placed.select(*own, *row).join(each, row).drop(*row)
+    return copies.repartitionByRange("mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")

@@ -14,7 +14,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import components, written
+from logquarry.llm.common import components, joined, located, scratch, written
 
 SEED = 42  # of XXH64
 STEP = 4  # bits per trie level
@@ -55,14 +55,14 @@ def fingerprint(text: str | None, width: int) -> int:
     return vote(np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)))
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; ``fp`` is the signed form of the 64 bits."""
+def fingerprints(docs: DataFrame, width: int = 3, others: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, others, fp) for every row; ``fp`` is the signed form of the 64 bits."""
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", prints("text").alias("fp"))
+    return docs.select("doc_id", *others, prints("text").alias("fp"))
 
 
 def _prefix(depth: int):
@@ -119,20 +119,6 @@ def leaf_pairs(levels: list[DataFrame], budget: int) -> DataFrame:
     return pairs.select("family", F.col("a.depth").alias("da"), F.col("a.node").alias("a"), F.col("b.depth").alias("db"), F.col("b.node").alias("b"))
 
 
-def _joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The smallest number reachable from each of ``n`` nodes along the links i - j."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(budget: int):
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -146,7 +132,7 @@ def _compare(budget: int):
                 if not len(i):
                     continue
                 keys = a if same else np.concatenate([a, b])
-                label = _joined(i, j if same else j + len(a), len(keys))
+                label = joined(i, j if same else j + len(a), len(keys))
                 moved = np.flatnonzero(label != np.arange(len(keys)))
                 families.append(np.full(len(moved), family))
                 u.append(keys[moved])
@@ -172,132 +158,37 @@ def links(prints: DataFrame, budget: int) -> DataFrame:
     return met.mapInPandas(_compare(budget), "family int, u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; components link fingerprints within ``budget`` bits."""
-    prints = written(fingerprints(docs, width), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+def linked_prints(classes: DataFrame, budget: int) -> DataFrame:
+    """(fp, root) of the fingerprints that are linked with another; ``root`` is the smallest of a component."""
     single = classes.select(F.lit(0).alias("family"), "fp")
-    linked = components(links(single, budget), "u", "v").withColumnRenamed("node", "fp")
-    named = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = written(named, "named")
-    roots = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
-    member = written(named.join(roots, "root").select("fp", "component_id"), "members")
-    return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-WIDTH, ALIKE = 5, 0.8  # words in a shingle of the pipeline's stage, and the Jaccard similarity from which texts are near copies
-BANDS, ROWS = 32, 5  # minima: at 0.8 a pair shares no band in 3 of 10^6 cases, above it in fewer
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit codes of the runs of ``WIDTH`` lower-cased words; one shorter run if there are fewer words."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    hashes = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
-    n = max(0, len(words) - WIDTH + 1) or min(1, len(words))
-    code = np.zeros(n, np.uint64)
-    for k in range(min(WIDTH, len(words))):
-        code = (code ^ (code >> np.uint64(31))) * _STEP + hashes[k : k + n]
-    return np.unique((code ^ (code >> np.uint64(32))) * _STEP)
-
-
-def bands(codes: np.ndarray) -> list[int]:
-    """A hash of each ``ROWS`` minima of the set under ``BANDS`` x ``ROWS`` orders; none for an empty set."""
-    if not len(codes):
-        return []
-    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(codes), 1 << 12):
-        low = np.minimum(low, (_FACTORS[:, None] * codes[None, at : at + (1 << 12)]).min(axis=1))
-    out = np.zeros(BANDS, np.uint64)
-    for minima in low.reshape(BANDS, ROWS).T:
-        out = (out ^ (out >> np.uint64(29))) * _STEP + minima
-    return out.view(np.int64).tolist()
+    return components(links(single, budget), "u", "v").withColumnRenamed("node", "fp")
 
 
-def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from xxhash import xxh128_hexdigest
-
-    for rows in batches:
-        sets = [shingle_set(t) for t in rows["text"]]
-        names = [xxh128_hexdigest(s.tobytes(), SEED) for s in sets]
-        yield rows[["doc_id", "_row"]].assign(name=names, n=[len(s) for s in sets], bands=[bands(s) for s in sets])
-
-
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        yield rows[["name"]].assign(codes=[shingle_set(t).view(np.int64) for t in rows["text"]])
-
-
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(rows["left"], rows["right"])], np.int64)
-        whole = rows["left"].map(len).to_numpy(np.int64) + rows["right"].map(len).to_numpy(np.int64) - both
-        yield rows.loc[both >= ALIKE * whole, ["u", "v"]]
-
-
-def alike(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of class names whose shingle sets have a Jaccard similarity of ``ALIKE``, counted exactly.
-
-    Sets are made again from one text of each class that is in a pair, as they are larger than the texts.
-    """
-    asked = written(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "name"), "asked")
-    texts = rows.join(classes.join(asked, "name", "left_semi").select("name", F.col("sample").alias("_row")), "_row").select("name", "text")
-    sets = written(texts.mapInPandas(_sets, "name string, codes array<bigint>"), "sets")
-    met = pairs.join(sets.select(F.col("name").alias("u"), F.col("codes").alias("left")), "u")
-    met = met.join(sets.select(F.col("name").alias("v"), F.col("codes").alias("right")), "v")
-    return written(met.select("u", "v", "left", "right").mapInPandas(_verified, "u string, v string"), "alike")
+def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row; components link fingerprints within ``budget`` bits."""
+    with scratch(docs.sparkSession) as held:
+        prints = held.keep(written(fingerprints(docs, width), "prints"))
+        classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+        named = classes.join(linked_prints(classes, budget), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        named = written(named, "named")
+        roots = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
+        member = held.keep(written(named.join(roots, "root").select("fp", "component_id"), "members"))
+    return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(rows: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (name, n, sample, bands) of rows with the same shingle set, and links (u, v) that join exactly the
-    proposed classes with a similarity of ``ALIKE``.
+def keep_one(docs: DataFrame, *, width: int = 3, budget: int = 2) -> DataFrame:
+    """The documents with one row of each group of near copies, the one with the smallest id; see ``near_duplicates``.
 
-    First, every class of a band's bucket meets the class that shares most buckets with others, so that the copies of one
-    text hang on it without meeting each other. Then classes of a bucket that are not yet joined meet each other.
-    """
-    classes = profiles.groupBy("name").agg(F.min("n").alias("n"), F.min("_row").alias("sample"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    each = classes.select("name", "n", F.posexplode("bands").alias("band", "key"))
-    full = written(each.groupBy("band", "key").agg(F.count("*").alias("held")).filter("held > 1"), "buckets")
-    each = written(each.join(full, ["band", "key"]), "bucketed")
-    rank = written(each.groupBy("name").agg(F.sum("held").alias("rank")), "ranks")
-    hubs = each.join(rank, "name").groupBy("band", "key").agg(F.max(F.struct("rank", "name", "n")).alias("hub"))
-    hubs = written(hubs.select("band", "key", F.col("hub.name").alias("hub"), F.col("hub.n").alias("m")), "hubs")
-    # no sets of which one is below ALIKE of the other's size can be alike
-    close = F.least("n", "m") >= ALIKE * F.greatest("n", "m")
-    first = each.join(hubs, ["band", "key"]).filter(F.col("name") != F.col("hub")).filter(close)
-    first = written(first.select(F.greatest("name", "hub").alias("u"), F.least("name", "hub").alias("v")).distinct(), "proposed")
-    found = alike(first, rows, classes)
-    roots = components(found, "u", "v")
-    left = each.join(roots.withColumnRenamed("node", "name"), "name", "left").select("band", "key", "name", "n", F.coalesce("root", "name").alias("root"))
-    left = written(left, "rooted")
-    apart = left.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "key")
-    left = written(left.join(apart, ["band", "key"], "left_semi"), "apart")
-    right = left.select("band", "key", F.col("name").alias("other"), F.col("n").alias("m"), F.col("root").alias("top"))
-    rest = left.join(right, ["band", "key"]).filter(F.col("root") < F.col("top")).filter(close)
-    rest = rest.select(F.greatest("name", "other").alias("u"), F.least("name", "other").alias("v")).distinct()
-    rest = written(rest.join(first, ["u", "v"], "left_anti"), "proposed")
-    return classes, found.unionByName(alike(rest, rows, classes))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a near copy with a smaller id; see the pipeline.
-
-    Near copies have 5-word shingle sets with a Jaccard similarity of 0.8 or more, and what such links connect is one
-    group. Pairs are proposed by bands of minima over the sets and verified by the sets themselves; equal sets are one class.
-    Every row is judged for itself: of rows that share an id, only near copies of each other or of a smaller id go. A
-    row without an id stays and takes no part; texts without words are copies of each other.
+    Every row is judged for itself, by its place in its file: a row without an id goes if it is a copy of one that has an
+    id, and of rows alike in id, or all without one, the one read first stays. All columns are kept as they were.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    told = rows.filter("doc_id is not null").select("doc_id", "_row", "text")
-    profiles = written(told.mapInPandas(_profiles, "doc_id long, _row long, name string, n int, bands array<bigint>"), "profiles")
-    classes, found = near_copies(rows, profiles)
-    linked = written(components(found, "u", "v").withColumnRenamed("node", "name"), "linked")
-    member = profiles.select("doc_id", "_row", "name").join(linked, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    member = written(member.select("doc_id", "_row", "root"), "members")
-    kept = written(member.groupBy("root").agg(F.min(F.struct("doc_id", "_row")).alias("one")).select(F.col("one._row").alias("_row")), "kept")
-    gone = written(member.select("_row").join(kept, "_row", "left_anti"), "gone")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    placed, place = located(docs)
+    with scratch(docs.sparkSession) as held:
+        prints = written(fingerprints(placed, width, place), "prints")
+        # null ids come last, and rows of one fingerprint meet as partial aggregates
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *place)).alias("first")
+        classes = written(prints.groupBy("fp").agg(first), "classes")
+        linked = linked_prints(classes, budget)
+        best = classes.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+        kept = held.keep(written(best.select(*(F.col(f"first.{c}").alias(c) for c in place)), "kept"))
+    return placed.join(kept, place, "left_semi").select(*docs.columns)

@@ -86,7 +86,8 @@ def test_other_shingles_and_thresholds(spark, width, alike):
 
 def test_a_crowd_below_the_threshold_is_settled_in_blocks(spark, monkeypatch):
     # chains and texts that share a template: rounds soon stop paying, blocks decide the rest
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK", 900)
+    monkeypatch.setattr(minhash, "COLUMNS", 64)
     monkeypatch.setattr(minhash, "CROWD", 8)
     monkeypatch.setattr(minhash, "PAYS", 0.1)
     r = random.Random(3)
@@ -101,6 +102,22 @@ def test_a_crowd_below_the_threshold_is_settled_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == _by_hand(rows)
 
 
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    r = random.Random(6)
+    left, right = ([np.unique(np.array(r.choices(range(60), k=r.randint(1, 40)), np.uint64)) for _ in range(n)] for n in (9, 13))
+    assert minhash.shared_counts(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
+def test_groups_of_a_sorted_stream():
+    import pandas as pd
+
+    rows = pd.DataFrame({"k": [1, 1, 1, 2, 3, 3, 4], "i": [0, 0, 1, 1, 1, 1, 1], "x": range(7)})
+    for cuts in ([0, 7], [0, 1, 2, 3, 7], [0, 2, 2, 5, 6, 7], [0, 3, 4, 7]):
+        parts = [rows.iloc[a:b] for a, b in zip(cuts, cuts[1:])]
+        assert [g["x"].tolist() for g in common.by_groups(["k", "i"], lambda g: g)(iter(parts))] == [[0, 1], [2], [3], [4, 5], [6]]
+
+
 def test_empty_and_unlinked(spark):
     assert minhash.near_duplicates(_docs(spark, [])).collect() == []
     rows = [(1, "a b c"), (2, None), (3, "d e f")]

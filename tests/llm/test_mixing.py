@@ -86,3 +86,9 @@ def test_no_row_is_lost_by_its_id(spark):
     planned = mixing.plan(docs, weights=(1.0, 1.0)).agg(F.sum("taken")).first()[0]
     assert sum(words.values()) == planned and set(words) == {"1", "2", "3", "4", "5"}
     assert {(r["doc_id"], r["text"], r["source"], r["size"]) for r in got} == {r for r in rows if r[1]}
+
+
+def test_own_columns_of_the_copies_names_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "x")], SCHEMA).selectExpr("*", "'mine' as MIX_COPY", "7 as place", "'k' as curve")
+    (row,) = mixing.mix(docs, weights=(1.0,), cap=1.0).collect()
+    assert row["mix_copy"] == 0 and row["place"] == 7 and row["curve"] == "k" and row.asDict().keys() == {*docs.drop("MIX_COPY").columns, "mix_copy", "mix_words", "mix_position"}

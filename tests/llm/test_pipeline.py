@@ -19,3 +19,14 @@ def test_stages_and_run(spark):
     assert before.groupBy("doc_id").count().filter("count > 1").isEmpty()
     got = corpus_pipeline.run(spark, SMALL)
     assert {"doc_id", "text", "mix_copy", "mix_words", "mix_position"} <= set(got.columns) and got.count() > 0
+
+
+def test_near_copies_as_by_hand(spark):
+    """One document of each group of fingerprints within the bit distance, on all pairs of the table."""
+    from tests.llm.test_copies import _kept_by_hand
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["near copies"]
+    got = sorted((x["doc_id"], x["text"]) for x in stage(spark, docs, "").select("doc_id", "text").collect())
+    want = _kept_by_hand([(x["doc_id"], x["text"]) for x in docs.select("doc_id", "text").collect()])
+    assert got == sorted(want) and len(got) < docs.count()

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from logquarry.llm import language, perplexity, rules, tokens, toxicity, urls
 from logquarry.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SMALL
@@ -84,6 +86,20 @@ def test_texts_with_letters_stay_without_a_model(spark):
     assert sorted(r["doc_id"] for r in language.known(docs).collect()) == [0, 4]
 
 
+def test_texts_that_no_language_shortens_go(spark):
+    r = random.Random(3)
+    words = "the cat sat on a mat and that is all of it".split()
+    rows = [(i, " ".join(r.choices(words, k=30)), "en", None, "x") for i in range(60)]
+    rows += [(100, "日本語の文章はここにある" * 4, "ja", None, "x"), (101, "犬", None, None, "x"), (102, "The mat, the cat; all sat.", None, None, "x"), (103, "Zq", None, None, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    trees = language.train(docs.filter("doc_id < 100"))
+    bits = trees.bits_of([t for _, t, *_ in rows]).min(axis=1)
+    over = {i: b - 8 * len(t.encode()) > language.EXCESS for (i, t, *_), b in zip(rows, bits)}
+    learned = docs.withColumn("lang", F.when(F.col("doc_id") < 100, "en"))
+    assert sorted(r["doc_id"] for r in language.known(learned).collect()) == [i for i, *_ in rows if not over[i]]
+    assert over[100] and not over[101] and not over[102] and not over[103]
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------
 
 
@@ -291,5 +307,27 @@ def test_the_threshold_is_the_quantile_of_held_out_trusted_text(spark):
 
 
 def test_every_query_has_its_operator_number():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_texts_that_the_ranks_cannot_encode(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [" " * 1_100_000 + "a", "\n" * 40_000, "b" * 100_000, "a b " * 50_000, "　" * 20_000 + "x", "x" + " " * 9_999 + "y", "plain"]
+    docs = spark.createDataFrame([(i, t, None, None, "x") for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, path).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_ranks_that_differ_give_way_to_the_library(monkeypatch):
+    import public_tokenizers
+
+    count = tokens.JsonCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    assert count.ranked is not None
+    right = count(["one two", "three"])
+    monkeypatch.setattr(count, "ranked", type("Wrong", (), {"encode_to_numpy": lambda self, *a, **b: np.zeros(99)})())
+    assert count(["one two", "three"]) == right and count.ranked is None
