@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,7 @@ from logquarry.llm.common import written
 from logquarry.session import shared_dir
 
 LIMIT = 1024
+LONG_RUN = re.compile(r"\s{10000}")  # the ranks' splitter goes back over blanks
 CACHE = "digest string, tokenizer string, n_tokens long"
 
 
@@ -36,7 +38,9 @@ class JsonCounter:
     """Counts as the ``tokenizers`` library does for its file.
 
     A byte-level BPE file whose ids rise with its merges is a table of ranks; such a vocabulary is encoded by the
-    faster ``tiktoken``, and one text of every batch is checked against the library. Other files use the library.
+    faster ``tiktoken``. One text of every batch is checked against the library; should it ever differ, the library counts
+    the batch and all that follow. It also counts texts that the ranks cannot encode, such as one with a blank run beyond
+    what the splitter's stack holds, and all texts under other files.
     """
 
     def __init__(self, path: str):
@@ -49,12 +53,22 @@ class JsonCounter:
         self.ranked = ranked_vocabulary(path)
 
     def __call__(self, texts: list[str]) -> list[int]:
+        if self.ranked is not None and texts and self._by_ranks(texts[0]) != self._by_library(texts[0]):
+            self.ranked = None
         if self.ranked is None or not texts:
             return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = [self.ranked.encode_to_numpy(t, allowed_special="all").size for t in texts]
-        if counts[0] != len(self.library.encode(texts[0], add_special_tokens=False).ids):
-            raise ValueError("the ranks do not reproduce this tokenizer file")
-        return counts
+        return [self._by_ranks(t) for t in texts]
+
+    def _by_library(self, text: str) -> int:
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _by_ranks(self, text: str) -> int:
+        if not LONG_RUN.search(text):
+            try:
+                return self.ranked.encode_to_numpy(text, allowed_special="all").size
+            except ValueError:  # the splitter gives up
+                pass
+        return self._by_library(text)
 
 
 def ranked_vocabulary(path: str):
