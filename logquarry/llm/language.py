@@ -23,12 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import held_out, written
+from logquarry.llm.common import held_out, unused, written
 
 ORDER = 3
 SAMPLE = 400  # training documents per language, about
 SLAB = 1 << 19  # bytes scored at a time
 UNKNOWN = "und"
+EXCESS = 256  # bits above 8 a byte beyond which a text is in none of the languages
 
 
 def _octets(text: str) -> np.ndarray:
@@ -203,13 +204,17 @@ def _lettered(texts: pd.Series) -> pd.Series:
 
 
 def known(docs: DataFrame, *, per_language: int = SAMPLE) -> DataFrame:
-    """The documents whose language is known, decided row by row; their columns as they were.
+    """The documents in a language that is known, decided row by row; their columns as they were.
 
-    That is every text with a letter: it has a language under any model, and is kept if there is no model too.
+    A text without a letter goes, and so does one that no learned language shortens: its shortest code takes over 8 bits
+    a byte, by more than ``EXCESS`` bits in all, so that a text of a few letters is not judged by chance. Without a row to
+    learn from every text with a letter stays.
     """
     trees = train(docs, per_language)
     if trees is None:
         return docs.filter(F.pandas_udf(_lettered, "boolean")("text"))
     sent = docs.sparkSession.sparkContext.broadcast(trees)
     score = F.pandas_udf(_scorer(sent), "lang_pred string, score double, bits_per_byte double")
-    return docs.withColumn("_language", score("text")).filter(F.col("_language.lang_pred") != UNKNOWN).select(*docs.columns)
+    (told,) = unused(docs.columns, "_language")
+    over = (F.col(told)["bits_per_byte"] - 8) * F.octet_length("text")
+    return docs.withColumn(told, score("text")).filter((F.col(told)["lang_pred"] != UNKNOWN) & (over <= EXCESS)).select(*docs.columns)
