@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logquarry.llm.common import unused
 from logquarry.llm.suffixes import Hashes
 
 GRAM = 12
@@ -182,6 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, budget: float = BUDGET) -> D
 def clean(docs: DataFrame, benchmark: DataFrame, *, budget: float = BUDGET) -> DataFrame:
     """The documents that leak nothing, decided row by row."""
     kept = docs
+    (leaked,) = unused(docs.columns, "_leaks")
     for found in blocks(benchmark, budget):
-        kept = kept.withColumn("_leaks", F.size(found)).filter("_leaks = 0").drop("_leaks")
+        kept = kept.withColumn(leaked, F.size(found)).filter(F.col(leaked) == 0).drop(leaked)
     return kept

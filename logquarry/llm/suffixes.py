@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import written
+from logquarry.llm.common import scratch, unused, written
 
 LENGTH = 100
 GRAM = 16  # bytes whose hash picks an anchor
@@ -271,6 +271,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, sub, spans: each document's repeated stretches (begin, end) in bytes, unmerged."""
+    with scratch(docs.sparkSession) as held:
+        return held.keep(_spans(docs, length))
+
+
+def _spans(docs: DataFrame, length: int) -> DataFrame:
     keyed = _keyed(docs)
     found = sorted_runs(keyed.mapInPandas(_blocks(length), PLACE), "blocks")
     whole = found.filter("kind = 0").select(*KEY, F.shiftright("at", 8).alias("begin"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + length - 1).alias("end"))
@@ -339,12 +344,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with their repeated stretches cut out; other columns as they were."""
-    found = spans(docs, length).select(F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), F.col("spans").alias("_spans"))
-    doc, sub = _key_of(docs)
-    rows = docs.withColumn("_k1", doc).withColumn("_k2", sub)
-    rows = rows.join(found, (F.col("_k1") == F.col("_doc")) & (F.col("_k2") == F.col("_sub")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(_cut, "string")("text", "_spans"))
-    kept = rows.withColumn("text", text)
+    key, sub, spans_, k1, k2 = unused(docs.columns, "_doc", "_sub", "_spans", "_k1", "_k2")
+    found = spans(docs, length).select(F.col("doc").alias(key), F.col("sub").alias(sub), F.col("spans").alias(spans_))
+    rows = docs.withColumns(dict(zip((k1, k2), _key_of(docs))))
+    rows = rows.join(found, (F.col(k1) == F.col(key)) & (F.col(k2) == F.col(sub)), "left")
+    whole = F.col(spans_).isNull()
+    changed = {"text": F.when(whole, F.col("text")).otherwise(F.pandas_udf(_cut, "string")("text", spans_))}
+    kept = rows.withColumns(changed)
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        kept = kept.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return kept.select(*docs.columns)
