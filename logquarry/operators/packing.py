@@ -3,8 +3,10 @@
 Packing is sequential within a source: where a request ends decides where the next begins. A block of
 consecutive texts, however, turns "tokens in the open request when the block starts" into "tokens in the open
 request when it ends, and requests begun meanwhile", and that is a small table with one entry per possible
-number of open tokens. So blocks are summarised in parallel, the summaries of a source are chained (one short
-row per block), and the blocks are then numbered in parallel.
+number of open tokens. Such tables compose like functions, so they are summarised as a tree: ``FAN`` neighbours at a time
+become one table of the same size, level by level, until a source has one; on the way back each table tells its parts what
+is open where they begin. Then all blocks are numbered in parallel. A task sees one block or ``FAN`` tables, however long
+a source is, and the rounds grow with the logarithm of its blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logquarry.operators.running import settled
+
 BLOCK_BITS = 16
+FAN_BITS = 4  # a table of the next level stands for 16 neighbours
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -69,13 +74,49 @@ def _summary(budget: int):
     return run
 
 
-def _chain(summaries: pd.DataFrame) -> pd.DataFrame:
-    opened, number, rows = 0, 0, []
-    for row in summaries.sort_values("blk").itertuples():
-        rows.append((row.source, row.blk, opened, number))
-        number += int(row.begun[opened])
-        opened = int(row.leave[opened])
-    return pd.DataFrame(rows, columns=["source", "blk", "opened", "number"])
+def _composed(budget: int):
+    """One table for a run of neighbouring tables: each begins with what the one before leaves open."""
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        leave, begun = np.arange(budget + 1), np.zeros(budget + 1, np.int64)
+        for part in parts.sort_values("blk").itertuples():
+            begun = begun + np.asarray(part.begun)[leave]
+            leave = np.asarray(part.leave)[leave]
+        return pd.DataFrame({"source": [parts["source"].iloc[0]], "blk": [parts["up"].iloc[0]], "leave": [leave.tolist()], "begun": [begun.tolist()]})
+
+    return run
+
+
+def _entries(parts: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+    """What is open, and how many requests began, where each of the neighbours begins."""
+    rows = []
+    if not (parts.empty or above.empty):
+        opened, number = int(above["opened"].iloc[0]), int(above["number"].iloc[0])
+        for part in parts.sort_values("blk").itertuples():
+            rows.append((part.source, part.blk, opened, number))
+            opened, number = int(part.leave[opened]), number + int(part.begun[opened])
+    return pd.DataFrame(rows, columns=["source", "blk", "opened", "number"]).astype({"source": object})
+
+
+_TABLE, _ENTRY = "source string, blk long, leave array<long>, begun array<long>", "source string, blk long, opened long, number long"
+
+
+def _up(table: DataFrame) -> DataFrame:
+    return table.withColumn("up", F.shiftright("blk", FAN_BITS))
+
+
+def _block_entries(summaries: DataFrame, budget: int) -> DataFrame:
+    """(source, blk, opened, number) of every block."""
+    levels = [settled(summaries, "packing")]
+    while not levels[-1].groupBy("source").count().filter("count > 1").isEmpty():
+        composed = _up(levels[-1]).groupBy("source", "up").applyInPandas(_composed(budget), _TABLE)
+        levels.append(settled(composed, "packing"))
+    zero = F.lit(0).cast("long")
+    entries = levels[-1].select("source", "blk", zero.alias("opened"), zero.alias("number"))
+    for table in reversed(levels[:-1]):
+        above = entries.withColumnRenamed("blk", "up").groupBy("source", "up")
+        entries = settled(_up(table).groupBy("source", "up").cogroup(above).applyInPandas(_entries, _ENTRY), "packing")
+    return entries
 
 
 def _number(budget: int):
@@ -108,8 +149,7 @@ def pack_token_budget(texts: DataFrame, budget: int, *, block_bits: int = BLOCK_
         "source", F.col("position").cast("long"), F.col("tokens").cast("long"), F.shiftright("position", block_bits).cast("long").alias("blk")
     )
     blocks = slim.groupBy("source", "blk")
-    summaries = blocks.applyInPandas(_summary(budget), "source string, blk long, leave array<long>, begun array<long>")
-    entries = summaries.groupBy("source").applyInPandas(_chain, "source string, blk long, opened long, number long")
+    entries = _block_entries(blocks.applyInPandas(_summary(budget), _TABLE), budget)
     return blocks.cogroup(entries.groupBy("source", "blk")).applyInPandas(
         _number(budget), "source string, position long, request long"
     )

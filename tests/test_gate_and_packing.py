@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from logquarry.operators import gate
+from logquarry.operators import gate, packing
 from logquarry.operators.gate import alert_gate, alert_records
 from logquarry.operators.packing import pack_token_budget
 from logquarry.operators.ranking import prune_by_cap
@@ -169,6 +169,25 @@ def test_packing_equals_greedy_loop(spark, budget, largest):
     assert got == want
 
 
+def test_packing_holds_no_source_in_one_task(spark, monkeypatch):
+    """A source of 700 blocks, with holes between its positions, and one of a single block: a task sees 16 tables at most."""
+    settled = []
+    settle = packing.settled
+    monkeypatch.setattr(packing, "settled", lambda df, name: settled.append(settle(df, name)) or settled[-1])
+    rng = random.Random(8)
+    tokens = [rng.randint(1, 40) for _ in range(3000)]
+    places = sorted(rng.sample(range(3000), 2000)) + list(range(2**33, 2**33 + 1000))
+    rows = [("hot", p, t) for p, t in zip(places, tokens)] + [("b", 1, 7), (None, 3, 9), (None, 4, 90)]
+    df = spark.createDataFrame(rows, "source string, position long, tokens int")
+    got = {(r["source"], r["position"]): r["request"] for r in pack_token_budget(df, 64, block_bits=2).collect()}
+    want = {("hot", p): q for p, q in zip(places, greedy_requests(tokens, 64))}
+    assert got == want | {("b", 1): 0, (None, 3): 0, (None, 4): 1}
+    tables = [s for s in settled if "leave" in s.columns]
+    assert tables[0].filter("source = 'hot'").count() > 700 and len(tables) == 9
+    for table in tables[:-1]:
+        assert table.groupBy("source", F.shiftright("blk", packing.FAN_BITS)).count().agg(F.max("count")).first()[0] <= 16
+
+
 def test_running_sum_over_blocks_equals_loop(spark):
     rng = random.Random(9)
     rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(5)}", i, rng.randint(0, 9)) for i in range(1000)]
