@@ -15,17 +15,18 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 from logquarry.functions.syslog import FirewallMap
+from logquarry.operators.bloom import bits_for, filter_of, folders_that_may_hold
 from logquarry.operators.gate import FIRED, alert_gate, alert_records
-from logquarry.operators.joins import dedup_new_events, geo_enrich
+from logquarry.operators.joins import first_per_key, geo_enrich
 from logquarry.operators.parse import classify_events
 from logquarry.operators.rules import match_alert_rules
+from logquarry.operators.running import settled
 from logquarry.operators.search import feed_rows
 from logquarry.sources.store import DayTable
 
 ROW_BITS, PARTITION_BITS = 27, 14  # of an event id; the batch has the 22 bits above
 MEMORY_SCHEMA = "rule_id string, source string, t long"
 HORIZON = timedelta(days=7)
-KEYS_SCHEMA = "parser string, batch long"
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -169,25 +170,76 @@ def store_batch(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def dedup_batch(path: str, *, order: str = "seq", horizon: int | None = None) -> Callable[[DataFrame, int], None]:
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """The batches that have stored rows under a path, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def _read_batches(spark: SparkSession, path: str, batches: list[int], schema: str) -> DataFrame:
+    stored = _schema(f"{schema}, batch long")
+    if not batches:
+        return spark.createDataFrame([], stored)
+    return spark.read.schema(stored).option("basePath", path).parquet(*(f"{path}/batch={b}" for b in batches))
+
+
+def _store_keys(keys: DataFrame, path: str, batch_id: int, n: int) -> None:
+    """Keys of a batch beside their Bloom filter; the filter last, so that keys with one are whole."""
+    put_batch(keys, f"{path}/keys", batch_id)
+    put_batch(filter_of(read_batch(keys.sparkSession, f"{path}/keys", batch_id, keys.schema), "parser", bits_for(n)), f"{path}/blooms", batch_id)
+
+
+def dedup_batch(
+    path: str, *, order: str = "seq", horizon: int | None = None, folders: int = 64, on_read: Callable[[int, list[int]], None] | None = None
+) -> Callable[[DataFrame, int], None]:
     """Handler of parsed cloud events: keep keys never stored before, the first of each key.
 
-    With a ``horizon`` only the keys of that many earlier batches count, and only their folders are read; use it
-    where events are retained no longer than that.
+    The keys of each batch lie in a folder of their own beside a Bloom filter of them. A batch asks all filters in one
+    join and reads the keys of those folders alone that may hold one of its own, then decides exactly. When there are more
+    than ``folders`` of them, all but the newest few are merged into one. ``on_read`` is told which folders a batch reads.
+
+    With a ``horizon`` only the keys of that many earlier batches count, and older ones are deleted; use it where events
+    are retained no longer than that.
     """
 
     def handle(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
-        known = read_or_empty(spark, f"{path}/keys", KEYS_SCHEMA).filter(F.col("batch") < batch_id)
+        put_batch(first_per_key(events, "parser", order), f"{path}/firsts", batch_id)
+        firsts = read_batch(spark, f"{path}/firsts", batch_id, events.schema)
+        earlier = [b for b in _batches(spark, f"{path}/blooms") if b < batch_id and (horizon is None or b >= batch_id - horizon)]
+        filters = _read_batches(spark, f"{path}/blooms", earlier, "bits long, word long, mask long")
+        wanted = folders_that_may_hold(firsts, "parser", filters, "batch") if earlier else []
+        if on_read is not None:
+            on_read(batch_id, wanted)
+        known = _read_batches(spark, f"{path}/keys", wanted, "parser string")
+        put_batch(firsts.join(known.select("parser"), "parser", "left_anti").select(*events.columns), f"{path}/events", batch_id)
+        fresh = read_batch(spark, f"{path}/events", batch_id, events.schema).select("parser").filter("parser is not null")
+        n = fresh.count()
+        if n:
+            _store_keys(fresh, path, batch_id, n)
+        forget(spark, f"{path}/firsts", batch_id)
         if horizon is not None:
-            known = known.filter(F.col("batch") >= batch_id - horizon)
-        put_batch(dedup_new_events(events, known, order=order), f"{path}/events", batch_id)
-        fresh = read_batch(spark, f"{path}/events", batch_id, events.schema)
-        put_batch(fresh.select("parser"), f"{path}/keys", batch_id)
+            for old in (b for b in _batches(spark, f"{path}/keys") if b < batch_id - horizon):
+                forget(spark, f"{path}/keys", old)
+                forget(spark, f"{path}/blooms", old)
+        elif len(earlier) >= folders:
+            _merge_keys(spark, path, earlier[: -max(1, folders // 8)])
 
     return handle
 
 
+def _merge_keys(spark: SparkSession, path: str, batches: list[int]) -> None:
+    """Puts the keys of several old batches into the folder of the last of them. If it dies midway, keys are stored twice,
+    never lost: the others go only when the merged folder and its filter stand."""
+    merged = settled(_read_batches(spark, f"{path}/keys", batches, "parser string").select("parser"), "merged-keys")
+    _store_keys(merged, path, batches[-1], merged.count())
+    for old in batches[:-1]:
+        forget(spark, f"{path}/blooms", old)
+        forget(spark, f"{path}/keys", old)
+
+
 def sweep_partitions(spark: SparkSession, table: str, cutoff_day: str) -> int:
     """Drop whole days before a day from a table partitioned by event_date (yyyy-mm-dd); returns how many partitions.
 

@@ -102,3 +102,47 @@ def test_event_ids_never_meet(spark):
     ids = spark.range(0, 100, 1, 7)
     both = [r[0] for k in (0, 1, 5) for r in ids.select(jobs.event_id(k)).collect()]
     assert len(set(both)) == 300 and min(both) >= 0
+
+
+def _cloud(spark, keys, start=0):
+    return spark.createDataFrame([(start + i, k) for i, k in enumerate(keys)], "seq long, parser string")
+
+
+def test_dedup_reads_only_folders_that_may_hold_a_key(spark, tmp_path):
+    read = {}
+    handle = jobs.dedup_batch(str(tmp_path), on_read=lambda batch, folders: read.update({batch: folders}))
+    for batch in range(6):
+        handle(_cloud(spark, [f"b{batch}-{i}" for i in range(50)], 100 * batch), batch)
+    handle(_cloud(spark, [f"b2-{i}" for i in range(10)] + ["new", "new", None, None], 900), 6)
+    assert 2 in read[6] and len(read[6]) <= 2 and sum(map(len, read.values())) <= 5  # a filter errs in about 1 % of keys
+    stored = [r["parser"] for r in spark.read.parquet(f"{tmp_path}/events").filter("batch = 6").collect()]
+    assert sorted(stored, key=str) == [None, "new"]
+    assert spark.read.parquet(f"{tmp_path}/events").filter("batch < 6").count() == 300
+
+
+def test_old_key_folders_are_merged_and_forgotten(spark, tmp_path):
+    read = []
+    handle = jobs.dedup_batch(str(tmp_path / "all"), folders=4, on_read=lambda batch, folders: read.append(folders))
+    for batch in range(9):
+        handle(_cloud(spark, [f"k{batch * 3 + i}" for i in range(5)], 100 * batch), batch)  # two keys of each are the next one's
+    stored = sorted(r["parser"] for r in spark.read.parquet(f"{tmp_path}/all/events").collect())
+    assert stored == sorted(f"k{i}" for i in range(29))
+    assert len(jobs._batches(spark, f"{tmp_path}/all/keys")) <= 5
+    handle(_cloud(spark, [f"k{i}" for i in range(29)], 2000), 9)
+    assert spark.read.parquet(f"{tmp_path}/all/events").count() == 29
+    short = jobs.dedup_batch(str(tmp_path / "short"), horizon=2)
+    for batch in range(5):
+        short(_cloud(spark, ["same", f"own{batch}"], 10 * batch), batch)
+    assert jobs._batches(spark, f"{tmp_path}/short/keys") == [2, 3, 4]
+
+
+def test_filters_have_no_false_negatives(spark):
+    from logquarry.operators import bloom
+
+    keys = spark.range(3000).selectExpr("concat('k', id) k", "id % 3 part")
+    parts = [bloom.filter_of(keys.filter(f"part = {p}"), "k", bloom.bits_for(1000 << p)).withColumn("folder", F.lit(p)) for p in range(3)]
+    filters = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert all(p in bloom.folders_that_may_hold(keys.filter(f"id = {i}"), "k", filters, "folder") for i, p in ((0, 0), (1000, 1), (2999, 2)))
+    strange = [bloom.folders_that_may_hold(spark.range(1).selectExpr(f"'z{i}' k"), "k", filters, "folder") for i in range(12)]
+    assert sum(map(len, strange)) <= 3
+    assert bloom.bits_for(1) == 1024 and bloom.bits_for(1000) == 16384 and bloom.folders_that_may_hold(keys, "k", filters.limit(0), "folder") == []
