@@ -211,10 +211,29 @@ def group_sizes(files: DataFrame, root: str) -> DataFrame:
     return grouped.groupBy("label").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
-def ingest_counters(events: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Counts per value of several dimensions in one pass: each row is counted once per dimension."""
+def ingest_counters(events: DataFrame, dimensions: list[str], *, dropped: DataFrame | None = None, alerts: DataFrame | None = None) -> DataFrame:
+    """Counts per value of several dimensions in one pass: each row is counted once per dimension.
+
+    ``dropped`` rows are counted by their ``reason`` (dimension ``drop_reason``), delivered ``alerts`` by their ``origin``
+    (``alert_origin``), and the events stored now are a gauge (``stored``). Each kind is summed where it is read.
+    """
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
-    return events.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.count(F.lit(1)).alias("total"))
+    counted = events.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.count(F.lit(1)).alias("total"))
+    for rows, dimension, column in ((dropped, "drop_reason", "reason"), (None if alerts is None else alerts.filter("status = 'sent'"), "alert_origin", "origin")):
+        if rows is not None:
+            more = rows.groupBy(F.lit(dimension).alias("dimension"), F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("total"))
+            counted = counted.unionByName(more)
+    if dropped is not None or alerts is not None:
+        counted = counted.unionByName(events.agg(F.lit("stored").alias("dimension"), F.lit(None).cast("string").alias("value"), F.count(F.lit(1)).alias("total")))
+    return counted
+
+
+def drop_reasons(raw: DataFrame, stored: DataFrame) -> DataFrame:
+    """Received messages (id, raw) that are not among the stored events, with the reason: ``unparseable`` if nothing but
+    blanks is left of them, else ``exception``."""
+    missing = raw.join(stored.select("id"), "id", "left_anti")
+    blank = F.coalesce(F.length(F.trim("raw")) == 0, F.lit(True))
+    return missing.withColumn("reason", F.when(blank, "unparseable").otherwise("exception"))
 
 
 def data_presence(events: DataFrame, analyses: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -238,8 +257,23 @@ def oldest_line_ts(lines: DataFrame) -> DataFrame:
     return lines.filter("ts is not null").groupBy("source").agg(F.min("ts").alias("oldest_ts"))
 
 
-def ingest_rate(events: DataFrame, by: list[str], *, width: str = "5 minutes", slide: str | None = None) -> DataFrame:
-    """Events per time window and dimension; works on tables and on watermarked streams."""
-    window = F.window("received_at", width, slide) if slide else F.window("received_at", width)
-    counted = events.groupBy(window.alias("w"), *by).agg(F.count(F.lit(1)).alias("events"))
-    return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "events")
+def ingest_rate(
+    events: DataFrame, by: list[str], *, width: str = "5 minutes", slide: str | None = None, alerts: DataFrame | None = None
+) -> DataFrame:
+    """Events per time window and dimension; works on tables and on watermarked streams.
+
+    With ``alerts`` (ts, origin) the alerts of each window are counted beside them, by origin: rows of another ``kind``,
+    whose dimensions are empty. Both inputs may be streams with watermarks of their own.
+    """
+
+    def counted(rows: DataFrame, at: str, names: list[str]) -> DataFrame:
+        window = F.window(at, width, slide) if slide else F.window(at, width)
+        return rows.groupBy(window.alias("w"), *names).agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *names, "events")
+
+    own = counted(events, "received_at", by)
+    if alerts is None:
+        return own
+    text = F.lit(None).cast("string")
+    left = own.select(F.lit("events").alias("kind"), "window_start", "window_end", *by, text.alias("origin"), "events")
+    right = counted(alerts, "ts", ["origin"])
+    return left.unionByName(right.select(F.lit("alerts").alias("kind"), "window_start", "window_end", *(text.alias(c) for c in by), "origin", "events"))

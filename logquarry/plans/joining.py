@@ -699,6 +699,26 @@ _FIRES = """, h as (select event_id, rule_id, concat(source_type, ':', remote_ip
 _COOLDOWN = _HITS.replace("with ", "with recursive ", 1) + _FIRES
 
 
+@plan(
+    "ingest_counters_all",
+    _COOLDOWN
+    + """, s as (select * from b1 where id % 17 <> 3 and id % 19 <> 4)
+ select 'transport' as dimension, transport as value, count(*) as total from s group by 2
+ union all select 'drop_reason', case when id % 17 = 3 then 'unparseable' else 'exception' end, count(*) from b1 where id % 17 = 3 or id % 19 = 4 group by 2
+ union all select 'alert_origin', 'hub', (select count(*) from fires where t % 2000000 < 1000000)
+ union all select 'stored', null, (select count(*) from s)""",
+)
+def ingest_counters_all(b: Bridge):
+    """Counts by transport, drop reason and alert origin, and how many events are stored."""
+    raw = b.events.select("id", F.when(F.col("id") % 17 == 3, "  ").otherwise(F.col("message")).alias("raw"))
+    stored = b.events.filter("id % 17 <> 3 and id % 19 <> 4")
+    records = gate.alert_records(gate.alert_gate(hits(b).withColumn("webhook_url", F.lit("https://hooks.example.org/x")), cap=0))
+    tried = records.filter("status = 'pending'").filter(F.expr("unix_micros(ts) % 2000000 < 1000000"))
+    outcomes = tried.select("event_id", "rule_id", "source", "channel", F.lit(True).alias("delivered"), F.lit(None).cast("string").alias("error"))
+    sent = gate.record_deliveries(records, outcomes).filter("channel = 'webhook' or channel = 'suppressed'")
+    return aggregates.ingest_counters(stored, ["transport"], dropped=aggregates.drop_reasons(raw, stored), alerts=sent)
+
+
 @plan(
     "alert_gate_cooldown",
     _COOLDOWN

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +12,11 @@ from logquarry.bridge import Bridge, with_views
 from logquarry.operators import parse, ranking, rules
 from logquarry.plans.base import EVENTS_NOW, at, plan, us
 from logquarry.plans.files import log_folder, source_of
-from logquarry.plans.joining import _COOLDOWN, _FIRES, hits, ip_sql
+from logquarry.plans.joining import _COOLDOWN, _FIRES, _HITS, hits, ip_sql
 from logquarry.plans.parsing import _EXPECTED, LINE_VIEW, RAW_MAP
 from logquarry.plans.searching import B1, B2, failure_sql, journal
 from logquarry.session import shared_dir
+from logquarry.sources import follow
 from logquarry.sources.store import DayTable
 from logquarry.streaming import feeds, jobs
 
@@ -49,6 +53,35 @@ def stream_log_files(b: Bridge):
     return stored(b, stream, "follow-out")
 
 
+def append_lines(lines: DataFrame, root: str) -> None:
+    """Appends lines to log files, four for each source, as their writers would."""
+
+    def append(frames):
+        for frame in frames:
+            for (source, part), rows in frame.groupby(["source", "part"]):
+                path = f"{root}/{quote(source, safe='')}-{part}.log"
+                with open(path, "ab") as file:
+                    file.write("".join(f"{line}\n" for line in rows["line"]).encode())
+            yield frame[["part"]].iloc[:0]
+
+    root = root.removeprefix("file:")
+    os.makedirs(root, exist_ok=True)
+    parted = lines.select("source", (F.col("id") % 4).alias("part"), "line").repartition("source", "part")
+    parted.mapInPandas(append, "part long").write.format("noop").mode("overwrite").save()
+
+
+@plan("follow_log_files", LINE_VIEW + "select source, line from b3 where line <> ''")
+def follow_log_files(b: Bridge):
+    """Log files that grow between two runs of one stream; each line arrives once."""
+    root, out = shared_dir(b.spark, "growing"), shared_dir(b.spark, "followed")
+    for half in (0, 1):
+        append_lines(b.line_rows.filter(F.col("id") % 2 == half), root)
+        stream = follow.follow_log_files(b.spark, root, glob="*.log", start="start", split_bytes=100_000)
+        got = jobs.write_available(stream, f"{out}/rows", f"{out}/checkpoint")
+    name = F.regexp_extract("source", r"([^/]+)-\d+\.log$", 1)
+    return got.select(F.url_decode(name).alias("source"), "line")
+
+
 @plan("stream_failure_lines", LINE_VIEW + f"select source, line from b3 where {failure_sql('line')}")
 def stream_failure_lines(b: Bridge):
     stream = feeds.stream_failure_lines(feeds.stream_log_files(b.spark, log_folder(b), glob="*.txt"))
@@ -170,6 +203,26 @@ def ingest_rate_stream(b: Bridge):
     return stored(b, counted, "rate-out").select(us("window_start").alias("window_us"), "transport", "events")
 
 
+@plan(
+    "ingest_rate_with_alerts",
+    _HITS
+    + """, n as (select max(received_at) as newest from b1), m as (select max(ts) as newest from hits)
+ select 'events' as kind, epoch_us(time_bucket(interval 5 minute, received_at)) as window_us, transport, null as origin, count(*) as events from b1, n
+ where time_bucket(interval 5 minute, received_at) + interval 15 minute <= least(n.newest, (select newest from m)) group by 2, 3
+ union all select 'alerts', epoch_us(time_bucket(interval 5 minute, ts)), null, 'hub', count(*) from hits, m
+ where time_bucket(interval 5 minute, ts) + interval 15 minute <= least(m.newest, (select newest from n)) group by 2""",
+)
+def ingest_rate_with_alerts(b: Bridge):
+    """Events by transport and alerts by origin per window, from two streams with watermarks of their own."""
+    from logquarry.operators.aggregates import ingest_rate
+
+    found = hits(b).select("event_id", "ts", "origin")
+    events = feeds.landed(b.spark, land(b.events.select("id", "received_at", "transport"), "rate-in", "id"), "id long, received_at timestamp, transport string", files_per_trigger=1)
+    alerts = feeds.landed(b.spark, land(found, "alerts-in", "event_id"), found.schema, files_per_trigger=1)
+    counted = ingest_rate(events.withWatermark("received_at", "10 minutes"), ["transport"], alerts=alerts.withWatermark("ts", "10 minutes"))
+    return stored(b, counted, "rate-out").select("kind", us("window_start").alias("window_us"), "transport", "origin", "events")
+
+
 @plan("stream_retention", B1 + f"select id, source_type from b1 where received_at >= timestamp '{EVENTS_NOW}' - interval 14 day - interval 6 hour")
 def stream_retention(b: Bridge):
     """Events stored by a stream; then old days are dropped unread and the open day is cut in place."""

@@ -146,3 +146,29 @@ def test_filters_have_no_false_negatives(spark):
     strange = [bloom.folders_that_may_hold(spark.range(1).selectExpr(f"'z{i}' k"), "k", filters, "folder") for i in range(12)]
     assert sum(map(len, strange)) <= 3
     assert bloom.bits_for(1) == 1024 and bloom.bits_for(1000) == 16384 and bloom.folders_that_may_hold(keys, "k", filters.limit(0), "folder") == []
+
+
+def test_observed_counts_become_a_table(spark, tmp_path):
+    import time
+
+    from logquarry.streaming import metrics
+
+    t = datetime(2024, 1, 1)
+    path, table = str(tmp_path / "in"), str(tmp_path / "counters")
+    counters = metrics.Counters(spark)
+    try:
+        for batch in range(2):
+            land(spark, path, [(b"one\ntwo", "h1", "tcp", t)] * (batch + 1) + [(b"x" * 3000, "h2", "udp", t)])
+            stream = feeds.observe_ingest(feeds.stream_syslog_feed(spark, path), ["tcp", "udp"], name="counted")
+            jobs.write_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+            for _ in range(100):  # progress is reported shortly after a batch
+                if any(r[1] == batch for r in counters.rows):
+                    break
+                time.sleep(0.1)
+            assert counters.store(table) >= 4 and counters.store(table) == 0
+    finally:
+        counters.close()
+    again = spark.read.parquet(table).filter("batch = 1").withColumn("at", F.col("at") + F.expr("interval 1 second"))
+    again.withColumn("value", F.col("value") + 100).write.mode("append").parquet(table)  # batch 1 counted again, later
+    got = {r["counter"]: r["total"] for r in metrics.totals(spark, table).filter("observation = 'counted'").collect()}
+    assert got == {"received": 3 + 105, "truncated": 1 + 101, "transport_tcp": 2 + 104, "transport_udp": 1 + 101}
