@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from logquarry.bridge import Bridge, spread, with_views
 from logquarry.functions import fixed
 from logquarry.operators import aggregates, analysis, packing
+from logquarry.operators.running import settled
 from logquarry.plans.base import ANALYSES_NOW, at, big, plan
 from logquarry.plans.joining import B4, summaries
 from logquarry.plans.parsing import LINE_VIEW
 from logquarry.plans.searching import low_sql
 from logquarry.session import shared_dir
 from logquarry.sources.store import DayTable
+from logquarry.sources.vectors import VectorIndex
 from logquarry.streaming.drain import drain
 
 # --- batches, prompts, model -------------------------------------------------------------------------------
@@ -395,6 +397,27 @@ def top_k_all_sources(b: Bridge):
     return out.select("source", "start_line", F.round("distance", 4).alias("distance"))
 
 
+@plan(
+    "retrieve_lines",
+    with_views("b9")
+    + f"""select source as source_key, start_line, i as line_no, case i when 0 then concat('chunk ', start_line) else concat('of ', source) end as line
+ from (select source, start_line from (select source, start_line, {_DISTANCE} as d from b9, (select embedding as q from embeddings where vec_id = 11) z
+  where start_line % 9 <> 4 order by d, source, start_line limit 20) x), (select unnest([0, 1]) as i) n
+ union all select source, start_line, 0, 'replaced' from (select source, start_line, {_DISTANCE} as d
+  from b9, (select embedding as q from embeddings where vec_id = 5) z where source = '2' and start_line % 2 = 0 order by d, source, start_line limit 12) x""",
+)
+def retrieve_lines(b: Bridge):
+    """Chunk vectors stored in inverted lists; the nearest of all sources, then of a source that was stored again."""
+    text = F.concat(F.lit("chunk "), F.col("start_line").cast("string"), F.lit("\nof "), "source")
+    keyed = b.vectors.select(F.col("source").alias("source_key"), "start_line", text.alias("text"), "embedding")
+    index = VectorIndex(b.spark, shared_dir(b.spark, "vectors"))
+    index.store(keyed.filter("start_line % 9 <> 4"), lists=16)
+    query = {r["vec_id"]: r["embedding"] for r in b.table("embeddings").filter("vec_id in (5, 11)").collect()}
+    every = settled(index.retrieve_lines(query[11], k=20), "lines")
+    index.store(keyed.filter("source_key = '2' and start_line % 2 = 0").withColumn("text", F.lit("replaced")))
+    return every.unionByName(index.retrieve_lines(query[5], k=12, source_key="2"))
+
+
 @plan(
     "index_chunks",
     _CHUNKS

@@ -31,12 +31,19 @@ def json_rows(lines: DataFrame) -> DataFrame:
     return lines.select(F.to_json(F.struct(*lines.columns)).alias("value"))
 
 
-def csv_keys(lines: DataFrame) -> list[str]:
-    """Columnized field names in the order they first occur. There are as many as columnizers define."""
+MOST_COLUMNS = 2_000  # fields a CSV export may have
+
+
+def csv_keys(lines: DataFrame, *, most: int = MOST_COLUMNS) -> list[str]:
+    """Columnized field names in the order they first occur. There are as many as columnizers define: more than ``most``
+    are refused before anything is written, and no more than that ever reach the driver."""
     entries = lines.select("sort_ts", "source", "line_index", F.posexplode(F.map_keys("columns")).alias("pos", "key"))
     place = F.struct(-F.unix_micros("sort_ts"), "source", -F.col("line_index"), "pos")
-    firsts = entries.groupBy("key").agg(F.min(place).alias("first")).orderBy("first")
-    return [r["key"] for r in firsts.collect()]
+    firsts = entries.groupBy("key").agg(F.min(place).alias("first")).orderBy("first").limit(most + 1)
+    keys = [r["key"] for r in firsts.select("key").collect()]
+    if len(keys) > most:
+        raise ValueError(f"the lines have more than {most} fields; name the ones to export, or raise the limit")
+    return keys
 
 
 def csv_rows(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
