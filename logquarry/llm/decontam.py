@@ -7,8 +7,8 @@ text less place in the item). So shared q-grams are counted per item in overlapp
 the bound are dropped without loss, and the rest is verified by an alignment confined to the band's diagonals. For this q
 is ``GRAM``, or for short items as much less as keeps the bound at one or more.
 
-The items are the query set: they are sent to the workers in blocks of a fixed number of characters, and every block
-meets every document once, where it lies. No document is shuffled and none meets another.
+The items are the query set: they are sent to the workers in blocks of a fixed number of characters, one block after the
+other, and every block meets every document once, where it lies. No document meets another.
 
 Defined cases: a null or empty text leaks nothing; items that are null or have no letter or
 digit match nothing; items alike in text are reported each, items without an id under a null id; rows that repeat a ``doc_id`` are searched separately; an empty table on either side gives no
@@ -17,7 +17,9 @@ leak; other columns are ignored (``leaks``) or kept (``clean``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator  # noqa: TC003 (pandas_udf reads the hints)
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import unused
+from logquarry.llm.common import located, unused, written
 from logquarry.llm.suffixes import Hashes
 
 GRAM = 12
@@ -34,12 +36,17 @@ BLOCK = 4_000_000  # item characters sent at a time
 SLAB = 1 << 18  # text bytes searched at a time, or one document
 SIEVE, SMALL_SIEVE = 24, 16  # bits of the first look-up, and of that for items with shorter grams
 
-_TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_TABLE = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
+_OTHER = re.compile(r"[\W_]+")
 MATCHES = "array<struct<item_id:bigint,edits:int,item_chars:int,shared:int>>"
 
 
 def plain(text: str | None) -> bytes:
-    return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_TABLE).split())
+    """Lower-cased letters and digits of any script; every run of anything else is one blank."""
+    low = (text or "").lower()
+    if low.isascii():  # by bytes, which is faster
+        return b" ".join(low.encode().translate(_TABLE).split())
+    return _OTHER.sub(" ", low).strip().encode("utf-8", "replace")
 
 
 def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> int | None:
@@ -159,31 +166,54 @@ def _searcher(sent):
     return search
 
 
-def blocks(benchmark: DataFrame, budget: float = BUDGET, size: int = BLOCK) -> list[Column]:
-    """One column of matches per block of items, to be applied to a frame's ``text``."""
-    spark = benchmark.sparkSession
-    items = benchmark.filter("text is not null").select("item_id", "text")
-    whole = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = -(-whole // size) or 1
-    out = []
-    for block in range(count):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [plain(r["text"]) for r in rows], budget))
-        out.append(F.pandas_udf(_searcher(sent), MATCHES)("text"))
-    return out
+def blocks(benchmark: DataFrame, budget: float = BUDGET, size: int = BLOCK) -> Iterator[tuple[Column, bool]]:
+    """One column of matches per block of items, to be applied to a frame's ``text``, and whether it is the only one.
+
+    Items come to the driver partition by partition and are held until they have ``size`` characters; a block is sent out,
+    searched, and dropped before the next one is sent.
+    """
+    context = benchmark.sparkSession.sparkContext
+
+    def packed() -> Iterator[tuple[list, list]]:
+        ids, texts, held = [], [], 0
+        for row in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
+            ids.append(row["item_id"])
+            texts.append(plain(row["text"]))
+            held += len(texts[-1])
+            if held >= size:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+        yield ids, texts
+
+    each = packed()
+    block, following = next(each), next(each, None)
+    only = following is None
+    while block is not None:
+        sent = context.broadcast((*block, budget))
+        yield F.pandas_udf(_searcher(sent), MATCHES)("text"), only
+        if not only:
+            sent.destroy()
+        block, following = following, next(each, None)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, budget: float = BUDGET) -> DataFrame:
     """doc_id, item_id, edits, item_chars and shared (q-grams) of every leak."""
-    found = blocks(benchmark, budget)
-    each = docs.select("doc_id", F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("m"))
-    return each.select("doc_id", "m.*")
+    parts = []
+    for found, only in blocks(benchmark, budget):
+        each = docs.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
+        if only:
+            return each
+        parts.append(written(each, "leaks"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, budget: float = BUDGET) -> DataFrame:
     """The documents that leak nothing, decided row by row."""
-    kept = docs
-    (leaked,) = unused(docs.columns, "_leaks")
-    for found in blocks(benchmark, budget):
-        kept = kept.withColumn(leaked, F.size(found)).filter(F.col(leaked) == 0).drop(leaked)
-    return kept
+    placed, row = located(docs)
+    (leaked,) = unused(placed.columns, "_leaks")
+    gone = []
+    for found, only in blocks(benchmark, budget):
+        if only:
+            return docs.withColumn(leaked, F.size(found)).filter(F.col(leaked) == 0).drop(leaked)
+        gone.append(written(placed.select(*row, F.size(found).alias(leaked)).filter(F.col(leaked) > 0).select(*row), "leaking"))
+    return placed.join(reduce(DataFrame.unionByName, gone).distinct(), row, "left_anti").select(*docs.columns)
