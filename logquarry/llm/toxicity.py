@@ -4,7 +4,7 @@ Sentences get a logistic score from hashed words and word beginnings; a document
 the product of the sentences' complements. Only documents are labelled: the gradient of the document's likelihood
 spreads its label over its sentences in proportion to how much each one explains it, so the trained model also locates
 the offending sentences. It is fitted on a bounded sample of labelled rows (about ``SAMPLE`` of each label, whole
-texts); every document is then scored in whole, in Arrow batches.
+texts of ``MOST_BYTES`` at most); every document is then scored in whole, in Arrow batches.
 
 Defined cases: a null or empty text is scored as one empty sentence; a null id is not held out; null labels teach
 nothing, and if a document is labelled twice the higher label counts; without a positive label every score is the
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from logquarry.llm.common import held_out, written
 
 SAMPLE = 3_500  # training documents per label, about
+MOST_BYTES = 1 << 15  # of a training document: longer ones are scored, but teach nothing, so the sample has bounded bytes
 BUCKETS = 1 << 18
 HEADS = (4, 5, 6, 7, 8)  # bytes of a word's beginnings
 START, ROUNDS, CURVATURE, LASSO = -4.0, 160, 0.3, 1.5e-4
@@ -100,7 +101,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -
     point = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     chosen = marked.join(share, "toxic").filter(point < F.col("share"))
     chosen = written(chosen.select("doc_id", "toxic", (1 / F.least("share", F.lit(1.0))).alias("importance")), "labelled")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= MOST_BYTES)
     return texts.join(F.broadcast(chosen), "doc_id")  # a bounded number of ids
 
 
