@@ -16,21 +16,26 @@ from logquarry.session import shared_dir
 #: Words are maximal runs of anything but these six ASCII blanks, as ``bytes.split()`` cuts them too.
 WORD = r"[^\x20\x09-\x0D]+"
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a table in the cluster's shared folder: cuts the lineage and survives lost executors.
 
-    The shuffle files of the job that writes it are dropped as soon as the table stands.
+    The shuffle files of the job that writes it are dropped as soon as the table stands, and rows go to Python in small
+    batches: long texts would otherwise fill tens of MB on both sides.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    before = spark.conf.get(DROP_SHUFFLES, "false")
-    spark.conf.set(DROP_SHUFFLES, "true")
+    wanted = {DROP_SHUFFLES: "true", BATCH_BYTES: SMALL_BATCH}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(DROP_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_at = path
     if _open_scopes:
@@ -38,6 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in small batches from now on, also where a caller writes what an operator returns."""
+    spark.conf.set(BATCH_BYTES, SMALL_BATCH)
+
+
 class Scope:
     """The tables written while a ``scratch`` block is open."""
 
@@ -179,8 +189,7 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
     with scratch(links.sparkSession) as held:
         edges = links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
         edges = written(edges, "stars")
-        before = None
-        while True:
+        while not _are_stars(edges):
             with scratch(links.sparkSession) as round_:
                 both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
                 lowest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
@@ -189,10 +198,13 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
                 least = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
                 hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                 edges = round_.keep(written(least.select("u", F.col("m").alias("v")).unionByName(hung).distinct(), "stars"))
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
-            if now == before:
-                break
-            before = now
         held.keep(edges)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other that hangs on none: edges lead to smaller nodes, so that is the smallest."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down")))
+    per_node = ends.groupBy("node").agg(F.sum("down").alias("hangs"), F.min("down").alias("least"))
+    return per_node.filter("hangs > 1 or (hangs = 1 and least = 0)").isEmpty()

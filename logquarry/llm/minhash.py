@@ -10,8 +10,8 @@ threshold does in all but ``DOUBT`` of cases are dropped; the others are confirm
 Candidates are met without pairing a group. In each round one class of every bucket, a member of the bucket's largest
 part, meets the bucket's classes outside its part; what is confirmed joins parts, the class leaves the bucket (it has met
 everyone), and buckets of one part are done. A group of copies of one text is joined in the first rounds, at a cost in
-proportion to its size. When rounds stop paying, the classes that are still apart in a bucket meet in blocks of bounded
-size, where signatures, then whole sets decide every pair, and only links that connect leave the task: at most one for
+proportion to its size. When buckets are no longer crowded, or rounds stop paying, the classes that are still apart in a
+bucket meet in blocks of bounded size, where signatures, then whole sets decide every pair, and only links that connect leave the task: at most one for
 each class, however many pairs are alike.
 
 A pair at the threshold shares no band in (1 - alike^ROWS)^BANDS = 2.6e-8 of cases and is dropped by its signature in
@@ -44,6 +44,7 @@ DOUBT = 1e-9
 BLOCK = 1 << 18  # codes in the sets of a block, about; two blocks meet in one task
 COLUMNS = 1 << 11  # codes counted at a time where blocks meet
 CROWD = 4096  # partners that share one copy of a text when pairs are confirmed
+CROWDED = 1024  # open pairs for each row of a bucket from which on another round is cheaper than blocks
 PAYS = 0.8  # a round pays if it leaves at most this share of the open pairs
 SLAB = 1 << 12  # codes whose orders are taken at a time
 
@@ -175,10 +176,11 @@ def _asked(pairs: DataFrame, classes: DataFrame, tried: DataFrame | None, alike:
     return written(both.filter(agreeing(F.col("a"), F.col("b")) >= least_agreeing(alike)).select("u", "v"), "asked")
 
 
-def _open_pairs(state: DataFrame) -> int:
-    """How many pairs of classes share a bucket but not a part."""
+def _open_pairs(state: DataFrame) -> tuple[int, int]:
+    """How many pairs of classes share a bucket but not a part, and how many rows the buckets have."""
     per = state.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
-    return int(per.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0)
+    pairs, rows = per.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
+    return int(pairs or 0), int(rows or 0)
 
 
 def _unsettled(state: DataFrame) -> DataFrame:
@@ -274,9 +276,8 @@ def links(classes: DataFrame, texts_of, width: int, alike: int) -> DataFrame | N
     texts = written(texts_of(rank.select("cls")), "texts")
     classes = written(classes.select("cls", "n", "signature").join(rank.select("cls"), "cls", "left_semi"), "candidates")
     state = written(each.select("key", "cls").join(rank, "cls").withColumn("root", F.col("cls")), "state")
-    found, tried, open_before = [], None, None
-    while (open_now := _open_pairs(state)) and (open_before is None or open_now <= PAYS * open_before):
-        open_before = open_now
+    found, tried, open_now, paid = [], None, 1, True
+    while open_now and paid:
         hubs = _hubs(state)
         met = state.join(hubs, "key").filter("root <> hub_root").select(F.greatest("cls", "hub").alias("u"), F.least("cls", "hub").alias("v"))
         asked = _asked(met, classes, tried, alike)
@@ -284,6 +285,8 @@ def links(classes: DataFrame, texts_of, width: int, alike: int) -> DataFrame | N
         found.append(confirmed(asked, texts, width, alike))
         state = state.join(hubs.select("key", F.col("hub").alias("cls")), ["key", "cls"], "left_anti")
         state = _unsettled(_joined(state, found))
+        open_before, (open_now, rows) = open_now, _open_pairs(state)
+        paid = open_now > CROWDED * rows and (len(found) == 1 or open_now <= PAYS * open_before)
     if open_now:
         found.append(_in_blocks(state, classes, texts, width, alike))
     return reduce(DataFrame.unionByName, found)
@@ -313,7 +316,8 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, alike: int = ALIKE)
 
         def texts_of(asked: DataFrame) -> DataFrame:
             where = written(classes.join(asked, "cls", "left_semi").select("cls", *place), "where")
-            return placed.join(where, place).select("cls", F.col("text").cast("binary").alias("text"))
+            # a shuffle at every size: what is asked for grows with the table
+            return placed.join(where.hint("merge"), place).select("cls", F.col("text").cast("binary").alias("text"))
 
         found = links(classes, texts_of, width, alike)
         if found is None:

@@ -27,7 +27,7 @@ from logquarry.llm.common import components, joined, located, scratch, written
 
 SEED = 42  # of XXH64
 STEP = 4  # bits per trie level
-LEAF = 128  # fingerprints in a leaf at most (a full-depth node holds one)
+LEAF = 512  # fingerprints in a leaf at most (a full-depth node holds one)
 SLAB = 1 << 16  # shingles whose bits are counted at a time
 
 

@@ -211,3 +211,45 @@ def test_leaks_of_short_items_and_items_without_an_id(spark):
     got = sorted(((x["doc_id"], x["item_id"], x["edits"]) for x in decontam.leaks(docs, bench).collect()), key=str)
     assert got == sorted([*((i, i, 1) for i in range(5)), (10, 5, 0), (11, None, 0)], key=str)
     assert sorted(x["doc_id"] for x in decontam.clean(docs, bench).collect()) == [5, 12]
+
+
+def test_items_match_whatever_their_punctuation(spark):
+    items = ['He said "it\'s done" - and left, at noon; nobody knew why or where.', "Größe und Straße: wie heißt das Stück, das gestern im Theater lief?"]
+    rows = [(1, "… he said “it’s done” — and left, at noon; nobody knew why or where…"), (2, "«größe» und straße – wie heißt das stück, das gestern im theater lief"), (3, "He said nothing at all, and stayed.")]
+    docs, bench = _docs(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((x["doc_id"], x["item_id"], x["edits"]) for x in decontam.leaks(docs, bench).collect()) == [(1, 0, 0), (2, 1, 0)]
+    assert decontam.plain("A_b-Ç 2 ½") == "a b ç 2 ½".encode() and decontam.plain("日本 語") == "日本 語".encode()
+
+
+def _leaks_by_hand(rows, items):
+    """Edit distance of every item to every stretch of every text."""
+    out = set()
+    for doc, text in rows:
+        low = decontam.plain(text)
+        for number, item in items:
+            own = decontam.plain(item)
+            if own and low:
+                edits = _edit_distance(own, low)
+                if edits <= int(len(own) * decontam.BUDGET):
+                    out.add((doc, number, edits))
+    return out
+
+
+def test_search_finds_what_a_plain_search_finds(spark):
+    r = random.Random(17)
+    word = lambda: "".join(r.choices("abcde", k=r.randint(1, 5)))
+    items = [(i, " ".join(word() for _ in range(r.randint(2, 14)))) for i in range(12)] + [(3, "repeated item id here now")]
+    rows = []
+    for i in range(60):
+        text = [word() for _ in range(r.randint(0, 20))]
+        if r.random() < 0.7:
+            item = list(r.choice(items)[1])
+            for _ in range(r.randint(0, 3)):
+                at = r.randrange(len(item))
+                item[at : at + r.randint(0, 1)] = r.choices("abcde ", k=r.randint(0, 2))
+            text.insert(r.randint(0, len(text)), "".join(item))
+        rows.append((i, " ".join(text)))
+    docs, bench = _docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["edits"]) for x in decontam.leaks(docs, bench).collect()}
+    want = _leaks_by_hand(rows, items)
+    assert len(want) > 15 and {(d, i) for d, i, _ in got} == {(d, i) for d, i, _ in want} and all(any(w[:2] == g[:2] and w[2] <= g[2] for w in want) for g in got)

@@ -84,12 +84,13 @@ def test_other_shingles_and_thresholds(spark, width, alike):
     assert sorted(map(tuple, got), key=repr) == _by_hand(rows, width, alike)
 
 
-def test_a_crowd_below_the_threshold_is_settled_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("crowded", [0, 1024])
+def test_a_crowd_below_the_threshold_is_settled_in_rounds_or_blocks(spark, monkeypatch, crowded):
     # chains and texts that share a template: rounds soon stop paying, blocks decide the rest
     monkeypatch.setattr(minhash, "BLOCK", 900)
     monkeypatch.setattr(minhash, "COLUMNS", 64)
     monkeypatch.setattr(minhash, "CROWD", 8)
-    monkeypatch.setattr(minhash, "PAYS", 0.1)
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
     r = random.Random(3)
     base = r.choices([f"w{i}" for i in range(500)], k=60)
     rows = [_edited(r, base, r.randint(4, 9)) for _ in range(150)]

@@ -103,6 +103,71 @@ def test_texts_that_no_language_shortens_go(spark):
 # --- toxicity ----------------------------------------------------------------------------------------------
 
 
+def _noisy_or(text, weights, bias):
+    """One minus the product of the sentences' complements, sentence by sentence and word by word."""
+    left, low = 1.0, re.sub(r"[^0-9a-z.!?\n\x80-\U0010ffff]", " ", (text or "").lower())
+    parts = [w for w in (p.split() for p in re.split(r"[.!?\n]", low)) if w] or [[]]
+    for words in parts:
+        z = bias
+        for word in words:
+            octets = word.encode()
+            for feature in [octets, *(b"^" + octets[:n] for n in toxicity.HEADS if n <= len(octets))]:
+                z += weights.get(crc32(feature) % toxicity.BUCKETS, 0.0)
+        left *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - left
+
+
+def _labelled_texts(n=240):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(n):
+        lines = [" ".join(r.choices(vocabulary, k=7)) for _ in range(r.randint(1, 6))]
+        if i % 3 == 0:
+            lines[r.randrange(len(lines))] += " vile"
+        rows.append((i, r.choice([". ", "! ", "\n"]).join(lines)))
+        labels.append((i, int(i % 3 == 0)))
+    return rows, labels
+
+
+def test_scores_are_the_noisy_or_by_hand(spark):
+    rows, labels = _labelled_texts()
+    rows += [(1000, None), (1001, ""), (1002, "Vile! VILE? vile"), (1003, "Ärger vile-ness. 1 2 3"), (1004, "long " * 20_000 + "vile")]
+    docs = spark.createDataFrame([(i, t, "en", "s", "x") for i, t in rows], SCHEMA)
+    marks = spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int")
+    weights, bias = toxicity.train(docs, marks)
+    assert len(weights) > 0
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, marks).collect()}
+    assert got == {i: pytest.approx(_noisy_or(t, weights, bias), abs=1e-9) for i, t in rows}
+
+
+def test_the_fit_is_a_minimum_of_the_document_loss(spark):
+    rows, labels = _labelled_texts(150)
+    truth = np.array([y for _, y in labels])
+    weights, bias = toxicity.fit([t for _, t in rows], truth, np.ones(len(rows)))
+    share = np.where(truth == 1, toxicity.TOXIC_WEIGHT, 1.0) / len(rows)
+
+    def loss(w, b):
+        p = np.array([_noisy_or(t, w, b) for _, t in rows])
+        return (-share * np.where(truth == 1, np.log(np.maximum(p, 1e-12)), np.log(np.maximum(1 - p, 1e-12)))).sum() + toxicity.LASSO * sum(map(abs, w.values()))
+
+    found = {int(k): float(weights[k]) for k in np.flatnonzero(weights)}
+    best = loss(found, bias)
+    assert best < 0.5 * loss({}, toxicity.START)
+    r = random.Random(1)
+    for k in r.sample(sorted(found), min(12, len(found))):
+        for step in (-0.05, 0.05):
+            assert loss(found | {k: found[k] + step}, bias) > best - 1e-4
+
+
+def test_long_documents_are_scored_but_teach_nothing(spark):
+    long = "vile word " * 4_000
+    docs = spark.createDataFrame([(i, t, "en", "s", "x") for i, t in enumerate(["vile a", "fine b", long, long + "."] * 10)], SCHEMA)
+    marks = spark.createDataFrame([(i, 1, int(i % 4 != 1)) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(docs, marks).agg(F.max(F.octet_length("text"))).first()[0] < 10
+    assert toxicity.score(docs, marks).count() == 40
+
+
 def test_toxic_sentences_are_learned_from_document_labels(spark):
     r = random.Random(7)
     vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(300)]
@@ -331,3 +396,24 @@ def test_ranks_that_differ_give_way_to_the_library(monkeypatch):
     right = count(["one two", "three"])
     monkeypatch.setattr(count, "ranked", type("Wrong", (), {"encode_to_numpy": lambda self, *a, **b: np.zeros(99)})())
     assert count(["one two", "three"]) == right and count.ranked is None
+
+
+def test_names_that_the_url_table_does_not_hold(spark):
+    """Accuracy on ordinary words that were held out whole, and on unwanted names whose pair of words was."""
+    out = set(urls.ORDINARY_WORDS[::4])
+    ordinary = [u for u in urls.ALLOWED if any(w in u.split("://")[1].split(".test")[0] for w in out)]
+    junk = urls.BLOCKED[1::4]
+    rest = [(u, 0.0) for u in urls.ALLOWED if u not in ordinary] + [(u, 1.0) for u in urls.BLOCKED if u not in junk]
+    model = urls.train(spark.createDataFrame(rest, "url string, label double"))
+    asked = [u for u in ordinary if not any(w in u for w in set(urls.ORDINARY_WORDS) - out)]
+    frame = spark.createDataFrame(list(enumerate(asked + junk)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(frame, model, rules=[("allow", "no.such", "/")]).collect()}
+    assert sum(got[i] == "allow" for i in range(len(asked))) >= 0.85 * len(asked) > 20
+    assert sum(got[i] == "block" for i in range(len(asked), len(got))) >= 0.85 * len(junk)
+
+
+def test_long_urls_and_no_urls(spark):
+    model = urls.train(urls.labelled(spark))
+    pages = spark.createDataFrame([(1, "http://" + "a" * 100_000 + ".org/" + "b/" * 100_000), (2, None)], "page_id long, url string")
+    assert {r["page_id"]: len(r["host"]) for r in urls.judge(pages, model).collect()} == {1: 100_004, 2: 0}
+    assert urls.judge(pages.limit(0), model).count() == 0
