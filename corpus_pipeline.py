@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logquarry.llm import decontam, language, mixing, simhash, suffixes
-from logquarry.llm.common import table, written
+from logquarry.llm.common import small_batches, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Drops documents that are empty or have no letter."""
+    """Drops documents without a letter and those that no learned language shortens."""
+    small_batches(spark)
     return language.known(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
+    """Keeps one document, the one with the smallest id, of each group that SimHash fingerprints link."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Cuts every string of 100 bytes that starts earlier in the corpus too; no document goes, ``n_chars`` follows."""
+    small_batches(spark)
     return suffixes.cut(docs)
 
 
 def leaked_benchmarks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    small_batches(spark)
     return decontam.clean(docs, table(spark, folder, "benchmark"))
 
 
