@@ -23,7 +23,7 @@ def _top_edges(edges: DataFrame, limit: int | None) -> DataFrame:
 
 
 def flow_aggregates(
-    events: DataFrame, *, since: Column | None = None, until: Column | None = None, limit: int | None = 2000
+    events: DataFrame, *, since: Column | None = None, until: Column | None = None, limit: int | None = None
 ) -> DataFrame:
     """Edges by address pair with both coordinates known, the largest first."""
     at = F.coalesce(*[c for c in ("event_ts", "received_at") if c in events.columns])
@@ -35,7 +35,7 @@ def flow_aggregates(
     return _top_edges(_edges(df, []), limit)
 
 
-def archive_flow_aggregates(flows: DataFrame, *, since: Column | None = None, limit: int | None = 2000) -> DataFrame:
+def archive_flow_aggregates(flows: DataFrame, *, since: Column | None = None, limit: int | None = None) -> DataFrame:
     """The same over archived flows, with bytes."""
     total = F.sum(F.coalesce("bytes", F.lit(0))).alias("sum_bytes")
     return _top_edges(_edges(between(flows, "ts", since), [total]), limit)

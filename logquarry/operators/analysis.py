@@ -313,11 +313,11 @@ def summary_context(
     *,
     weekly: bool = False,
     summaries: DataFrame | None = None,
-    limit: int = 80,
+    limit: int,
 ) -> DataFrame:
     """The text a period summary is written from, as one row: sums, snippets and, weekly, recent daily runs.
 
-    The snippets come from at most 500 analyses, so collecting them into one text is bounded.
+    The snippets come from the ``limit`` oldest analyses, 500 at most, so collecting them into one text is bounded.
     """
     kind, snippet, failure = ("WEEKLY", 280, 100) if weekly else ("DAILY", 320, 120)
     stats = analysis_window_stats(analyses, since, until)

@@ -9,7 +9,7 @@ from logquarry.functions import fixed
 from logquarry.functions.net import ip_number, ipv6_key, is_public, is_public_key
 from logquarry.functions.text import any_of
 from logquarry.operators.running import computed_once
-from logquarry.operators.search import list_events, newest
+from logquarry.operators.search import first_rows, list_events, newest
 
 BROADCAST_ROWS = 1_000_000  # ranges up to this many bucket rows are sent to every executor
 
@@ -148,11 +148,11 @@ def dedup_new_events(events: DataFrame, stored_keys: DataFrame, *, key: str = "p
     return first_per_key(events, key, order).join(stored_keys.select(key), key, "left_anti").select(*events.columns)
 
 
-def merge_archive_flows(live: DataFrame, archive: DataFrame, *, limit: int = 2000) -> DataFrame:
-    """Live edges, then archive edges of pairs not seen live, cut to the limit (larger counts first)."""
+def merge_archive_flows(live: DataFrame, archive: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Live edges, then archive edges of pairs not seen live, larger counts first; cut if a limit is named."""
     fresh = archive.join(live.select("src_ip", "dst_ip"), ["src_ip", "dst_ip"], "left_anti")
     both = live.withColumn("archived", F.lit(0)).unionByName(fresh.withColumn("archived", F.lit(1)), allowMissingColumns=True)
-    return both.orderBy("archived", F.desc("cnt"), "src_ip", "dst_ip").limit(limit)
+    return first_rows(both.orderBy("archived", F.desc("cnt"), "src_ip", "dst_ip"), limit)
 
 
 def new_and_gone_sources(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:
@@ -169,7 +169,7 @@ def events_by_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
     return events.join(ids.select("id"), "id", "left_semi")
 
 
-def newest_cloud_ids(events: DataFrame, *, since: Column | None = None, limit: int = 200) -> DataFrame:
+def newest_cloud_ids(events: DataFrame, *, since: Column | None = None, limit: int | None = None) -> DataFrame:
     return list_events(events, since=since, source_type="mist", limit=limit).select("id")
 
 

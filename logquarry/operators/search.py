@@ -19,11 +19,16 @@ from logquarry.operators.parse import normalize_origins
 from logquarry.operators.running import computed_once
 
 
-def newest(df: DataFrame, by: str, limit: int, *, tie: str | None = "id", ascending: bool = False) -> DataFrame:
-    """Top rows by time; ties are broken so that results repeat. Plans as a per-partition top-k."""
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """As many rows as the caller asks for; all of them unless a limit is named."""
+    return df if limit is None else df.limit(limit)
+
+
+def newest(df: DataFrame, by: str, limit: int | None, *, tie: str | None = "id", ascending: bool = False) -> DataFrame:
+    """Rows by time, newest first; ties are broken so that results repeat. With a limit it plans as a per-partition top-k."""
     order = F.asc if ascending else F.desc
     keys = [order(by)] + ([order(tie)] if tie and tie in df.columns else [])
-    return df.orderBy(*keys).limit(limit)
+    return first_rows(df.orderBy(*keys), limit)
 
 
 def between(df: DataFrame, column: str, since: Column | None, until: Column | None = None) -> DataFrame:
@@ -47,7 +52,7 @@ def regex_filter(df: DataFrame, pattern: str, *, column: str = "line", strict: b
 
 
 def term_search(
-    events: DataFrame, query: str, *, since: Column | None = None, source_type: str | None = None, limit: int = 200
+    events: DataFrame, query: str, *, since: Column | None = None, source_type: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Newest events whose message has every term."""
     df = between(events, "received_at", since)
@@ -57,7 +62,7 @@ def term_search(
 
 
 def event_regex_search(
-    events: DataFrame, pattern: str, *, since: Column | None = None, source_type: str | None = None, limit: int = 200
+    events: DataFrame, pattern: str, *, since: Column | None = None, source_type: str | None = None, limit: int | None = None
 ) -> DataFrame:
     df = between(events, "received_at", since)
     if source_type:
@@ -65,7 +70,7 @@ def event_regex_search(
     return newest(regex_filter(df, pattern, column="message"), "received_at", limit)
 
 
-def phrase_search(archive: DataFrame, phrase: str, *, since: Column | None = None, limit: int = 200) -> DataFrame:
+def phrase_search(archive: DataFrame, phrase: str, *, since: Column | None = None, limit: int | None = None) -> DataFrame:
     """Newest archive rows that contain the whole phrase (case-insensitive, wildcards active)."""
     text = phrase.strip().lower()
     if not text:
@@ -81,7 +86,7 @@ def list_events(
     until: Column | None = None,
     source_type: str | None = None,
     log_type: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
     offset: int = 0,
     ascending: bool = False,
 ) -> DataFrame:
@@ -91,7 +96,8 @@ def list_events(
     if log_type:
         df = df.filter(F.col("log_type") == log_type)
     order = F.asc if ascending else F.desc
-    return df.orderBy(order("received_at"), order("id")).offset(offset).limit(limit)
+    ordered = df.orderBy(order("received_at"), order("id"))
+    return first_rows(ordered.offset(offset) if offset else ordered, limit)
 
 
 def firewall_view(
@@ -264,7 +270,7 @@ def search_lines(
     *,
     mode: str = "text",
     floor: str | None = None,
-    limit: int = 5000,
+    limit: int | None = None,
     ascending: bool = False,
 ) -> DataFrame:
     """Matching lines at or above a severity, newest first (``sort_ts`` must be present)."""
@@ -274,8 +280,8 @@ def search_lines(
         hits = text_search(lines, query)
     hits = severity_floor(hits.filter(F.length("line") > 0), floor) if floor else hits.filter(F.length("line") > 0)
     order = F.asc if ascending else F.desc
-    top = hits.orderBy(order("sort_ts"), order("source"), order("line_index")).limit(limit)
-    return classify_lines(top)
+    top = hits.orderBy(order("sort_ts"), order("source"), order("line_index"))
+    return classify_lines(first_rows(top, limit))
 
 
 def origin_matches(
@@ -288,12 +294,12 @@ def origin_matches(
     since: Column | None = None,
     source_type: str | None = None,
     floor: str | None = None,
-    limit: int = 200,
+    limit: int | None = None,
     ascending: bool = False,
 ) -> DataFrame:
-    """Each origin's matches, newest first and cut to an equal share of the limit, in one schema."""
+    """Each origin's matches, newest first and, if a limit is named, cut to an equal share of it, in one schema."""
     origins = sum(part is not None for part in (events, lines, archive)) or 1
-    quota = max(limit // origins, 1)
+    quota = None if limit is None else max(limit // origins, 1)
     found_events = found_lines = found_archive = None
     if events is not None:
         search = event_regex_search if mode == "regex" else term_search
@@ -306,11 +312,11 @@ def origin_matches(
     return normalize_origins(found_events, found_lines, found_archive)
 
 
-def unified_search(query: str, *, limit: int = 200, ascending: bool = False, **options) -> DataFrame:
-    """All origins' matches merged by time and cut to the limit."""
+def unified_search(query: str, *, limit: int | None = None, ascending: bool = False, **options) -> DataFrame:
+    """All origins' matches merged by time and, if a limit is named, cut to it."""
     merged = origin_matches(query, limit=limit, ascending=ascending, **options)
     order = F.asc if ascending else F.desc
-    return merged.orderBy(order("received_at"), "origin", "id").limit(limit)
+    return first_rows(merged.orderBy(order("received_at"), "origin", "id"), limit)
 
 
 def counts_by_origin(query: str, **options) -> DataFrame:

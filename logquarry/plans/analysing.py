@@ -228,7 +228,7 @@ _UTC = f"UTC={_SINCE} UTC..{ANALYSES_NOW} UTC"
  'PER_ANALYSIS_SNIPPETS (oldest→newest in window; summaries truncated):', chr(10), text, chr(10), '{fixed.DAILY_TASK}') as context from st, sn""",
 )
 def summary_context(b: Bridge):
-    return analysis.summary_context(b.analyses, at(_SINCE), at(ANALYSES_NOW))
+    return analysis.summary_context(b.analyses, at(_SINCE), at(ANALYSES_NOW), limit=80)
 
 
 @plan(
@@ -241,7 +241,7 @@ def summary_context(b: Bridge):
  'PER_ANALYSIS_SNIPPETS:', chr(10), text, chr(10), '{fixed.WEEKLY_TASK}') as context from st, sn, dl""",
 )
 def summary_context_weekly(b: Bridge):
-    return analysis.summary_context(b.analyses, at(_SINCE), at(ANALYSES_NOW), weekly=True, summaries=summaries(b))
+    return analysis.summary_context(b.analyses, at(_SINCE), at(ANALYSES_NOW), weekly=True, summaries=summaries(b), limit=80)
 
 
 @plan(

@@ -247,7 +247,7 @@ def events_by_ids(b: Bridge):
 @plan("cloud_events_by_window", B1 + f"select {_EVENTS} from b1 where source_type = 'mist' and received_at >= timestamp '2024-01-10' order by received_at desc, id desc limit 200")
 def cloud_events_by_window(b: Bridge):
     """The cloud variant: the newest ids of a window, then their events."""
-    ids = joins.newest_cloud_ids(b.events, since=at("2024-01-10"))
+    ids = joins.newest_cloud_ids(b.events, since=at("2024-01-10"), limit=200)
     return event_rows(joins.events_by_ids(b.events, ids))
 
 
@@ -354,7 +354,7 @@ def due_schedules(b: Bridge):
 )
 def flow_aggregates(b: Bridge):
     events = b.flows.withColumn("event_ts", F.col("ts"))
-    return aggregates.flow_aggregates(events).select("src_ip", "dst_ip", "cnt", "src_lat", "dst_lon")
+    return aggregates.flow_aggregates(events, limit=2000).select("src_ip", "dst_ip", "cnt", "src_lat", "dst_lon")
 
 
 @plan(
@@ -365,7 +365,7 @@ def flow_aggregates(b: Bridge):
  having max(src_lat) is not null and max(dst_lat) is not null order by cnt desc, src_ip, dst_ip limit 2000""",
 )
 def archive_flow_aggregates(b: Bridge):
-    out = aggregates.archive_flow_aggregates(b.flows, since=at("1996-01-01"))
+    out = aggregates.archive_flow_aggregates(b.flows, since=at("1996-01-01"), limit=2000)
     return out.select("src_ip", "dst_ip", "cnt", "sum_bytes", "src_lon")
 
 

@@ -55,7 +55,7 @@ def text_search_documents(b: Bridge):
 
 @plan("term_search", B1 + f"select {_EVENTS} from b1 where lower(message) like '%log_n%' and lower(message) like '%from%' order by received_at desc, id desc limit 200")
 def term_search(b: Bridge):
-    return event_rows(search.term_search(b.events, "LOG_N from"))
+    return event_rows(search.term_search(b.events, "LOG_N from", limit=200))
 
 
 @plan(
@@ -64,7 +64,7 @@ def term_search(b: Bridge):
     + rf"select {_EVENTS} from b1 where regexp_matches(message, 'user\d+ (critical|error)', 'i') and received_at >= timestamp '2024-01-02' order by received_at desc, id desc limit 200",
 )
 def regex_search(b: Bridge):
-    return event_rows(search.event_regex_search(b.events, r"user\d+ (critical|error)", since=at("2024-01-02")))
+    return event_rows(search.event_regex_search(b.events, r"user\d+ (critical|error)", since=at("2024-01-02"), limit=200))
 
 
 @plan(
@@ -85,7 +85,7 @@ def regex_search_lines(b: Bridge):
 
 @plan("phrase_search", B1 + f"select {_EVENTS} from b1 where lower(message) like '%authentication failure%' order by received_at desc, id desc limit 200")
 def phrase_search(b: Bridge):
-    return event_rows(search.phrase_search(b.events, " Authentication failure "))
+    return event_rows(search.phrase_search(b.events, " Authentication failure ", limit=200))
 
 
 @plan(
@@ -283,7 +283,7 @@ _SORT = "case when b3.id % 13 <> 0 and b3.id % 10 <> 0 then date_trunc('second',
 )
 def search_lines(b: Bridge):
     lines = parse.parse_line_timestamps(b.lines)
-    out = search.search_lines(lines, "from error OR timeout", floor="error")
+    out = search.search_lines(lines, "from error OR timeout", floor="error", limit=5000)
     return out.select("source", "line_index", "line", "severity", us("sort_ts").alias("sort_us"))
 
 

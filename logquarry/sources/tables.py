@@ -30,7 +30,7 @@ def scan_journal_export(
     patterns: list[str] | None = None,
     since: Column | None = None,
     until: Column | None = None,
-    limit: int = 2000,
+    limit: int | None = None,
 ) -> DataFrame:
     """The newest entries of a landed journal (ts, unit, boot_id, priority, line), oldest first."""
     kind, unit = journal_scope(uri)
@@ -70,7 +70,7 @@ def scan_cloud_events(pages: DataFrame) -> DataFrame:
     return rows.filter(F.ltrim("body").startswith("{"))
 
 
-def scan_archive_logs(raw_logs: DataFrame, *, since_id: int = 0, limit: int | None = 200) -> DataFrame:
+def scan_archive_logs(raw_logs: DataFrame, *, since_id: int = 0, limit: int | None = None) -> DataFrame:
     """Archived raw logs after an id as event rows; ids are negated so that they never meet live ids."""
     df = raw_logs.filter(F.col("id") > since_id)
     if limit is not None:

@@ -147,3 +147,20 @@ def test_windows_are_whole_and_cuts_are_told(spark):
     assert files.tail_since(lines, F.timestamp_seconds(F.lit(500))).count() == 1500
     cut = files.tail_since(lines, F.timestamp_seconds(F.lit(500)), 200)
     assert 0 < cut.count() < 30 and cut.filter("not window_cut").isEmpty()
+
+
+def test_nothing_is_cut_unless_a_limit_is_named(spark):
+    from logquarry.operators import aggregates
+    from logquarry.sources import tables
+
+    n = 6_000
+    events = _events(spark, n, message=F.lit("failure here"), source_type=F.lit("mist"))
+    assert search.term_search(events, "failure").count() == n == search.event_regex_search(events, "fail").count()
+    assert search.phrase_search(events, "failure here").count() == n == search.list_events(events).count()
+    assert search.unified_search("failure", events=events).count() == n == joins.newest_cloud_ids(events).count()
+    assert search.list_events(events, offset=10, limit=50).count() == 50 and search.list_events(events, offset=10).count() == n - 10
+    assert tables.scan_archive_logs(spark.range(n).selectExpr("id", "now() received_at", "'' remote_ip", "'' transport", "'m' message"), since_id=-1).count() == n
+    flows = spark.range(n).selectExpr("cast(id as string) src_ip", "'b' dst_ip", "now() ts", "now() received_at", "1L bytes", "1d src_lat", "1d src_lon", "1d dst_lat", "1d dst_lon")
+    live, archive = aggregates.flow_aggregates(flows), aggregates.archive_flow_aggregates(flows.withColumn("dst_ip", F.lit("c")))
+    assert live.count() == n == archive.count() and joins.merge_archive_flows(live, archive).count() == 2 * n
+    assert joins.merge_archive_flows(live, archive, limit=7).count() == 7
