@@ -191,13 +191,16 @@ def route_per_sender(b: Bridge):
     return back.select("remote_ip", F.col("value").alias("line"))
 
 
-@plan("append_events", B1 + "select source_type, strftime(received_at, '%Y-%m-%d') as event_day, count(*) as events, count(*) as ids from b1 group by 1, 2")
+@plan(
+    "append_events",
+    B1
+    + """select row_number() over (order by id % 2, received_at, id) - 1 as id, id as event_no, source_type, strftime(received_at, '%Y-%m-%d') as event_day,
+ message from b1""",
+)
 def append_events(b: Bridge):
-    """Events appended twice by day and type, counted back; ids never repeat."""
+    """Events appended twice; ids are consecutive in the order of time and go on with the second append."""
     path = shared_dir(b.spark, "events")
-    sinks.append_events(b.events.filter("id % 2 = 0"), path)
-    sinks.append_events(b.events.filter("id % 2 = 1"), path, first_id=1 << 44)
-    back = b.spark.read.parquet(path)
+    for half in (0, 1):
+        sinks.append_events(b.events.filter(F.col("id") % 2 == half).withColumn("event_no", F.col("id")), path, order=("received_at", "event_no"))
     day = F.date_format("received_at", "yyyy-MM-dd").alias("event_day")
-    counts = back.groupBy("source_type", day)
-    return counts.agg(F.count(F.lit(1)).alias("events"), F.countDistinct("id").alias("ids"))
+    return b.spark.read.parquet(path).select("id", "event_no", "source_type", day, "message")

@@ -5,15 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.operators.running import running_rank
+from logquarry.operators.running import running_rank, settled
 
 
-def append_events(events: DataFrame, path: str, *, first_id: int = 0) -> None:
-    """Append parsed events by day and source type; new ids rise from ``first_id`` and never repeat in a batch."""
-    dated = events.withColumn("event_date", F.to_date("received_at"))
-    dated = dated.withColumn("id", F.lit(first_id) + F.monotonically_increasing_id())
+def _reserved(spark, path: str, count: int, first_id: int | None) -> int:
+    """The first of ``count`` ids that nobody else has. They are taken before anything is written, so a write that dies
+    leaves a gap and never an id twice. There is one writer at a time."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_ids")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    taken = [int(s.getPath().getName()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    first = max([0, *taken]) if first_id is None else first_id
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_ids/{first + count:020d}"), True).close()
+    for old in taken:
+        if old < first + count:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_ids/{old:020d}"), False)
+    return first
+
+
+def append_events(events: DataFrame, path: str, *, order: tuple[str, ...] = ("received_at",), first_id: int | None = None) -> int:
+    """Append parsed events by day and source type, with consecutive new ids in the given order; returns the next id.
+
+    Ids go on where the last append to this path ended, or begin at ``first_id``. Rows are placed by a range sort, and the
+    row counts of its partitions give each its offset, so no task numbers them all.
+    """
+    spark = events.sparkSession
+    lined = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    lined = settled(lined, "to-append").withColumn("_part", F.shiftright("_place", 33))
+    held = sorted(tuple(r) for r in lined.groupBy("_part").agg(F.count("*")).collect())  # a row for each partition
+    count = sum(n for _, n in held)
+    at = first = _reserved(spark, path, count, first_id)
+    offsets = []
+    for part, n in held:
+        offsets.append((part, at))
+        at += n
+    before = F.broadcast(spark.createDataFrame(offsets, "_part long, _first long"))
+    numbered = lined.join(before, "_part").withColumn("id", F.col("_first") + F.col("_place").bitwiseAND((1 << 33) - 1))
+    dated = numbered.drop("_part", "_place", "_first").withColumn("event_date", F.to_date("received_at"))
     # rebalance gathers a target partition in few files, and AQE splits the ones that are too large
     dated.hint("rebalance", "event_date", "source_type").write.mode("append").partitionBy("event_date", "source_type").parquet(path)
+    return first + count
 
 
 def export_rows(lines: DataFrame, *, limit: int | None = None, ascending: bool = False) -> DataFrame:

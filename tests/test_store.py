@@ -129,3 +129,27 @@ def test_batches_are_written_once(spark, tmp_path):
     assert not table.append(_events(spark, range(5, 12)), batch=1) and table.read().count() == 12
     assert table.append(_events(spark, []), batch=2) and table.read(batch=2).count() == 0
     assert joins.events_by_ids(table.read(), spark.range(3)).count() == 3
+
+
+def test_ids_are_never_given_twice(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from logquarry.sources import sinks
+
+    path = str(tmp_path / "appended")
+    assert sinks.append_events(_events(spark, range(7)).drop("event_date"), path) == 7
+    write = DataFrameWriter.parquet
+
+    def dies(self, target, *args, **kwargs):
+        if target == path:
+            raise RuntimeError("lost")
+        return write(self, target, *args, **kwargs)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            sinks.append_events(_events(spark, range(5)).drop("event_date"), path)
+    assert sinks.append_events(_events(spark, range(3)).drop("event_date"), path) == 15  # the ids of the lost write are gone
+    assert sinks.append_events(_events(spark, []).drop("event_date"), path) == 15
+    assert sinks.append_events(_events(spark, range(2)).drop("event_date"), path, first_id=100) == 102
+    assert _rows(spark.read.parquet(path), "id") == [(i,) for i in [*range(7), *range(12, 15), 100, 101]]
