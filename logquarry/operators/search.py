@@ -12,6 +12,7 @@ from logquarry.functions.text import (
     basename,
     boolean_search,
     glob_matches,
+    highlight_terms,
     regex_search,
     valid_regex,
 )
@@ -319,6 +320,31 @@ def unified_search(query: str, *, limit: int | None = None, ascending: bool = Fa
     return first_rows(merged.orderBy(order("received_at"), "origin", "id"), limit)
 
 
+def search_report(query: str, *, mode: str = "text", limit: int | None = None, ascending: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """A search's matches (``unified_search``) and one row about them: query, mode, count, counts_by_origin (0 for an asked
+    origin without any), highlight_terms (of a text search) and errors by origin.
+
+    A malformed pattern is an error of the files, where patterns are checked; other origins are searched all the same.
+    """
+    errors = {}
+    others = any(options.get(part) is not None for part in ("events", "archive"))
+    if mode == "regex" and others and options.get("lines") is not None and not valid_regex(query):
+        errors["files"] = f"invalid pattern: {query}"
+        options = options | {"lines": None}
+    try:
+        terms = highlight_terms(query) if mode == "text" else []
+    except ValueError:  # nothing to mark in a text that is no search
+        terms = []
+    results = unified_search(query, mode=mode, limit=limit, ascending=ascending, **options)
+    counts = counts_by_origin(query, mode=mode, limit=limit, **options)  # a row for each origin
+    total = F.sum("matches")
+    count = total if limit is None else F.least(total, F.lit(limit))
+    about = counts.agg(count.cast("long").alias("count"), F.map_from_entries(F.collect_list(F.struct("origin", "matches"))).alias("counts_by_origin"))
+    literal = F.array(*(F.lit(t) for t in terms)).cast("array<string>")
+    told = F.create_map(*(F.lit(x) for pair in errors.items() for x in pair)).cast("map<string,string>")
+    return results, about.select(F.lit(query).alias("query"), F.lit(mode).alias("mode"), "count", "counts_by_origin", literal.alias("highlight_terms"), told.alias("errors"))
+
+
 def counts_by_origin(query: str, **options) -> DataFrame:
     """Matches per origin before the final cut; 0 for an asked origin without any."""
     names = [name for name, part in (("hub", "events"), ("files", "lines"), ("archive", "archive")) if options.get(part) is not None]

@@ -321,6 +321,21 @@ def counts_by_origin(b: Bridge):
     return search.counts_by_origin("failure", **_origin_inputs(b))
 
 
+@plan(
+    "search_report",
+    _ORIGINS
+    + """select 'failure' as query, least(300, (select count(*) from merged)) as count, (select count(*) from hub) as hub,
+ (select count(*) from files) as files, (select count(*) from archive) as archive, 'failure' as terms, 0 as errors""",
+)
+def search_report(b: Bridge):
+    """What a search tells beside its matches."""
+    about = search.search_report("failure", **_origin_inputs(b))[1]
+    return about.select(
+        "query", "count", *(F.col("counts_by_origin")[o].alias(o) for o in ("hub", "files", "archive")),
+        F.array_join("highlight_terms", ",").alias("terms"), F.size("errors").alias("errors"),
+    )
+
+
 @plan(
     "counts_by_origin_zero",
     B1

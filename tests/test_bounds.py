@@ -164,3 +164,18 @@ def test_nothing_is_cut_unless_a_limit_is_named(spark):
     live, archive = aggregates.flow_aggregates(flows), aggregates.archive_flow_aggregates(flows.withColumn("dst_ip", F.lit("c")))
     assert live.count() == n == archive.count() and joins.merge_archive_flows(live, archive).count() == 2 * n
     assert joins.merge_archive_flows(live, archive, limit=7).count() == 7
+
+
+def test_a_search_report(spark):
+    from logquarry.operators import parse
+
+    events = _events(spark, 5, message=F.lit("disk failure"), source_type=F.lit("mist"))
+    lines = spark.createDataFrame([("/a.log", 0, "disk failure [x"), ("/a.log", 1, "fine")], "source string, line_index long, line string")
+    lines = parse.parse_line_timestamps(lines.withColumn("received_at", F.timestamp_seconds(F.lit(1_700_000_000))))
+    results, about = search.search_report("disk failure", events=events, lines=lines, limit=4)
+    row = about.first()
+    assert results.count() == 3 == row["count"] and row["counts_by_origin"] == {"hub": 2, "files": 1}
+    assert row["highlight_terms"] == ["disk", "failure"] and row["errors"] == {}
+    results, about = search.search_report("[x", mode="regex", events=events, lines=lines)
+    row = about.first()
+    assert row["errors"] == {"files": "invalid pattern: [x"} and row["highlight_terms"] == [] and row["counts_by_origin"] == {"hub": 0}
