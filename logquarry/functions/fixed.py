@@ -162,6 +162,23 @@ CONFIDENCE_LEVELS = ["low", "medium", "high"]
 AUTO_SKIP_MODEL = "(auto-skip)"
 FENCED_BLOCK = r"(?is)```(?:json)?\s*(.*?)\s*```"
 NON_JSON_SUMMARY = "Model returned non-JSON; inspect raw response."
+NO_SUMMARY = "(no summary)"
+NO_HEADLINE = "(no headline)"
+EXPLANATION_SUMMARY = "Log entry explanation"
+ANOMALY_TITLE = "Note"
+FINDING_TITLE = "Finding"
+SKIPPED_BEFORE = "Auto-skipped "
+SKIPPED_AFTER = " blocked/denied log"
+PROMPT_HEAD = " lines. JSON only.\n"
+JOB_FAILED = "analysis failed"
+SNIPPETS_DAILY = "PER_ANALYSIS_SNIPPETS (oldest→newest in window; summaries truncated):"
+SNIPPETS_WEEKLY = "PER_ANALYSIS_SNIPPETS:"
+RECENT_RUNS = "RECENT_DAILY_META_RUNS (newest first):"
+TREND_CHANGES = {"ok_total": "completed analyses", "elevated_total": "high/critical bucket", "anomalies_total": "reported anomalies"}
+TREND_SAME = "Last {} looks similar to the prior one (same ballpark of analyses and flags)."
+TREND_BEFORE = "Versus the prior {}: "
+BASELINE_EMPTY = "empty"
+BASELINE_STEADY = "steady"
 ELLIPSIS = "…"
 DAILY_TASK = (
     "TASK: Cross-batch review. Find drift, clusters, or storylines single batches miss. "

@@ -155,7 +155,7 @@ def trend_delta(buckets: DataFrame, order: str, label: str) -> DataFrame:
     """
     pair = buckets.filter("analyses_total > 0").orderBy(F.desc(order)).limit(2)
     back = Window.orderBy(order)
-    names = {"ok_total": "completed analyses", "elevated_total": "high/critical bucket", "anomalies_total": "reported anomalies"}
+    names = fixed.TREND_CHANGES
     deltas = [(F.col(c) - F.lag(c).over(back)).alias(f"{c}_delta") for c in names]
     newest = pair.select(F.lag(order).over(back).alias("previous"), F.col(order).alias("latest"), *deltas)
     newest = newest.orderBy(F.desc("latest")).limit(1)
@@ -165,11 +165,11 @@ def trend_delta(buckets: DataFrame, order: str, label: str) -> DataFrame:
         return F.when(d != 0, F.concat(F.lit(f"{text} "), F.when(d > 0, "+").otherwise(""), d.cast("string")))
 
     changes = F.concat_ws(", ", *[part(c, t) for c, t in names.items()])
-    same = f"Last {label} looks similar to the prior one (same ballpark of analyses and flags)."
+    same = fixed.TREND_SAME.format(label)
     sentence = (
         F.when(F.col("previous").isNull(), None)
         .when(changes == "", same)
-        .otherwise(F.concat(F.lit(f"Versus the prior {label}: "), changes, F.lit(".")))
+        .otherwise(F.concat(F.lit(fixed.TREND_BEFORE.format(label)), changes, F.lit(".")))
     )
     return newest.withColumn("sentence", sentence)
 
@@ -189,10 +189,10 @@ def trend_scale(buckets: DataFrame) -> DataFrame:
 def baseline_level(coverage: DataFrame) -> DataFrame:
     """How much history there is."""
     days = F.col("distinct_days")
-    level = F.when((days <= 0) | F.col("oldest_day").isNull(), "empty")
+    level = F.when((days <= 0) | F.col("oldest_day").isNull(), fixed.BASELINE_EMPTY)
     for limit, name in fixed.BASELINE_STEPS:
         level = level.when(days < limit, name)
-    return coverage.withColumn("level", level.otherwise("steady"))
+    return coverage.withColumn("level", level.otherwise(fixed.BASELINE_STEADY))
 
 
 def summary_attempts(summaries: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def split_blocked(batches: DataFrame) -> DataFrame:
         _ordered(~F.col("_blocked"), F.col("message")).alias("lines"),
     )
     n = F.size("skipped_ids")
-    text = F.concat(F.lit("Auto-skipped "), n.cast("string"), F.lit(" blocked/denied log"), F.when(n == 1, "").otherwise("s"))
+    text = F.concat(F.lit(fixed.SKIPPED_BEFORE), n.cast("string"), F.lit(fixed.SKIPPED_AFTER), F.when(n == 1, "").otherwise("s"))
     return grouped.withColumn("skip_summary", F.when(n > 0, text))
 
 
@@ -84,7 +84,7 @@ def prompt_text(lines: Column, max_chars: int) -> Column:
     body = F.array_join(
         F.transform(lines, lambda line, i: F.concat(i.cast("string"), F.lit("|"), ellipsize(line, max_chars))), "\n"
     )
-    return F.concat(F.size(lines).cast("string"), F.lit(" lines. JSON only.\n"), body)
+    return F.concat(F.size(lines).cast("string"), F.lit(fixed.PROMPT_HEAD), body)
 
 
 def build_prompts(split: DataFrame, *, line_limit: int = 1200, note: str = "") -> DataFrame:
@@ -232,13 +232,13 @@ def clean_replies(replies: DataFrame, *, column: str = "raw_response") -> DataFr
 
     def anomaly(item: Column) -> Column:
         return F.struct(
-            _or(_short(F.coalesce(_text(item, "title"), F.lit("Note")), 56), "Note").alias("title"),
+            _or(_short(F.coalesce(_text(item, "title"), F.lit(fixed.ANOMALY_TITLE)), 56), fixed.ANOMALY_TITLE).alias("title"),
             _short(_text(item, "detail"), 130).alias("detail"),
             _indexes(item).alias("related_log_indexes"),
         )
 
     severity = F.when(found, _choice(_text(json, "severity"), fixed.VERDICT_LEVELS, "info", "low")).otherwise("low")
-    summary = F.when(found, _or(_short(_text(json, "summary"), 220), "(no summary)")).otherwise(fixed.NON_JSON_SUMMARY)
+    summary = F.when(found, _or(_short(_text(json, "summary"), 220), fixed.NO_SUMMARY)).otherwise(fixed.NON_JSON_SUMMARY)
     return (
         computed_once(replies, "_json", reply_object(F.col(column)))
         .withColumn("severity", severity)
@@ -260,7 +260,7 @@ def clean_explanations(replies: DataFrame, *, column: str = "raw_response") -> D
         computed_once(replies, "_json", reply_object(F.col(column)))
         .withColumn("_safe", F.coalesce(F.col("_json"), plain))
         .withColumn("severity", _choice(_text(F.col("_safe"), "severity"), fixed.VERDICT_LEVELS, "info", "info"))
-        .withColumn("summary", _or(_short(raw_summary, 160), "Log entry explanation"))
+        .withColumn("summary", _or(_short(raw_summary, 160), fixed.EXPLANATION_SUMMARY))
         .withColumn("explanation", explanation)
         .withColumn("actions", F.transform(actions, lambda a: cut(a, 120)))
         .drop("_json", "_safe")
@@ -273,17 +273,17 @@ def clean_summaries(replies: DataFrame, *, column: str = "raw_response") -> Data
 
     def finding(item: Column) -> Column:
         return F.struct(
-            _or(_short(F.coalesce(_text(item, "title"), F.lit("Finding")), 70), "Finding").alias("title"),
+            _or(_short(F.coalesce(_text(item, "title"), F.lit(fixed.FINDING_TITLE)), 70), fixed.FINDING_TITLE).alias("title"),
             _short(_text(item, "detail"), 200).alias("detail"),
         )
 
     findings, anomalies = _items(json, "findings", 10), _items(json, "anomalies", 10)
     has_findings = F.coalesce(F.json_array_length(_text(json, "findings")), F.lit(0)) > 0
     chosen = F.when(has_findings, findings).otherwise(anomalies)
-    missing = F.when(json.isNull(), fixed.NON_JSON_SUMMARY).otherwise("(no summary)")
+    missing = F.when(json.isNull(), fixed.NON_JSON_SUMMARY).otherwise(fixed.NO_SUMMARY)
     return (
         computed_once(replies, "_json", reply_object(F.col(column)))
-        .withColumn("headline", _or(_short(_text(json, "headline"), 100), "(no headline)"))
+        .withColumn("headline", _or(_short(_text(json, "headline"), 100), fixed.NO_HEADLINE))
         .withColumn("summary", F.coalesce(F.nullif(_short(_text(json, "summary"), 420), F.lit("")), missing))
         .withColumn("findings", F.transform(chosen, finding))
         .withColumn("confidence", _choice(_text(json, "confidence"), fixed.CONFIDENCE_LEVELS, "low", "low"))
@@ -347,9 +347,9 @@ def summary_context(
         runs = daily.agg(F.sort_array(F.collect_list(F.struct("created_at", "id", line.alias("t"))), asc=False).alias("d"))
         pieces = pieces.unionByName(runs.select(F.transform("d", lambda r: r["t"]).alias("runs")), allowMissingColumns=True)
         listing = F.when(F.size("runs") > 0, F.array_join("runs", "\n")).otherwise(fixed.NO_DAILY_RUNS)
-        parts += [F.lit("RECENT_DAILY_META_RUNS (newest first):"), listing, F.lit("PER_ANALYSIS_SNIPPETS:")]
+        parts += [F.lit(fixed.RECENT_RUNS), listing, F.lit(fixed.SNIPPETS_WEEKLY)]
     else:
-        parts += [F.lit("PER_ANALYSIS_SNIPPETS (oldest→newest in window; summaries truncated):")]
+        parts += [F.lit(fixed.SNIPPETS_DAILY)]
     # one row per piece, put side by side
     joined = pieces.agg(*[F.first(c, ignorenulls=True).alias(c) for c in pieces.columns])
     closing = F.lit(fixed.WEEKLY_TASK if weekly else fixed.DAILY_TASK)

@@ -229,7 +229,7 @@ def schedule_job_status(schedules: DataFrame, jobs: DataFrame) -> DataFrame:
     status = F.when(F.col("status") == "done", "done").when(failed, "error").when(F.col("status") == "cancelled", "cancelled")
     error = (
         F.when(F.col("status") == "done", "")
-        .when(failed, F.coalesce(F.nullif("error", F.lit("")), F.lit("analysis failed")))
+        .when(failed, F.coalesce(F.nullif("error", F.lit("")), F.lit(fixed.JOB_FAILED)))
         .when(F.col("status") == "cancelled", "cancelled")
     )
     return joined.select(
