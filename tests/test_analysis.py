@@ -187,3 +187,23 @@ def test_received_alert_and_chat_hook(spark):
     urls = ["https://discord.com/api/webhooks/1", "https://evil.org/discord.com/api/webhooks/1", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(sinks.is_chat_hook(F.col("u"))).collect()] == [True, False, None]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_reach_the_embedder_in_small_batches(spark):
+    """Texts are not copied into pandas, Arrow batches are small, and calls keep their size over the border of a part."""
+
+    def embed(texts):
+        assert len(texts) <= 24
+        return [[float(len(t)), float(len(texts))] for t in texts]
+
+    rows = [(i, "x" * (i % 7), i if i % 3 else None) for i in range(200)]
+    out = analysis.embed_chunks(spark.createDataFrame(rows, "start_line long, text string, n long").coalesce(1), embed, batch=24)
+    assert "MapInArrow" in plan_of(out) and "MapInPandas" not in plan_of(out)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+    found = sorted(out.collect())
+    assert [tuple(r)[:3] for r in found] == rows
+    assert [r["embedding"] for r in found] == [[float(i % 7), 24.0 if i < 192 else 8.0] for i in range(200)]
