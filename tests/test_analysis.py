@@ -207,3 +207,22 @@ def test_chunks_reach_the_embedder_in_small_batches(spark):
     found = sorted(out.collect())
     assert [tuple(r)[:3] for r in found] == rows
     assert [r["embedding"] for r in found] == [[float(i % 7), 24.0 if i < 192 else 8.0] for i in range(200)]
+
+
+def test_prompts_reach_the_model_in_small_batches(spark):
+    """What goes with a prompt stays in Arrow, arrays and times too; a failing call marks its own row in every part."""
+
+    def model(prompts):
+        if prompts[0].endswith("9"):
+            raise RuntimeError(f"no {prompts[0]}")
+        return [prompts[0].upper()]
+
+    rows = [(i, [i, None] if i % 2 else None, f"p{i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "batch long, log_ids array<long>, prompt string").coalesce(1)
+    out = analysis.run_model(df, model, name="m")
+    assert "MapInArrow" in plan_of(out) and "MapInPandas" not in plan_of(out)
+    found = sorted(out.select("batch", "log_ids", "prompt", "model", "raw_response", "status", "error").collect())
+    bad = {i for i in range(150) if i % 10 == 9}
+    assert [tuple(r) for r in found] == [
+        (i, ids, p, "m", None if i in bad else p.upper(), "failed" if i in bad else "ok", f"no {p}" if i in bad else None) for i, ids, p in rows
+    ]
