@@ -70,3 +70,26 @@ def test_ranges_of_all_widths(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert joins.geo_enrich(df, four, ranges_6=six.limit(0)).filter("src_country is not null").count() == 2
     assert joins._bucketed_6(six, ["country"]).groupBy("country").count().agg(F.max("count")).first()[0] <= 16
+
+
+def test_hot_addresses_are_not_gathered(spark, monkeypatch):
+    """Addresses found to be few go to every executor; of many, those with many rows do, and the rows stay the same."""
+    six = spark.createDataFrame([(f"2a000003{'0' * 24}", f"2a000003{'f' * 24}", 3.0, 1.0, "C")], "ip_lo string, ip_hi string, lat double, lon double, country string")
+    four = spark.createDataFrame([(134744064, 134744319, 1.0, 2.0, "AA")], "ip_lo long, ip_hi long, lat double, lon double, country string")
+    texts = ["2a00:3::5"] * 40 + ["8.8.8.8"] * 20 + ["fd00::1", "2a00:3::6", "2a00:4::1", "::ffff:8.8.8.8", "8.8.8.9", "nonsense", None, None]
+    df = spark.createDataFrame([(k % 50, t, texts[-k]) for k, t in enumerate(texts)], "id long, src_ip string, dst_ip string")
+
+    def enriched(**options):
+        out = joins.geo_enrich(df, four, ranges_6=six, **options)
+        return out, sorted(map(str, out.select("id", "src_ip", "dst_ip", "src_country", "dst_country", "src_lat", "dst_lat").collect()))
+
+    out, want = enriched()
+    assert "SortMergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" in plan
+    assert len(want) == len(texts) and sum("src_country='C'" in w for w in want) == 41 and sum("src_country='AA'" in w for w in want) == 22
+    for broadcast_ranges in (True, False):
+        assert enriched(broadcast_ranges=broadcast_ranges)[1] == want
+        monkeypatch.setattr(joins, "fits_broadcast", lambda df, *_: False)
+        for rows in (10, 1000):
+            monkeypatch.setattr(joins, "HOT_ROWS", rows)
+            assert enriched(broadcast_ranges=broadcast_ranges)[1] == want
+        monkeypatch.undo()
