@@ -216,3 +216,7 @@ def test_prune_keeps_protected_rows_even_above_the_cap(spark):
     assert kept(max_events=2, floors={"mist": 2}) == [3, 5]
     assert kept(max_events=1, floors={"mist": 2, "palo_alto": 1}) == [3, 4, 5]
     assert kept(max_events=0) == [1, 2, 3, 4, 5]
+
+
+def test_slices_are_small_unless_there_are_very_many():
+    assert [gate.slice_rows(n) for n in (1, 216_667, 2_166_667, 25_000_000, 100_000_000, 10**9)] == [25_000, 25_000, 25_000, 25_000, 100_000, 200_000]
