@@ -11,7 +11,8 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from logquarry.functions import fixed
 from logquarry.functions.text import any_of, basename
-from logquarry.operators.running import running_sum
+from logquarry.operators.joins import fits_broadcast
+from logquarry.operators.running import computed_once, running_sum, settled
 
 SAMPLE_BYTES = 8192
 
@@ -116,9 +117,11 @@ def mark_binary_files(inventory: DataFrame, *, lenient: bool = False) -> DataFra
 
 
 def drop_binary_files(lines: DataFrame, inventory: DataFrame, *, lenient: bool = False) -> DataFrame:
-    """Lines whose file is not binary."""
+    """Lines whose file is not binary. Files are judged first; the binary ones go to every executor if they were counted
+    and found few, so that lines are dropped where they are read and never shuffled by their file."""
     binary = mark_binary_files(inventory, lenient=lenient).filter("binary").select(F.col("path").alias("source"))
-    return lines.join(binary, "source", "left_anti")
+    binary = settled(binary, "binary-files")
+    return lines.join(F.broadcast(binary) if fits_broadcast(binary) else binary, "source", "left_anti")
 
 
 def scan_log_lines(
@@ -137,13 +140,11 @@ def scan_log_lines(
     """
     names = fixed.SKIPPED_LOG_NAMES if skip_names is None else skip_names
     lines = _reader(spark, glob, recursive).text(roots)
-    found = lines.select(
-        scanned_path().alias("source"),
-        F.col("value").alias("line"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("block_order"),
-    )
-    return found.filter(_listable(F.col("source"), read_compressed, names))
+    lines = lines.select(scanned_path().alias("_path"), F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block_start"))
+    # the path is the same for all lines of a file, but is decoded for each: once, not for every test of it
+    found = computed_once(lines, "source", F.col("_path"))
+    found = found.filter(_listable(F.col("source"), read_compressed, names))
+    return found.select("source", "line", "block_start", F.monotonically_increasing_id().alias("block_order"))
 
 
 def number_lines(lines: DataFrame, *, file: Column | None = None) -> DataFrame:
