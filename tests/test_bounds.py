@@ -179,3 +179,16 @@ def test_a_search_report(spark):
     results, about = search.search_report("[x", mode="regex", events=events, lines=lines)
     row = about.first()
     assert row["errors"] == {"files": "invalid pattern: [x"} and row["highlight_terms"] == [] and row["counts_by_origin"] == {"hub": 0}
+
+
+def test_a_path_is_decoded_once_and_lines_stay_where_they_are(spark, tmp_path):
+    from logquarry.sources import files
+
+    (tmp_path / "a b+c.log").write_text("one\ntwo\n")
+    (tmp_path / "x.log").write_bytes(b"\0\1\n\0")
+    (tmp_path / "y.log.bz2").write_text("no\n")
+    lines = files.scan_log_lines(spark, [str(tmp_path)])
+    out = files.drop_binary_files(lines, files.file_inventory(spark, [str(tmp_path)])).select("source", "line")
+    assert sorted(map(tuple, out.collect())) == [(f"{tmp_path}/a b+c.log", "one"), (f"{tmp_path}/a b+c.log", "two")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("urlcodec") == 1 and "strategy=broadcast" in plan
