@@ -18,6 +18,7 @@ from logquarry.operators.search import feed_rows, important_enough
 from logquarry.sources.files import scanned_path
 
 FEED_SCHEMA = "payload binary, remote_ip string, transport string, received_at timestamp"
+ALL_FILES = 2**31 - 1  # of a trigger: whatever has landed is one micro-batch
 
 
 def landed(spark: SparkSession, path: str, schema: str | StructType, *, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:

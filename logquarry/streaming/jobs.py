@@ -36,10 +36,22 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
     return query
 
 
-def write_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Append a stateless stream to a folder and return what is there afterwards."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    query.trigger(availableNow=True).start().awaitTermination()
+def write_available(stream: DataFrame, path: str, checkpoint: str, *, state_partitions: int | None = None) -> DataFrame:
+    """Append a stream to a folder and return what is there afterwards.
+
+    Every micro-batch opens and stores every partition of the state, so a small state should have few:
+    ``state_partitions`` at most, where given. A checkpoint keeps the number it began with.
+    """
+    conf = stream.sparkSession.conf
+    usual = conf.get("spark.sql.shuffle.partitions")
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if state_partitions is not None:
+        conf.set("spark.sql.shuffle.partitions", str(min(int(usual), state_partitions)))
+    try:
+        running = query.start()  # it goes on with a copy of the session's settings
+    finally:
+        conf.set("spark.sql.shuffle.partitions", usual)
+    running.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 

@@ -2,8 +2,13 @@
 
 from datetime import datetime
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from check import rows as rows_of
+from logquarry.bridge import Bridge
+from logquarry.plans import load
 from logquarry.streaming import feeds, jobs
 
 
@@ -172,3 +177,28 @@ def test_observed_counts_become_a_table(spark, tmp_path):
     again.withColumn("value", F.col("value") + 100).write.mode("append").parquet(table)  # batch 1 counted again, later
     got = {r["counter"]: r["total"] for r in metrics.totals(spark, table).filter("observation = 'counted'").collect()}
     assert got == {"received": 3 + 105, "truncated": 1 + 101, "transport_tcp": 2 + 104, "transport_udp": 1 + 101}
+
+
+@pytest.mark.parametrize("key", ["ingest_rate_with_alerts", "ingest_rate_stream"])
+def test_files_of_a_delivery_make_no_row_late(spark, tmp_path, key):
+    """Two files that both span all times, which also start again with higher ids."""
+    folder = tmp_path / "events.parquet"
+    rows = spark.range(1200).selectExpr("id event_id", "timestamp_seconds(1704067200 + id % 800 * 60) ts", "id % 40 user_id", "'view' event_type", "1.5D value", "'' props")
+    for rest in (0, 1):
+        rows.filter(F.col("event_id") % 2 == rest).coalesce(1).write.mode("append").parquet(str(folder))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * replace (ts::timestamp as ts) from '{folder}/*.parquet'")
+    result = con.sql(load()[key].sql)
+    want = rows_of(result.columns, result.fetchall())
+    got = load()[key].run(Bridge(spark, str(tmp_path)))
+    assert len(want) > 300 and rows_of(got.columns, got.collect()) == want
+
+
+def test_a_small_state_has_few_partitions(spark, tmp_path):
+    path, usual = str(tmp_path / "in"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.createDataFrame([(datetime(2024, 1, 1),), (datetime(2024, 1, 2),)], "at timestamp").write.parquet(path)
+    counted = feeds.landed(spark, path, "at timestamp").withWatermark("at", "1 minute").groupBy(F.window("at", "1 minute")).count()
+    for _ in range(2):
+        out = jobs.write_available(counted, str(tmp_path / "o"), str(tmp_path / "c"), state_partitions=3)
+        assert out.count() == 1 and sorted(p.name for p in (tmp_path / "c/state/0").iterdir() if p.name.isdigit()) == ["0", "1", "2"]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == usual
