@@ -5,11 +5,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from logquarry.bridge import Bridge
+from logquarry.plans import load
 from logquarry.sources.store import DayTable
 from logquarry.streaming import drain as jobs
 
 
-
 def _drain(*args, **options):
     return jobs.drain(*args, now=F.lit("2024-03-01 00:00:00").cast("timestamp"), **options)
 
@@ -112,3 +113,33 @@ def test_only_the_round_that_died_is_asked_again(spark, table, tmp_path, monkeyp
     assert _notes(notes) == ["line 0"]
     _drain(table, str(tmp_path / "run"), _asked(str(notes)), size=10, round_batches=1, skip_blocked=False)
     assert _notes(notes) == ["line 0", "line 10", "line 20"] and len(_marks(table)) == 30
+
+
+def test_one_round_asks_every_batch_whichever_calls_fail(spark, table, tmp_path):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    (notes / "fail line 10").touch()
+    result = _drain(table, str(tmp_path / "run"), _asked(str(notes)), size=10, round_batches=0, skip_blocked=False)
+    assert (result["batches_ok"], result["batches_fail"], result["logs_processed"]) == (2, 1, 30)
+    assert sorted(_marks(table)) == [*range(10), *range(20, 30)] and _notes(notes) == ["line 0", "line 10", "line 20"]
+    nothing = DayTable(spark, str(tmp_path / "none"))
+    nothing.append(table.read().limit(0))
+    assert _drain(nothing, str(tmp_path / "run2"), _asked(str(notes)), round_batches=0)["logs_processed"] == 0
+
+
+def test_the_query_drains_its_whole_table(spark, tmp_path, monkeypatch):
+    """Early and undated events, all source types, whole lines, and batches behind a failed call."""
+    monkeypatch.setitem(jobs.drain.__kwdefaults__, "round_batches", 2)  # so that this table is more than a round by default
+    rows = [(i, None if i == 67 else datetime(2024, 1, 1 + i % 5, 3), i, "x" * 130) for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r[0]: tuple(r[1:]) for r in load()["analysis_drain"].run(Bridge(spark, str(tmp_path))).collect()}
+    want = {}
+    for batch in range(10):
+        ids = range(batch * 10, batch * 10 + 10)
+        skipped = [i for i in ids if i % 4 == 0 and i % 5 < 3]
+        told = [i for i in ids if i % 4 != 0]  # firewall lines do not hold the message
+        failed, denied = any(i % 9 == 5 for i in told), any(i % 9 == 3 for i in told)
+        reply = (None, None, None) if failed else ("high" if denied else "low", f"{10 - len(skipped)} lines", 2 + 2 * batch)
+        skip = ("info", f"Auto-skipped {len(skipped)} blocked/denied log{'' if len(skipped) == 1 else 's'}", 1 + 2 * batch)
+        want |= {i: skip if i in skipped else reply for i in ids}
+    assert got == want and want[67][2] == 14 and want[1] == (None, None, None)

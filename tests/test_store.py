@@ -69,6 +69,17 @@ def test_verdicts_are_marked_in_place(spark, table):
     assert table.mark_analyzed(analyses.filter("id = 3")) == []
 
 
+def test_events_without_a_time_are_marked_too(spark, table):
+    table.append(_events(spark, [50, 51]).withColumns({"received_at": F.lit(None).cast("timestamp"), "event_date": F.lit(None).cast("date")}))
+    analyses = spark.createDataFrame(
+        [(1, [5, 51], "high", "s1", None, datetime(2024, 2, 1))],
+        "id long, log_ids array<long>, severity string, summary string, error string, created_at timestamp",
+    )
+    table.mark_analyzed(analyses)
+    assert _rows(table.read().filter("analyzed_at is not null"), "id", "analysis_id") == [(5, 1), (51, 1)]
+    assert table.read().count() == 42
+
+
 def test_a_change_that_dies_leaves_the_old_table(spark, table):
     before, files = _rows(table.read(), "id", "message"), _current(table)
 
